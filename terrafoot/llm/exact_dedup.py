@@ -48,7 +48,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while True:
         classes = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
         classes = cut(classes.withColumn("name", F.monotonically_increasing_id()), "radix-classes")
-        step = rows.join(classes, key, "left").select(
+        step = rows.join(classes.hint("merge"), key, "left").select(
             "id", "chars", "sha", "n", F.coalesce(F.col("n").isNull() | F.col("ended"), F.lit(True)).alias("done"), F.col("name").alias("grp"),
             F.when(F.col("n").isNotNull() & ~F.col("ended"), F.substring("rest", width + 1, ALL)).alias("rest"),
             F.monotonically_increasing_id().alias("row"), F.lit(len(settled)).alias("round"),
@@ -65,7 +65,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = found.where("n IS NOT NULL")
     best = F.max(F.struct("chars", F.col("id").isNotNull().alias("has"), (-F.col("id")).alias("neg"), F.col("row"), F.col("id")))
     keepers = cut(members.groupBy("round", "grp").agg(best.alias("best")), "radix-keepers")
-    shared = members.join(keepers, ["round", "grp"]).select(
+    shared = members.join(keepers.hint("merge"), ["round", "grp"]).select(
         F.col("id").alias("doc_id"), F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256")
     )
     return alone.unionAll(shared)
