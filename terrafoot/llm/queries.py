@@ -9,24 +9,55 @@ from pyspark.sql import functions as F
 
 from terrafoot.llm.common import table
 from terrafoot.llm.exact_dedup import exact_dedup
+from terrafoot.llm.line_dedup import line_dedup
+from terrafoot.llm.mixing import mix
+from terrafoot.llm.near_dedup import near_groups
 from terrafoot.llm.warc import warc_round_trip
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_groups(table(spark, sf_dir, "documents"), k=2, similarity=80)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc_round_trip(table(spark, sf_dir, "pages"))
     return read.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mix(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op6_warc": op6_warc,
+    "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+        k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        r AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        m AS (SELECT k.doc_id, k.pos, k.line, coalesce(k.doc_id <> r.last, false) AS dropped FROM k LEFT JOIN r ON k.key = r.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
     "op6_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
         d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
