@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from terrafoot.llm.common import table
 from terrafoot.llm.exact_dedup import exact_dedup
+from terrafoot.llm.language_id import fit, held_out, identify
 from terrafoot.llm.line_dedup import line_dedup
 from terrafoot.llm.mixing import mix
 from terrafoot.llm.near_dedup import near_groups
+from terrafoot.llm.quality_rules import quality_rules
 from terrafoot.llm.warc import warc_round_trip
 
 
@@ -25,6 +27,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc_round_trip(table(spark, sf_dir, "pages"))
     return read.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
@@ -39,12 +45,20 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, ~held_out() & F.col("doc_id").isNotNull())
+    return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op4_quality_rules": op4_quality_rules,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
