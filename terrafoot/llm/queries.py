@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from terrafoot.llm.common import table
 from terrafoot.llm.exact_dedup import exact_dedup
 from terrafoot.llm.language_id import fit, held_out, identify
+from terrafoot.llm.license_scan import LEAST_DICE, TEMPLATES, license_scan
 from terrafoot.llm.line_dedup import line_dedup
 from terrafoot.llm.mixing import mix
 from terrafoot.llm.near_dedup import near_groups
+from terrafoot.llm.quality_classifier import resample
 from terrafoot.llm.quality_rules import quality_rules
 from terrafoot.llm.warc import warc_round_trip
 
@@ -22,6 +24,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = license_scan(table(spark, sf_dir, "documents"))
+    return rows.withColumn("licenses", F.array_join("licenses", ","))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
@@ -51,17 +58,36 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
+_QUOTED = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in TEMPLATES.items())
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+(?:[.\-][\p{{L}}\p{{N}}]+)*')"
+_BIGRAMS = "CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": f"""
+        WITH t AS (SELECT license, {_BIGRAMS} AS b FROM (SELECT license, {_WORDS.format("template")} AS w FROM (VALUES {_QUOTED}) AS v(license, template))),
+        l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+        g AS (SELECT doc_id, pos, {_BIGRAMS} AS b FROM (SELECT doc_id, pos, {_WORDS.format("line")} AS w FROM l) WHERE len(w) > 0),
+        m AS (SELECT g.doc_id, g.pos, t.license, 2.0 * len(list_intersect(g.b, t.b)) / (len(g.b) + len(t.b)) AS dice
+              FROM g JOIN t ON 200 * len(list_intersect(g.b, t.b)) >= {LEAST_DICE} * (len(g.b) + len(t.b))),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY dice DESC, license) AS k FROM m)
+        SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, round(CAST(max(dice) AS DOUBLE), 6) AS best_dice
+        FROM r WHERE k = 1 GROUP BY doc_id""",
     "op3_line_dedup": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
