@@ -100,7 +100,8 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = [F.col("hash"), F.col("id").desc_nulls_last(), F.col("key"), F.col("pos")]
     found = cut(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_stream(documents), "id long, key long, pos int, hash binary, kind int"), "line-runs")
     spanning = found.where(F.col("kind") == SEEN).groupBy("hash").agg(F.max("id").alias("last"), F.count_distinct(F.struct("id")).alias("n")).where(F.col("n") >= documents)
-    late = found.where(F.col("kind") == OPEN).join(spanning, "hash").where(~F.col("id").eqNullSafe(F.col("last")))
+    # at most two keys for each range of the shuffle
+    late = found.where(F.col("kind") == OPEN).join(F.broadcast(spanning), "hash").where(~F.col("id").eqNullSafe(F.col("last")))
     drops = found.where(F.col("kind") == DROP).select("id", "key", "pos").unionAll(late.select("id", "key", "pos"))
     drops = drops.groupBy("id", "key").agg(F.collect_set("pos").alias("at"))
 
