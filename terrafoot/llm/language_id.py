@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,8 +190,6 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def recognised(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose text has no recognised language: ``und``, or a score below ``least``."""
-    import pandas as pd
-
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -16,8 +16,12 @@ from terrafoot.llm.mixing import mix
 from terrafoot.llm.near_dedup import near_groups
 from terrafoot.llm.quality_classifier import resample
 from terrafoot.llm.quality_rules import quality_rules
+from terrafoot.llm.sentencepiece_codec import encode
 from terrafoot.llm.warc import warc_round_trip
 
+#: A parameter of the queries that tokenize: any ``.model`` file that every machine can read.
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_groups(table(spark, sf_dir, "documents"), k=2, similarity=80)
@@ -38,6 +42,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc_round_trip(table(spark, sf_dir, "pages"))
     return read.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
@@ -67,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
