@@ -2,10 +2,11 @@
 
 Texts with equal shingle sets become one class first, so groups of copies never meet as pairs.
 Classes that share a band are compared with one pivot of the bucket; what is linked to a pivot by an
-exact check of the full sets falls into its component. Only members of one bucket that are still in
-different components meet afterwards, first with further pivots, then one by one, so every pair of
-classes that shares a band is either checked or known to be connected, and no bucket emits all its
-pairs.
+exact check of the full sets falls into its component. Members of one bucket that are still in
+different components meet further pivots, and in the end the nodes outside the main component are
+compared with all the others of their pivot, in blocks whose size is fixed. So every pair of classes
+that shares a band is checked or known to be connected, no pair but the links leaves a block, and no
+bucket emits all its pairs.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +25,10 @@ from terrafoot.llm.words import PIECE, band_keys, fast_sketches, shingle_sets
 
 #: At a similarity of 0.8 a pair shares one of 40 bands of 6 coordinates with probability 0.999995.
 BANDS, ROWS = 40, 6
-#: Rounds with further pivots before the pairs left in mixed buckets are checked one by one.
-PIVOT_ROUNDS = 6
+#: Rounds with further pivots, at most, before what is left in mixed buckets is compared in blocks.
+PIVOT_ROUNDS = 4
+#: Nodes on either side of a block that one task compares.
+BLOCK = 256
 
 
 def _sketch(k: int, bands: int, rows: int):
@@ -60,13 +64,35 @@ def _full_sets(k: int):
     return run
 
 
+def _links(similarity: int):
+    """The pairs of a block that are similar enough and in different components: asked nodes against the others."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        asked, others = rows[rows.asked], rows[~rows.asked]
+        tokens = np.concatenate([*others.shingles, np.zeros(0, np.int64)]).astype(np.int64)
+        sizes = np.array([len(x) for x in others.shingles], np.int64)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], np.repeat(np.arange(len(others)), sizes)[order]
+        nodes, comps, out = others.node.to_numpy(), others.comp.to_numpy(), []
+        for node, comp, own in zip(asked.node, asked.comp, asked.shingles, strict=True):
+            own = np.asarray(own, np.int64)
+            first, last = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+            spot = np.repeat(first - np.concatenate([[0], np.cumsum(last - first)[:-1]]), last - first) + np.arange((last - first).sum())
+            common = np.bincount(owner[spot], minlength=len(others))
+            near = (100 * common >= similarity * (len(own) + sizes - common)) & (comps != comp)
+            out += [(min(node, x), max(node, x)) for x in nodes[near].tolist()]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, comp) for each node of ``edges`` (a, b): comp is the smallest node of its component.
 
     Alternates the large-star and small-star steps until the edges are stars, which takes a number
     of rounds logarithmic in the component's size. Stars' hubs are joined as skewed keys.
     """
-    stars, before = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), None
+    stars = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     while True:
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(stars.select("lo", "hi"))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "star-min")
@@ -74,10 +100,10 @@ def connected(edges: DataFrame) -> DataFrame:
         least = cut(large.groupBy("hi").agg(F.min("lo").alias("m")), "star-min")
         near = large.join(least, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         stars = cut(near.unionAll(least.select("hi", F.col("m").alias("lo"))).distinct(), "star-small")
-        now = tuple(stars.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)")), F.lit(0))).first())
-        if now == before:
+        ends = stars.select(F.col("hi").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(stars.select("lo", F.lit(0), F.lit(1)))
+        loose = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)")
+        if loose.isEmpty():  # every node has one edge up, to a node that has none
             return stars.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).unionAll(stars.select("lo", "lo").distinct())
-        before = now
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, similarity: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -94,52 +120,57 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows_ = cut(texts.mapInArrow(_sketch(k, bands, rows), "id long, mark long, n int, digest binary, bands array<long>"), "sketches")
     classes = rows_.where("n > 0").groupBy("digest").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "mark")).alias("where"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    keyed = classes.select("node", "n", F.explode("bands").alias("band"))
-    buckets = cut(keyed.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("pivot")).where("size > 1"), "buckets")
+    keyed = classes.select("node", F.explode("bands").alias("band"))
+    buckets = cut(keyed.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1"), "buckets")
     members = cut(keyed.join(buckets.select("band", "pivot").hint("merge"), "band"), "members")
     need = members.select("node").distinct().join(classes.select("node", "where"), "node")
     need = need.select("node", F.col("where.id").alias("at_id"), F.col("where.mark").alias("at_mark"))
     sets = texts.join(need.hint("merge"), (F.col("mark") == F.col("at_mark")) & F.col("id").eqNullSafe(F.col("at_id"))).select("node", "text")
     sets = cut(sets.mapInArrow(_full_sets(k), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
-    def alike(a, b):
-        return (F.lit(100) * F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)) & (a > 0)
-
-    def verify(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame) -> DataFrame:
         left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-        both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
         common = F.size(F.array_intersect("set_a", "set_b"))
-        union = F.size("set_a") + F.size("set_b") - common
-        return cut(both.select("a", "b", (100 * common >= similarity * union).alias("linked")), "checked")
-
-    def ordered(x, y):
-        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
-
-    pairs = members.where((F.col("node") != F.col("pivot.node")) & alike(F.col("n"), F.col("pivot.n"))).select(*ordered(F.col("node"), F.col("pivot.node"))).distinct()
-    checked = verify(pairs)
-    for turn in range(1, PIVOT_ROUNDS + 1):
+        near = 100 * common >= similarity * (F.size("set_a") + F.size("set_b") - common)
+        return cut(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", near.alias("linked")), "checked")
+
+    def placed() -> tuple[DataFrame, DataFrame]:
+        """Members of the buckets that hold several components, and those buckets."""
+        rows = members.select("band", "pivot", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        parts = rows.groupBy("band", "comp").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64(F.col("node"), F.lit(turn))).alias("some"))
+        mixed = cut(parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("size").alias("rows"), F.max(F.struct("size", "comp", "some")).alias("most")).where("parts > 1"), "mixed")
+        return cut(rows.join(mixed.select("band", F.col("most.comp").alias("main"), F.col("most.some").alias("turn_pivot")), "band"), "mixed-members"), mixed
+
+    # every member against its bucket's pivot, then those outside the main component against further pivots of it
+    pairs = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    checked, turn, before = compared(pairs), 0, None
+    while True:
         labels = connected(checked.where("linked"))
-        placed = members.select("band", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        parts = placed.groupBy("band", "comp").agg(F.count("*").alias("size"), F.min_by(F.struct("node", "n"), F.xxhash64(F.col("node"), F.lit(turn))).alias("pivot"))
-        mixed = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("size").alias("rows"), F.sum(F.col("size") * F.col("size")).alias("squares"), F.max(F.struct("size", "comp", "pivot")).alias("most")).where("parts > 1")
-        mixed = cut(mixed, "mixed")
-        rest = cut(placed.join(mixed.select("band", F.col("most.comp").alias("main"), F.col("most.pivot").alias("pivot")), "band"), "mixed-members")
-        cross, rows_left = mixed.agg(F.coalesce(F.sum(F.col("rows") * F.col("rows") - F.col("squares")) / 2, F.lit(0.0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-        last = turn == PIVOT_ROUNDS or cross <= 4 * rows_left
-        if last:  # all pairs across components, at least one of the two outside the bucket's main component
-            a = rest.where("comp != main").select("band", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
-            b = rest.select("band", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"), "main")
-            pairs = a.join(b, "band").where((F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("main")) | (F.col("x") < F.col("y"))) & alike(F.col("xn"), F.col("yn"))).select(*ordered(F.col("x"), F.col("y")))
-        else:
-            pairs = rest.where((F.col("comp") != F.col("main")) & alike(F.col("n"), F.col("pivot.n"))).select(*ordered(F.col("node"), F.col("pivot.node")))
-        pairs = cut(pairs.distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            found = verify(pairs)
-            checked = checked.unionAll(found)
-            if last and not found.where("linked").isEmpty():
-                labels = connected(checked.where("linked"))
-        if last:
+        rows, mixed = placed()
+        outside = mixed.agg(F.coalesce(F.sum(F.col("rows") - F.col("most.size")), F.lit(0))).first()[0]
+        if turn == PIVOT_ROUNDS or (before is not None and outside > 0.8 * before) or not outside:
+            break
+        turn, before = turn + 1, outside
+        pairs = rows.where("comp != main").select(F.least("node", "turn_pivot").alias("a"), F.greatest("node", "turn_pivot").alias("b")).distinct()
+        pairs = cut(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
             break
+        checked = checked.unionAll(compared(pairs))
+
+    # what is left: the nodes of a pivot's buckets that are outside their main component, against all of its nodes, in blocks
+    stars = rows.select("pivot", "node", "comp").distinct()
+    parts = stars.groupBy("pivot", "comp").agg(F.count("*").alias("size"))
+    sizes = parts.groupBy("pivot").agg(F.sum("size").alias("size"), F.max(F.struct("size", "comp")).alias("most")).where("size > 2")
+    sizes = cut(sizes.select("pivot", F.col("most.comp").alias("main"), F.ceil(F.col("size") / BLOCK).alias("across"), F.ceil((F.col("size") - F.col("most.size")) / BLOCK).alias("down")), "star-sizes")
+    stars = cut(stars.join(sizes, "pivot"), "stars")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = stars.where("comp != main").select("pivot", "node", "comp", F.lit(True).alias("asked"), block("down").alias("i"), every("across").alias("j"))
+    dealt = asked.unionAll(stars.select("pivot", "node", "comp", F.lit(False), every("down"), block("across")))
+    found = dealt.join(sets.hint("merge"), "node").groupBy("pivot", "i", "j").applyInPandas(_links(similarity), "a long, b long")
+    found = cut(found.distinct(), "links")
+    if not found.isEmpty():
+        labels = connected(checked.where("linked").select("a", "b").unionAll(found))
     named = classes.select("digest", "node", "least_id").join(labels, "node", "left")
     ids = cut(named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("least_id").alias("component_id")), "component-ids")
     named = named.join(ids, "comp", "left").select("digest", F.coalesce("component_id", "least_id").alias("component_id"))
