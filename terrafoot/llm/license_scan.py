@@ -63,7 +63,8 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small = template_table(docs.sparkSession, chosen)
     sizes = small.agg(F.min("template_size"), F.max("template_size")).first()  # of the fixed templates
     low, high = sizes[0] * least // (200 - least), -(-sizes[1] * (200 - least) // least)
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     words = lines.select("doc_id", "row", (F.col("pos") + 1).alias("line"), _words(F.col("line")).alias("words")).where(F.size("words") >= low)
     bigrams = words.select("doc_id", "row", "line", _bigrams(F.col("words")).alias("bigrams")).withColumn("n", F.size("bigrams"))
     pairs = bigrams.where((F.col("n") >= max(1, low)) & (F.col("n") <= high)).select("doc_id", "row", "line", "n", F.explode("bigrams").alias("bigram"))
