@@ -87,7 +87,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     source = F.col(source_col)
     skey = F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source))
-    own = [F.col(c) for c in docs.columns] if carry else []
+    own = [F.struct(*[F.col(c) for c in docs.columns]).alias("__carried")] if carry else []
     rows = cut(docs.select(*own, F.col(id_col).alias("__id"), source.alias("__source"), skey.alias("skey"), n_words(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("row")), "mix-sizes")
     cells = cut(rows.groupBy("skey", "__source", "size").agg(F.count("*").alias("n")), "mix-cells")
     sizes = cells.groupBy("skey", F.col("__source").isNull().alias("null_source"), F.col("__source").alias("source")).agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
@@ -112,5 +112,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     copies = (F.col("whole") + F.floor(reach + F.col("part")) - F.floor(reach)).cast("long")
     out = dealt.select("row", "__id", F.col("size").alias("__size"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), copies.alias("__copies"))
     if carry:
-        out = rows.select("row", *docs.columns).join(out, "row")
+        out = rows.select("row", "__carried").join(out, "row").select("__carried.*", "__id", "__size", "__source_size", "__target", "__copies")
     return out.drop("row")
