@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from terrafoot.llm.common import cut, n_words, ranked
 
 #: Rows of one (source, size) cell that one task may number.
-CELL_ROWS = 4096
+CELL_ROWS = 512
 STEPS = 80
 CLOSE = 1e-9
 
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     of the id, then by the row's place in the input files.
 
     Only (id, source, size) is shuffled. A cell of very many documents of one source and size is
-    numbered in salted parts of about 4,096 rows; the running sums run over distinct sizes.
+    numbered in salted parts of about 512 rows; the running sums run over distinct sizes.
     """
     source = F.col(source_col)
     skey = F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source))
