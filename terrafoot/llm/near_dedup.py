@@ -147,9 +147,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while True:
         labels = connected(checked.where("linked"))
         rows, mixed = placed()
-        outside = mixed.agg(F.coalesce(F.sum(F.col("rows") - F.col("most.size")), F.lit(0))).first()[0]
-        if turn == PIVOT_ROUNDS or (before is not None and outside > 0.8 * before) or not outside:
-            break
+        total, outside = mixed.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum(F.col("rows") - F.col("most.size")), F.lit(0))).first()
+        if turn == PIVOT_ROUNDS or (before is not None and outside > 0.8 * before) or 2 * outside <= total:
+            break  # main components hold most of their buckets, or further pivots don't help
         turn, before = turn + 1, outside
         pairs = rows.where("comp != main").select(F.least("node", "turn_pivot").alias("a"), F.greatest("node", "turn_pivot").alias("b")).distinct()
         pairs = cut(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
