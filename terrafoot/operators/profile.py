@@ -31,8 +31,8 @@ def profile_summary(clean: DataFrame) -> DataFrame:
 def distribution(df: DataFrame, key: str) -> DataFrame:
     """key, building_count and share of all rows, most frequent first."""
     counts = df.groupBy(key).agg(F.count("*").alias("building_count"))
-    total = df.agg(F.count("*").alias("__total"))  # one row
-    return counts.crossJoin(F.broadcast(total)).select(key, "building_count", (F.col("building_count") / F.col("__total")).alias("share")).orderBy(F.desc("building_count"), F.col(key).asc_nulls_last())
+    total = df.agg(F.count("*").alias("__total")).withColumn("__one", F.lit(1))  # one row
+    return counts.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one").select(key, "building_count", (F.col("building_count") / F.col("__total")).alias("share")).orderBy(F.desc("building_count"), F.col(key).asc_nulls_last())
 
 
 def value_distribution(df: DataFrame, column: str) -> DataFrame:
@@ -71,8 +71,8 @@ def shares(summary: DataFrame) -> DataFrame:
 def distribution_shares(df: DataFrame, column: str) -> DataFrame:
     """name, count and share (percent of the listed values, one decimal)."""
     counts = value_distribution(df, column)
-    total = counts.agg(F.sum("count").alias("__total"))  # one row
-    return counts.crossJoin(F.broadcast(total)).select("name", "count", F.round(100.0 * F.col("count") / F.col("__total"), 1).alias("share"))
+    total = counts.agg(F.sum("count").alias("__total")).withColumn("__one", F.lit(1))  # one row
+    return counts.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one").select("name", "count", F.round(100.0 * F.col("count") / F.col("__total"), 1).alias("share"))
 
 
 def schema_profile(df: DataFrame) -> DataFrame:
