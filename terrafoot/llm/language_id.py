@@ -107,9 +107,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(e - s):
                 own = np.concatenate([b[a[i] : a[i] + n[i]] for b, a, n in found])
                 at, counts = np.unique(own, return_counts=True)
-                index.append(at)
-                share.append(counts / max(1, len(own)))
-            yield pa.RecordBatch.from_arrays([batch.column("lang")[s:e], batch.column("order")[s:e], pa.array(index, pa.list_(pa.int64())), pa.array(share, pa.list_(pa.float64()))], ["lang", "order", "index", "share"])
+                index.append(at.astype(np.int32).tobytes())  # packed: the driver gets bytes, not numbers one by one
+                share.append((counts / max(1, len(own))).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("lang")[s:e], batch.column("order")[s:e], pa.array(index, pa.binary()), pa.array(share, pa.binary())], ["lang", "order", "index", "share"])
 
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, hold: int = 8) -> Model:
@@ -166,9 +166,9 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     if not limits:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0)
     sample = rows.withColumn("order", order).where(F.col("order") < F.element_at(F.create_map(*limits), F.col("lang")))
-    sample = sample.select("lang", "order", "text").mapInArrow(_features, "lang string, order long, index array<long>, share array<double>")
-    found = sample.where(F.size("index") > 0).orderBy("order", "lang").limit(2 * sample_rows).collect()
-    return train([(r["lang"], np.array(r["index"]), np.array(r["share"])) for r in found])
+    sample = sample.select("lang", "order", "text").mapInArrow(_features, "lang string, order long, index binary, share binary")
+    found = sample.where(F.octet_length("index") > 0).orderBy("order", "lang").limit(2 * sample_rows).collect()
+    return train([(r["lang"], np.frombuffer(r["index"], np.int32), np.frombuffer(r["share"], np.float32).astype(float)) for r in found])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
