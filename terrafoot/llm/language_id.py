@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -192,16 +191,13 @@ def recognised(docs: DataFrame, model: Model, text_col: str = "text", least: flo
     """``docs`` without the rows whose text has no recognised language: ``und``, or a score below ``least``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        texts, out = text.tolist(), []
-        at = np.concatenate([[0], np.cumsum([len(t or "") for t in texts])]).astype(np.int64)
-        for s, e in pieces(at, CHUNK):
-            lang, p = sent.value.predict(texts[s:e])
-            out += [x if k != "und" else -1.0 for k, x in zip(lang, p, strict=True)]
-        return pd.Series(out, dtype="float64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, e, texts in _rows(batch.column(text_col)):
+                lang, p = sent.value.predict(texts)
+                yield batch.slice(s, e - s).filter(pa.array([k != "und" and x >= least for k, x in zip(lang, p, strict=True)], pa.bool_()))
 
-    return docs.where(score(F.col(text_col)) >= F.lit(least))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
