@@ -24,8 +24,11 @@ WINDOW = 8
 LANGUAGES, COMMON, LEAST_REFERENCE = 64, 50, 5_000
 #: Guards: texts with fewer words (words histogram) or code points (classes histogram) are not judged.
 LEAST_WORDS, LEAST_CHARS = 100, 200
-#: Largest Jensen-Shannon distances (base 2, 0 to 1) of a text that stays.
-WORD_DISTANCE, CLASS_DISTANCE = 0.50, 0.30
+#: Common words that the reference lets expect in a text of its length; below this the words histogram says little.
+LEAST_EXPECTED = 20
+#: Largest Jensen-Shannon distances (base 2, 0 to 1) of a text that stays: of words as a share of the distance that
+#: a text without any common word has to the same reference, of classes as such.
+WORD_SHARE, CLASS_DISTANCE = 0.90, 0.30
 
 #: Classes of characters by first UTF-8 byte: vowel, other small letter, capital, digit, white space,
 #: punctuation, Latin letter beyond ASCII, anything else.
@@ -78,7 +81,11 @@ def repeated_words(firsts: np.ndarray, words: np.ndarray, window: int = WINDOW)
 
 
 def _measures(batch_lists: list[tuple[str, list[str]]]):
-    """Statistics and histograms per text; the lists of common words are (language, words), '' for all others."""
+    """Statistics and histograms per text; the lists of common words are (language, words), '' for all texts.
+
+    A text without a list of its own goes by the list that holds most of its words, '' at a tie. ``pooled`` is
+    every text's histogram over the list ''.
+    """
     code = {lang: i for i, (lang, _) in enumerate(batch_lists)}
     pooled = code.get("", 0)
     vocab = sorted({w for _, ws in batch_lists for w in ws})
@@ -119,12 +126,19 @@ def _measures(batch_lists: list[tuple[str, list[str]]]):
                     word = np.zeros(len(folded), np.int64)
                 doc = np.repeat(np.arange(n), n_words)
                 lang = np.array([code.get(x, pooled) for x in langs[s:e]], np.int64)
-                words = np.bincount(doc * (COMMON + 1) + slots[lang[doc], word], minlength=n * (COMMON + 1)).reshape(n, -1)
+                loose = lang == pooled
+                if loose.any():
+                    most = _sums(slots[pooled, word] < COMMON, firsts)
+                    for i in range(len(batch_lists)):
+                        held = _sums(slots[i, word] < COMMON, firsts)
+                        lang[loose & (held > most)] = i
+                        most = np.maximum(most, held)
+                over = lambda which: np.bincount(doc * (COMMON + 1) + slots[which, word], minlength=n * (COMMON + 1)).reshape(n, -1)
                 ints = lambda x: pa.array(np.asarray(x, np.int64))
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.ravel().astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[s:e], batch.column("ref")[s:e], ints(n_words), ints(_sums(~SPACE[part] & lead, here)), ints(_sums(IS_SYMBOL[part], here)), ints(dup), ints(repeated_words(firsts, exact)), lists(classes), lists(words)],
-                    ["doc_id", "ref", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "words"],
+                    [batch.column("doc_id")[s:e], batch.column("ref")[s:e], ints(n_words), ints(_sums(~SPACE[part] & lead, here)), ints(_sums(IS_SYMBOL[part], here)), ints(dup), ints(repeated_words(firsts, exact)), lists(classes), pa.array([batch_lists[i][0] for i in lang.tolist()], pa.string()), lists(over(lang[doc])), lists(over(pooled))],
+                    ["doc_id", "ref", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "list", "words", "pooled"],
                 )
 
     return run
@@ -133,19 +147,20 @@ def _measures(batch_lists: list[tuple[str, list[str]]]):
 def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", languages: int = LANGUAGES, most: int = COMMON) -> list[tuple[str, list[str]]]:
     """The ``most`` most frequent words of each of the most frequent languages, and of all texts under ''.
 
-    Counted over all texts, in lower case; ties go to the smaller word. The lists are short: at most
-    (``languages`` + 1) * ``most`` words come to the driver.
+    Counted over all texts, in lower case; a word holds a letter, and ties go to the smaller word. The lists are
+    short: at most (``languages`` + 1) * ``most`` words come to the driver.
     """
     word = F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0)))
     counts = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("ref"), word.alias("word")).groupBy("ref", "word").count()
     counts = cut(counts, "word-counts")
     own = [r["ref"] for r in counts.groupBy("ref").agg(F.sum("count").alias("n")).where((F.col("n") >= LEAST_REFERENCE) & (F.col("ref") != "")).orderBy(F.desc("n"), "ref").limit(languages).collect()]
+    lettered = counts.where(F.col("word").rlike(r"\p{L}"))
     first = lambda rows: rows.withColumn("rank", F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= most)
     lists: dict[str, list[tuple[int, str]]] = {"": [], **{x: [] for x in own}}
-    total = counts.groupBy("word").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "word").limit(most)
+    total = lettered.groupBy("word").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "word").limit(most)
     for i, r in enumerate(total.collect()):
         lists[""].append((i, r["word"]))
-    for r in first(counts.where(F.col("ref").isin(own))).collect() if own else []:
+    for r in first(lettered.where(F.col("ref").isin(own))).collect() if own else []:
         lists[r["ref"]].append((r["rank"], r["word"]))
     return [(x, [w for _, w in sorted(ws)]) for x, ws in sorted(lists.items())]
 
@@ -166,28 +181,37 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, class_distance, word_distance.
 
-    A null text has no words and fails the base rules. A text of no or a rare language is held
-    against all texts together. Repeated rows are judged one by one; an empty table gives no rows.
+    A null text has no words and fails the base rules. A text of no or a rare language (fewer than
+    LEAST_REFERENCE words, or beyond the LANGUAGES most frequent) is held against the classes of all
+    texts together, and against the words of the list that holds most of its own: a language's, or at
+    a tie that of all texts. Repeated rows are judged one by one; an empty table gives no rows.
     Reference histograms are sums over all texts, combined map-side; one row per language.
+
+    A text without common words has the same distance to its reference whatever else it holds; the
+    word rule's bound is a share of that, so such a text fails at any coverage of the list.
     """
     lists = common_words(docs, text_col, lang_col)
     named = [x for x, _ in lists if x]
     ref = F.when(F.col(lang_col).isin(named), F.col(lang_col)).otherwise("") if named else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), ref.alias("ref"), F.col(text_col).alias("text"))
-    schema = "doc_id long, ref string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, words array<long>"
+    schema = "doc_id long, ref string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, list string, words array<long>, pooled array<long>"
     found = cut(rows.mapInArrow(_measures(lists), schema), "measures")
     at = lambda c, n: [F.sum(F.element_at(c, i + 1)).alias(f"{c}{i}") for i in range(n)]
-    sums = found.groupBy("ref").agg(*at("classes", CLASSES), *at("words", COMMON + 1))
+    sums = found.groupBy("ref").agg(*at("classes", CLASSES), *at("words", COMMON + 1), *at("pooled", COMMON + 1))
     doubles = lambda c, n: F.array(*[F.col(f"{c}{i}").cast("double") for i in range(n)])
-    sums = cut(sums.select("ref", doubles("classes", CLASSES).alias("all_classes"), doubles("words", COMMON + 1).alias("all_words")), "references")
-    if len(named):  # texts without a reference of their own: all texts' classes, and their own words' share
-        pooled = sums.agg(*[F.sum(F.element_at("all_classes", i + 1)).alias(f"c{i}") for i in range(CLASSES)]).first()
-        sums = sums.withColumn("all_classes", F.when(F.col("ref") == "", F.array(*[F.lit(float(x or 0)) for x in pooled])).otherwise(F.col("all_classes")))
-    judged = found.join(sums, "ref").withColumns({
+    own = sums.select("ref", doubles("classes", CLASSES).alias("all_classes"), doubles("words", COMMON + 1).alias("all_words")).where("ref != ''")
+    total = sums.agg(*[F.sum(c).alias(c) for c in sums.columns if c != "ref"])  # all texts, for those without a reference of their own
+    total = total.select(F.lit("").alias("ref"), doubles("classes", CLASSES).alias("all_classes"), doubles("pooled", COMMON + 1).alias("all_words"))
+    sums = cut(own.unionByName(total), "references")
+    strange = F.transform("all_words", lambda v, i: F.when(i == COMMON, 1.0).otherwise(0.0))  # a text without common words
+    covered = 1 - F.element_at("all_words", -1) / F.aggregate("all_words", F.lit(0.0), lambda a, v: a + v)
+    by_words = sums.select(F.col("ref").alias("list"), "all_words", js_distance(strange, F.col("all_words")).alias("strange"), covered.alias("covered"))
+    judged = found.join(F.broadcast(sums.select("ref", "all_classes")), "ref").join(F.broadcast(by_words), "list").withColumns({  # at most LANGUAGES + 1 rows
         "class_distance": js_distance(F.col("classes").cast("array<double>"), F.col("all_classes")),
         "word_distance": js_distance(F.col("words").cast("array<double>"), F.col("all_words")),
         "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
     })
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, v: a + v)
-    near = ((chars < LEAST_CHARS) | (F.col("class_distance") <= CLASS_DISTANCE)) & ((F.col("n_words") < LEAST_WORDS) | (F.col("word_distance") <= WORD_DISTANCE))
+    few = (F.col("n_words") < LEAST_WORDS) | (F.col("n_words") * F.col("covered") < LEAST_EXPECTED) | F.col("covered").isNull()
+    near = ((chars < LEAST_CHARS) | (F.col("class_distance") <= CLASS_DISTANCE)) & (few | (F.col("word_distance") <= WORD_SHARE * F.col("strange")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "class_distance", "word_distance")

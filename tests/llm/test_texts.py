@@ -53,6 +53,29 @@ def test_quality_rules(spark, table):
     assert quality_rules.quality_rules(table([])).count() == 0
 
 
+def tongue(seed):
+    """A text maker of an invented language: 50 words cover about 30 % of its texts, 3,000 others the rest."""
+    pick = random.Random(seed)
+    word = lambda: "".join(pick.choice("aeioubcdlnrstmpg") for _ in range(pick.randint(2, 9)))
+    common, others = [word() for _ in range(50)], [word() for _ in range(3000)]
+    return lambda n: " ".join((pick.choices(common, [1 / (i + 2) for i in range(50)])[0] if pick.random() < 0.3 else pick.choice(others)) for _ in range(n))
+
+
+def test_word_distance_at_realistic_coverage(spark, table):
+    pick = random.Random(5)
+    english, spanish = tongue(31), tongue(32)
+    rows = [(i, english(300), "en") for i in range(100)] + [(100 + i, spanish(300), "es") for i in range(60)]
+    rows += [(200 + i, "| 7 -- " * 30, "es") for i in range(60)]  # frequent, but without a letter
+    noise = lambda n: " ".join("".join(pick.choice("aeioubcdlnrstmpg") for _ in range(pick.randint(10, 12))) for _ in range(n))
+    rows += [(300, noise(500), "en"), (301, noise(120), "es"), (302, spanish(300), "en"), (303, english(300), "es")]
+    rows += [(304, noise(500), None), (305, noise(500), "xx"), (306, spanish(300), None), (307, english(300), "yy")]
+    words = dict(quality_rules.common_words(table(rows)))
+    assert not {"|", "7", "--"} & {w for ws in words.values() for w in ws} and set(words) == {"", "en", "es"}
+    got = {r.doc_id: r for r in quality_rules.quality_rules(table(rows)).collect()}
+    assert len(got) == len(rows) and all(got[i].kept for i in (*range(160), 306, 307))
+    assert not any(got[i].kept or got[i].base_failed for i in range(300, 306))
+
+
 def js_brute(p, q):
     p, q = np.array(p) / sum(p), np.array(q) / sum(q)
     m = (p + q) / 2
