@@ -76,6 +76,13 @@ def test_word_distance_at_realistic_coverage(spark, table):
     assert not any(got[i].kept or got[i].base_failed for i in range(300, 306))
 
 
+def test_small_groups_are_not_their_own_reference(spark, table):
+    english = tongue(33)
+    rows = [(i, english(300), "en") for i in range(60)] + [(100, " ".join(f"qz{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(100)), "xx")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(table(rows)).collect()}
+    assert got[100].word_distance > 0.3 and not got[100].kept and not got[100].base_failed and all(got[i].kept for i in range(60))
+
+
 def js_brute(p, q):
     p, q = np.array(p) / sum(p), np.array(q) / sum(q)
     m = (p + q) / 2
