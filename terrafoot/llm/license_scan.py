@@ -1,15 +1,16 @@
-"""Licence scans: lines of text against licence templates by the Dice coefficient of word bigrams.
+"""Licence scans: lines and runs of words against licence templates by the Dice coefficient of word bigrams.
 
-Everything runs as DataFrame expressions. Lines whose bigram count no template's size bound allows
-are dropped first; the others' bigrams meet the templates' bigrams in one join with the small, fixed
-template table.
+Everything runs as DataFrame expressions. Texts without any of the templates' rare bigrams, one of
+which every match holds, are dropped first; in the others the rare bigrams place the runs to score.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrafoot.llm.common import cut
+
 #: Short notices by which texts name their licence.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -30,7 +31,10 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
-#: A line matches a template from this Dice coefficient on, in hundredths.
+#: What texts are held against unless templates are given.
+NOTICES = TEMPLATES
+
+#: A line or run matches a template from this Dice coefficient on, in hundredths.
 LEAST_DICE = 85
 
 
@@ -45,35 +49,75 @@ def _bigrams(words: Column) -> Column:
     return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(words)
 
 
-def template_table(spark: SparkSession, templates: dict[str, str] | None = None) -> DataFrame:
-    """license, template_size, bigram: one row for each bigram of each template."""
-    rows = spark.createDataFrame(list((templates or TEMPLATES).items()), "license string, template string")
-    rows = rows.withColumn("bigrams", _bigrams(_words(F.col("template"))))
-    return rows.select("license", F.size("bigrams").alias("template_size"), F.explode("bigrams").alias("bigram"))
+def _anchors(words: list[str], bigrams: list[str], least: int) -> list[tuple[str, int]]:
+    """(bigram, place) of so many of a template's rarest bigrams that no match can lack them all.
+
+    A match shares at least least / (200 - least) of the template's bigrams. Bigrams whose shorter word
+    is long count as rare.
+    """
+    spare = len(bigrams) - -(-len(bigrams) * least // (200 - least))
+    chosen = set(sorted(bigrams, key=lambda b: (-min(map(len, b.split(" "))), -len(b), b))[: spare + 1])
+    places = [" ".join(words[i : i + 2]) for i in range(max(1, len(words) - 1))]
+    return [(b, i) for i, b in enumerate(places) if b in chosen]
 
 
 def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_DICE, templates: dict[str, str] | None = None) -> DataFrame:
-    """One row per matching line: doc_id, line (from 1), license, dice; a line's best template, ties by name.
+    """One row per match: row, doc_id, line (from 1, where it starts), license, dice.
 
-    dice = 2 * common / (line bigrams + template bigrams). Null and empty texts, and lines without a
-    word, match nothing; lines of any length are read whole. Rows that share an id are scanned one
-    by one, and equal lines of such rows give equal matches.
+    Lines, and runs of words across lines of each template's length that share a rare bigram with the
+    template at its place, are scored by dice = 2 * common / (bigrams + template bigrams). Of
+    overlapping matches the best stays: by dice, then length, then name. Null and empty texts match
+    nothing; texts of any length are read whole. Rows that share an id are scanned one by one.
     """
-    chosen = templates or TEMPLATES
-    small = template_table(docs.sparkSession, chosen)
-    sizes = small.agg(F.min("template_size"), F.max("template_size")).first()  # of the fixed templates
-    low, high = sizes[0] * least // (200 - least), -(-sizes[1] * (200 - least) // least)
+    spark = docs.sparkSession
+    fixed = spark.createDataFrame(list((NOTICES if templates is None else templates).items()), "license string, template string")
+    fixed = fixed.withColumn("words", _words(F.col("template"))).select("license", "words", _bigrams(F.col("words")).alias("bigrams")).where(F.size("words") > 0).collect()  # of the fixed templates
+    places = [(b, r.license, i) for r in fixed for b, i in _anchors(r.words, r.bigrams, least)]
+    anchors = spark.createDataFrame(places, "bigram string, license string, place int")
+    small = spark.createDataFrame([(r.license, len(r.words), r.bigrams) for r in fixed], "license string, length int, wanted array<string>")
+    rare = sorted({b for b, _, _ in places})
+    neighbours = lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(w)
+    single = [b for b in rare if " " not in b]  # templates of one word, which any place may hold
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    words = lines.select("doc_id", "row", (F.col("pos") + 1).alias("line"), _words(F.col("line")).alias("words")).where(F.size("words") >= low)
-    bigrams = words.select("doc_id", "row", "line", _bigrams(F.col("words")).alias("bigrams")).withColumn("n", F.size("bigrams"))
-    pairs = bigrams.where((F.col("n") >= max(1, low)) & (F.col("n") <= high)).select("doc_id", "row", "line", "n", F.explode("bigrams").alias("bigram"))
+    maybe = rows.withColumn("words", _words(F.col("text")))
+    maybe = maybe.where(F.exists(neighbours(F.col("words")), lambda b: b.isin(rare)) | (F.exists("words", lambda w: w.isin(single)) if single else F.lit(False)))
+    maybe = cut(maybe.select("row", "doc_id", "text"), "license-texts")
+
+    lines = maybe.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")).withColumn("words", _words(F.col("text")))
+    before = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.select("row", "doc_id", (F.col("pos") + 1).alias("line"), "words", F.coalesce(F.sum(F.size("words")).over(before), F.lit(0)).cast("int").alias("first"))
+    whole = lines.withColumn("bigram", F.explode(F.array_distinct(F.concat(neighbours(F.col("words")), F.col("words") if single else F.array())))).where(F.col("bigram").isin(rare))
+    whole = whole.join(F.broadcast(anchors.select("bigram", "license").distinct()), "bigram").dropDuplicates(["row", "line", "license"]).select("row", "doc_id", "line", "license", "first", "words")
+
+    numbered = F.flatten(F.transform(F.split("text", "\n", -1), lambda x, i: F.transform(_words(x), lambda w: F.struct(w.alias("word"), (i + 1).alias("line")))))
+    texts = maybe.select("row", "doc_id", numbered.alias("numbered")).withColumn("words", F.col("numbered.word"))
+    spots = F.transform(neighbours(F.col("words")), lambda b, i: F.struct(b.alias("bigram"), i.alias("at")))
+    spots = F.concat(spots, F.transform("words", lambda w, i: F.struct(w.alias("bigram"), i.alias("at")))) if single else spots
+    longest = max((len(r.words) for r in fixed), default=1)
+    start = lambda at: F.greatest(F.lit(0), at - longest)
+    near = F.transform(F.filter(spots, lambda x: x["bigram"].isin(rare)), lambda x: F.struct(x["bigram"].alias("bigram"), x["at"].alias("at"), F.slice("numbered", start(x["at"]) + 1, F.lit(2 * longest)).alias("numbered")))
+    hits = texts.select("row", "doc_id", F.explode(near).alias("spot")).select("row", "doc_id", "spot.*")
+    runs = hits.join(F.broadcast(anchors), "bigram").join(F.broadcast(small.select("license", "length")), "license")
+    runs = runs.withColumn("first", F.greatest(F.lit(0), F.col("at") - F.col("place")))
+    run = F.slice("numbered", F.col("first") - start(F.col("at")) + 1, F.col("length"))
+    runs = runs.select("row", "doc_id", "license", "first", run.alias("run")).select("row", "doc_id", F.col("run")[0]["line"].alias("line"), "license", "first", F.col("run.word").alias("words"))
+    runs = runs.dropDuplicates(["row", "license", "first"])
+
+    scored = whole.unionByName(runs).withColumn("bigrams", _bigrams(F.col("words"))).join(F.broadcast(small), "license")
+    scored = scored.withColumns({"n": F.size("bigrams"), "template_size": F.size("wanted"), "last": F.col("first") + F.size("words")})
     bound = (F.col("n") * (200 - least) >= F.col("template_size") * least) & (F.col("template_size") * (200 - least) >= F.col("n") * least)
-    shared = pairs.join(F.broadcast(small), "bigram").where(bound)  # the templates' size is fixed
-    common = shared.groupBy("row", "line", "license", "doc_id", "n", "template_size").agg(F.count("*").alias("common"))
-    found = common.withColumn("dice", 2.0 * F.col("common") / (F.col("n") + F.col("template_size"))).where(200 * F.col("common") >= least * (F.col("n") + F.col("template_size")))
-    best = found.groupBy("row", "line", "doc_id").agg(F.max("dice").alias("dice"), F.min_by("license", F.struct(-F.col("dice"), F.col("license"))).alias("license"))
-    return best.select("row", "doc_id", "line", "license", "dice")
+    common = scored.where(bound).withColumn("common", F.size(F.array_intersect("bigrams", "wanted"))).where(200 * F.col("common") >= least * (F.col("n") + F.col("template_size")))
+    found = common.withColumn("dice", 2.0 * F.col("common") / (F.col("n") + F.col("template_size"))).select("row", "doc_id", "line", "license", "dice", "first", "last").distinct()
+
+    order = Window.partitionBy("row").orderBy("first", "last")
+    heads = found.withColumn("reach", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    heads = heads.withColumn("group", F.sum(F.when(F.col("first") < F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    match = F.struct((-F.col("dice")).alias("minus"), (F.col("first") - F.col("last")).alias("size"), "license", "first", "last", "line")
+    groups = heads.groupBy("row", "doc_id", "group").agg(F.array_sort(F.collect_list(match)).alias("all"))
+    none = F.slice("all", 1, 0)
+    kept = F.aggregate("all", none, lambda a, x: F.when(F.exists(a, lambda y: (y["first"] < x["last"]) & (x["first"] < y["last"])), a).otherwise(F.concat(a, F.array(x))))
+    best = groups.select("row", "doc_id", F.explode(kept).alias("m"))
+    return best.select("row", "doc_id", F.col("m.line").alias("line"), F.col("m.license").alias("license"), (-F.col("m.minus")).alias("dice"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_DICE, templates: dict[str, str] | None = None) -> DataFrame:

@@ -26,6 +26,17 @@ def test_licenses(spark, table):
         assert license_scan.license_matches(table([(1, text)])).first().dice == 1.0, name
 
 
+def test_licenses_across_and_within_lines(spark, table):
+    grant = "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files, to deal in\nthe Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software."
+    header = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n"
+    own = {k: v for k, v in license_scan.TEMPLATES.items()}
+    rows = [(1, "Copyright 2020 X\n\n" + grant + "\nmore"), (2, "int x;\n" + header + "int y;"), (3, "This project is released under the MIT License. See LICENSE for details."), (4, "word " * 30_000 + "Released under\nthe MIT License. " + "word " * 30_000), (5, "released by the\nlicense of version"), (6, "a\nReleased under the MIT License.\nReleased under the MIT\nLicense. Licensed under CC BY-NC 4.0.")]
+    found = {r.doc_id: (r.n_matches, r.licenses, r.best_dice) for r in license_scan.license_scan(table(rows), templates=own).collect()}
+    assert found == {1: (1, ["MIT-grant"], 1.0), 2: (1, ["GPL-3.0-header"], 1.0), 3: (1, ["MIT"], 1.0), 4: (1, ["MIT"], 1.0), 6: (3, ["CC-BY-NC-4.0", "MIT"], 1.0)}
+    assert {(r.doc_id, r.line) for r in license_scan.license_matches(table(rows), templates=own).collect()} == {(1, 3), (2, 2), (3, 1), (4, 1), (6, 2), (6, 3), (6, 4)}
+    assert license_scan.license_scan(table([(1, "say Proprietary now")]), templates={"P": "proprietary"}).first().licenses == ["P"]
+
+
 def quality_brute(text):
     words = WORD.findall(text or "")
     runs = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
