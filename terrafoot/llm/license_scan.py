@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafoot.llm.common import cut
+from terrafoot.llm.license_texts import TEXTS
 
 #: Short notices by which texts name their licence.
 TEMPLATES = {
@@ -32,7 +33,7 @@ TEMPLATES = {
 }
 
 #: What texts are held against unless templates are given.
-NOTICES = TEMPLATES
+NOTICES = TEMPLATES | TEXTS
 
 #: A line or run matches a template from this Dice coefficient on, in hundredths.
 LEAST_DICE = 85

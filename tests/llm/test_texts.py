@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -37,6 +38,16 @@ def test_licenses_across_and_within_lines(spark, table):
     assert license_scan.license_scan(table([(1, "say Proprietary now")]), templates={"P": "proprietary"}).first().licenses == ["P"]
 
 
+def test_license_texts_in_customary_form(spark, table):
+    wrap = lambda name, width=66: "\n".join(" * " + x for x in textwrap.wrap(license_scan.NOTICES[name], width))
+    names = ["MIT-text", "ISC-text", "BSD-2-Clause-text", "BSD-3-Clause-text", "Unlicense", "AGPL-3.0-header", "LGPL-2.1-header", "Apache-2.0-grant", "MPL-2.0-grant", "GPL-3.0-opening"]
+    rows = [(i, f"/*\n{wrap(name)}\n */\ncode") for i, name in enumerate(names)]
+    rows += [(50, "This project is licensed under the MIT License."), (51, wrap("BSD-2-Clause-text").replace("REGENTS", "COPYRIGHT HOLDERS")), (52, wrap("ISC-text").replace("THE AUTHOR", "EXAMPLE INC")), (53, "GNU in a zoo, free of charge")]
+    found = {r.doc_id: r.licenses for r in license_scan.license_scan(table(rows)).collect()}
+    assert {i: found[i] for i in range(len(names))} == {i: [name] for i, name in enumerate(names)}
+    assert found[50] == ["MIT-licensed"] and found[51] == ["BSD-2-Clause-text"] and found[52] == ["ISC-grant"] and 53 not in found
+
+
 def quality_brute(text):
     words = WORD.findall(text or "")
     runs = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
