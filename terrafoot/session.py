@@ -1,4 +1,4 @@
-"""Session-bound helpers."""
+"""Session-bound helpers: tables in the folder that all machines share."""
 
 from __future__ import annotations
 
@@ -9,16 +9,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set."""
+    """This application's folder below spark.checkpoint.dir.
+
+    Where none is set, a local session gets a temporary one; a cluster has no folder of its own that
+    all its machines see, so there it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrafoot-"))
         path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
+    return f"{path.rstrip('/')}/terrafoot-{spark.sparkContext.applicationId}"
+
 
+def materialised(df: DataFrame, label: str = "rows") -> DataFrame:
+    """``df`` written to the shared folder and read back.
 
-def materialised(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that row ids agree on all branches of a plan."""
-    path = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    Row ids then agree on all branches of a plan, and later stages restart from these files when an
+    executor is lost.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.scratch = path
+    return back
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`materialised` that nothing reads any more, as in the rounds of a loop."""
+    for df in tables:
+        if path := getattr(df, "scratch", None):
+            _delete(df.sparkSession, path)
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Deletes all that this application has in the shared folder; results that were not written out go too."""
+    _delete(spark, shared_dir(spark))
