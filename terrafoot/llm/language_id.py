@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from terrafoot.llm.common import buffers, pieces
 
-#: Bounds of the fit: labelled rows in the sample (about; twice that at most), languages, buckets of n-grams.
-SAMPLE_ROWS, LANGUAGES, BITS = 4096, 256, 16
+#: Bounds of the fit: labelled rows in the sample (about; twice that at most) and the least for each language,
+#: which counts where there are very many languages; buckets of n-grams.
+SAMPLE_ROWS, LEAST_ROWS, BITS = 4096, 8, 16
 ORDERS = (1, 2, 3)
-CHUNK = 1 << 20
+#: Bytes of texts that are predicted together, characters of a text in hand at a time, weights in hand at a time.
+CHUNK, SLICE, WEIGHTS = 1 << 18, 1 << 18, 1 << 20
 SCALE = 30.0
 
 
@@ -31,32 +33,47 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-def ngrams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order: the bucket of each n-gram, the first one of each text, and the number in each text.
+def ngrams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The text and the bucket of each n-gram, in slices of a fixed number of characters.
 
     Texts are lower-cased; what is no letter separates words, and each word has one blank on either
-    side. A text without letters has no n-grams.
+    side. A text without letters has no n-grams. A long text is cut anywhere: what n-grams need of the
+    slice before goes over to the next one.
     """
     texts = [" " + (t or "").lower() + " " for t in texts]
-    lens = np.array([len(t) for t in texts])
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[points]
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    ends = np.cumsum(lens)
-    first = ends - lens
-    keep[first] = True
-    count = np.concatenate([[0], np.cumsum(keep)])
-    start, end = count[first], count[ends]
-    some = end - start > 1
-    code = np.where(letter, points, 32)[keep].astype(np.uint64)
-    gram = np.zeros(len(code), np.uint64)
-    with np.errstate(over="ignore"):
-        for n in range(1, max(ORDERS) + 1):
-            gram = gram[: len(code) - n + 1] * np.uint64(0x100000001B3) + code[n - 1 :] if n > 1 else code
-            if n in ORDERS:
-                h = (gram + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-                yield (h >> np.uint64(64 - BITS)).astype(np.int64), start, np.where(some, np.maximum(end - start - n + 1, 0), 0)
+    joined = "".join(texts)
+    edges = np.cumsum([0, *(len(t) for t in texts)])
+    del texts
+    before, owners, codes = False, np.zeros(0, np.int64), np.zeros(0, np.uint64)  # the last characters kept, for the next slice
+    for at in range(0, len(joined), SLICE):
+        part = joined[at : at + SLICE]
+        points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letters()[points]
+        own = edges.clip(at, at + len(points)) - at
+        owner = np.repeat(np.arange(len(edges) - 1), np.diff(own))
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]  # the one blank behind a word
+        keep[0] |= before
+        keep[own[(edges >= at) & (edges < at + len(points))]] = True  # the blank before a text
+        before = bool(letter[-1])
+        old = len(codes)
+        owners = np.concatenate([owners, owner[keep]])
+        codes = np.concatenate([codes, np.where(letter, points, 32)[keep].astype(np.uint64)])
+        gram = np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
+            for n in range(1, max(ORDERS) + 1):
+                gram = gram[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :] if n > 1 else codes
+                if n in ORDERS and len(gram):
+                    fresh = max(0, old - n + 1)  # those that end in this slice
+                    h = (gram[fresh:] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+                    inside = owners[fresh : len(gram)] == owners[fresh + n - 1 :]
+                    yield owners[fresh : len(gram)][inside], (h >> np.uint64(64 - BITS)).astype(np.int64)[inside]
+        owners, codes = owners[-(max(ORDERS) - 1) :], codes[-(max(ORDERS) - 1) :]
+
+
+def lettered(texts: list[str | None]) -> np.ndarray:
+    """Whether each text has a letter."""
+    return np.array([any(map(str.isalpha, t)) for t in (t or "" for t in texts)], bool)
 
 
 def _rows(column: pa.Array):
@@ -67,27 +84,29 @@ def _rows(column: pa.Array):
 
 @dataclass
 class Model:
+    """A language's name, and its whole-numbered weights (``unit`` each): sums don't depend on their order."""
+
     languages: list[str]
     weights: np.ndarray  # (buckets, languages), inverse document frequency and scale included
+    unit: float
     bias: np.ndarray
     temperature: float
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        total = np.zeros(len(texts))
-        logits = np.zeros((len(texts), len(self.languages)))
-        for bucket, start, n in ngrams(texts):
-            total += n
-            has = np.flatnonzero(n)
-            if len(has):
-                cuts = np.empty(2 * len(has), np.int64)
-                cuts[::2], cuts[1::2] = start[has], start[has] + n[has]
-                rows = np.concatenate([self.weights[bucket], np.zeros((1, len(self.languages)), np.float32)])
-                logits[has] += np.add.reduceat(rows, cuts, axis=0, dtype=np.float64)[::2]
-        some = total > 0
-        logits[some] /= total[some, None]
-        if not self.languages:
+        kinds = len(self.languages)
+        if not kinds or not texts:
             return ["und"] * len(texts), [0.0] * len(texts)
-        p = _softmax((logits + self.bias) / self.temperature)
+        total = np.zeros(len(texts), np.int64)
+        sums = np.zeros((len(texts), kinds), np.int64)
+        step = max(1, WEIGHTS // kinds)
+        for owner, bucket in ngrams(texts):
+            total += np.bincount(owner, minlength=len(texts))
+            for i in range(0, len(owner), step):
+                own = owner[i : i + step]  # in the order of the texts
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                sums[own[first]] += np.add.reduceat(self.weights[bucket[i : i + step]], first, axis=0, dtype=np.int64)
+        some = lettered(texts)
+        p = _softmax((sums * self.unit / np.maximum(total, 1)[:, None] + self.bias) / self.temperature)
         best = p.argmax(1)
         return [self.languages[k] if ok else "und" for k, ok in zip(best, some, strict=True)], np.where(some, p[np.arange(len(p)), best], 0.0).tolist()
 
@@ -101,13 +120,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per labelled text its distinct buckets and their shares of all its n-grams."""
     for batch in batches:
         for s, e, texts in _rows(batch.column("text")):
-            found = list(ngrams(texts))
             index, share = [], []
-            for i in range(e - s):
-                own = np.concatenate([b[a[i] : a[i] + n[i]] for b, a, n in found])
-                at, counts = np.unique(own, return_counts=True)
+            for text, some in zip(texts, lettered(texts), strict=True):
+                counts = np.zeros(1 << BITS, np.int64)
+                for _, bucket in ngrams([text]) if some else ():
+                    counts += np.bincount(bucket, minlength=1 << BITS)
+                at = np.flatnonzero(counts)
                 index.append(at.astype(np.int32).tobytes())  # packed: the driver gets bytes, not numbers one by one
-                share.append((counts / max(1, len(own))).astype(np.float32).tobytes())
+                share.append((counts[at] / max(1, counts.sum())).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("lang")[s:e], batch.column("order")[s:e], pa.array(index, pa.binary()), pa.array(share, pa.binary())], ["lang", "order", "index", "share"])
 
 
@@ -149,31 +169,36 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 4, alpha
     for _ in range(60 if len(held) else 0):  # golden section over log temperature
         a, b = hi - (hi - lo) * 0.618, lo + (hi - lo) * 0.618
         lo, hi = (lo, b) if loss(a) <= loss(b) else (a, hi)
-    return Model(names, weights.astype(np.float32), bias, float(np.exp((lo + hi) / 2)) if len(held) else 1.0)
+    unit = max(float(np.abs(weights).max(initial=0.0)), 1e-9) / (1 << 30)
+    return Model(names, np.rint(weights / unit).astype(np.int32), unit, bias, float(np.exp((lo + hi) / 2)) if len(held) else 1.0)
 
 
-def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, languages: int = LANGUAGES) -> Model:
-    """A model of the rows where ``learn`` holds and the language is not null.
+def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, least_rows: int = LEAST_ROWS) -> Model:
+    """A model of the rows where ``learn`` holds and the language is not null, for all languages that occur.
 
-    The sample takes an equal share of each of the ``languages`` most frequent languages, by a hash
-    of the id, about ``sample_rows`` in all and never more than twice that.
+    The sample takes an equal share of each language, by a hash of the id: about ``sample_rows`` rows
+    in all, or ``least_rows`` a language where that is more, and never more than twice that. The driver
+    holds the sample and 1 MB of state a language; the model takes 256 KB a language.
     """
+    spark = docs.sparkSession
     rows = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = rows.groupBy("lang").count().collect()  # one row for each language
+    if not counts:
+        return Model([], np.zeros((1 << BITS, 0), np.int32), 1.0, np.zeros(0), 1.0)
+    each = max(least_rows, sample_rows / len(counts))
+    limits = spark.createDataFrame([(r["lang"], int(each / r["count"] * (1 << 32)) + 1) for r in counts], "lang string, limit long")
     order = F.pmod(F.xxhash64("id"), F.lit(1 << 32))
-    limits = [x for r in counts for x in (F.lit(r["lang"]), F.lit(int(sample_rows / len(counts) / r["count"] * (1 << 32)) + 1))]
-    if not limits:
-        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0)
-    sample = rows.withColumn("order", order).where(F.col("order") < F.element_at(F.create_map(*limits), F.col("lang")))
+    sample = rows.withColumn("order", order).join(F.broadcast(limits), "lang").where("order < limit")
     sample = sample.select("lang", "order", "text").mapInArrow(_features, "lang string, order long, index binary, share binary")
-    found = sample.where(F.octet_length("index") > 0).orderBy("order", "lang").limit(2 * sample_rows).collect()
+    found = sample.where(F.octet_length("index") > 0).orderBy("order", "lang").limit(round(2 * each * len(counts))).collect()
     return train([(r["lang"], np.frombuffer(r["index"], np.int32), np.frombuffer(r["share"], np.float32).astype(float)) for r in found])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) of every row; ``und`` and 0 for null texts and texts without letters.
 
-    Only the text takes part. Equal texts get equal results; an empty table gives no rows.
+    Only the text takes part. Equal texts get equal results; an empty table gives no rows. Long texts
+    are read whole, in slices.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -188,16 +213,21 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def recognised(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose text has no recognised language: ``und``, or a score below ``least``."""
+    """``docs`` without the rows whose text has no recognised language: ``und``, or a score below ``least``.
+
+    Repeated rows are judged one by one; an empty table stays empty. Only texts go to Python.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s, e, texts in _rows(batch.column(text_col)):
-                lang, p = sent.value.predict(texts)
-                yield batch.slice(s, e - s).filter(pa.array([k != "und" and x >= least for k, x in zip(lang, p, strict=True)], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def known(text: pa.Array) -> pa.Array:
+        found = []
+        for _, _, texts in _rows(text):
+            lang, p = sent.value.predict(texts)
+            found += [k != "und" and x >= least for k, x in zip(lang, p, strict=True)]
+        return pa.array(found, pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(known(text_col))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -4,9 +4,12 @@ Texts with equal shingle sets become one class first, so groups of copies never
 Classes that share a band are compared with one pivot of the bucket; what is linked to a pivot by an
 exact check of the full sets falls into its component. Members of one bucket that are still in
 different components meet further pivots, and in the end the nodes outside the main component are
-compared with all the others of their pivot, in blocks whose size is fixed. So every pair of classes
-that shares a band is checked or known to be connected, no pair but the links leaves a block, and no
-bucket emits all its pairs.
+compared with the others of their pivot, in blocks that hold a bounded number of shingles. Pivots of
+more than a block first lose the nodes that share no prefix shingle with another component: two sets
+of the wanted similarity always share one of the first n - ceil(0.8 n) + 1 of their shingles, in any
+fixed order, and here the order puts those that are frequent at the pivot last. So every pair of
+classes that shares a band is checked or known to be connected or too far apart, no pair but the
+links leaves a block, and no bucket emits all its pairs.
 """
 
 from __future__ import annotations
@@ -17,18 +20,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafoot.llm.common import buffers, cut, pieces
 from terrafoot.llm.words import PIECE, band_keys, fast_sketches, shingle_sets
+from terrafoot.session import released
 
 #: At a similarity of 0.8 a pair shares one of 40 bands of 6 coordinates with probability 0.999995.
 BANDS, ROWS = 40, 6
 #: Rounds with further pivots, at most, before what is left in mixed buckets is compared in blocks.
 PIVOT_ROUNDS = 4
-#: Nodes on either side of a block that one task compares.
-BLOCK = 256
+#: Shingles on either side of a block that one task compares (4 MB); a longer set stands alone.
+BLOCK = 1 << 19
 
 
 def _sketch(k: int, bands: int, rows: int):
@@ -95,17 +99,34 @@ def connected(edges: DataFrame) -> DataFrame:
     stars = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     while True:
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(stars.select("lo", "hi"))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "star-min")
-        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "star-large")
+        near = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "star-min")
+        large = cut(both.join(near, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "star-large")
         least = cut(large.groupBy("hi").agg(F.min("lo").alias("m")), "star-min")
-        near = large.join(least, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        stars = cut(near.unionAll(least.select("hi", F.col("m").alias("lo"))).distinct(), "star-small")
+        small = large.join(least, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        old, stars = stars, cut(small.unionAll(least.select("hi", F.col("m").alias("lo"))).distinct(), "star-small")
+        released(old, near, large, least)
         ends = stars.select(F.col("hi").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(stars.select("lo", F.lit(0), F.lit(1)))
         loose = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)")
         if loose.isEmpty():  # every node has one edge up, to a node that has none
             return stars.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).unionAll(stars.select("lo", "lo").distinct())
 
 
+def _may_meet(stars: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """(pivot, node) of the nodes of ``stars`` (pivot, node, comp, size, n) that share a prefix shingle with another component.
+
+    A pivot's frequent shingles, those of a tenth of its nodes or more, number ten times a mean set at most.
+    """
+    rows = cut(stars.join(sets.hint("merge"), "node").select("pivot", "node", "comp", "size", "n", "shingles"), "star-sets")
+    counts = rows.select("pivot", "size", F.explode("shingles").alias("token")).groupBy("pivot", "size", "token").agg(F.count("*").alias("held"))
+    frequent = cut(counts.where("10 * held >= size").groupBy("pivot").agg(F.collect_list("token").alias("frequent")), "star-frequent")
+    last = F.coalesce("frequent", F.array().cast("array<long>"))
+    ordered = F.concat(F.array_sort(F.array_except("shingles", last)), F.array_sort(F.array_intersect("shingles", last)))
+    prefix = F.slice(ordered, F.lit(1), (F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1).cast("int"))
+    keyed = cut(rows.join(frequent.hint("merge"), "pivot", "left").select("pivot", "node", "comp", F.explode(prefix).alias("token")), "star-prefixes")
+    shared = keyed.groupBy("pivot", "token").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first != last")
+    return keyed.join(shared.select("pivot", "token").hint("merge"), ["pivot", "token"], "left_semi").select("pivot", "node").distinct()
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, similarity: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: doc_id, mark, n_shingles, component_id.
 
@@ -114,15 +135,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an empty set and are linked with nothing. Texts are linked when 100 * intersection is at least
     ``similarity`` * union; component_id is the smallest id reachable. Null ids are never the
     smallest; a component of null ids only has a null component_id. Rows that share an id but not
-    their text are separate nodes; ``mark`` tells them apart. An empty table gives no rows.
+    their text are separate nodes; ``mark`` tells them apart. An empty table gives no rows. Texts and
+    words of any length are read whole.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
     rows_ = cut(texts.mapInArrow(_sketch(k, bands, rows), "id long, mark long, n int, digest binary, bands array<long>"), "sketches")
     classes = rows_.where("n > 0").groupBy("digest").agg(F.min("id").alias("least_id"), F.min(F.struct("id", "mark")).alias("where"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    keyed = classes.select("node", F.explode("bands").alias("band"))
-    buckets = cut(keyed.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1"), "buckets")
-    members = cut(keyed.join(buckets.select("band", "pivot").hint("merge"), "band"), "members")
+    keyed = classes.select("node", "n", F.explode("bands").alias("band"))
+    buckets = cut(keyed.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("pivot")).where("size > 1"), "buckets")
+    members = cut(keyed.join(buckets.select("band", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n")).hint("merge"), "band"), "members")
     need = members.select("node").distinct().join(classes.select("node", "where"), "node")
     need = need.select("node", F.col("where.id").alias("at_id"), F.col("where.mark").alias("at_mark"))
     sets = texts.join(need.hint("merge"), (F.col("mark") == F.col("at_mark")) & F.col("id").eqNullSafe(F.col("at_id"))).select("node", "text")
@@ -134,15 +156,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         near = 100 * common >= similarity * (F.size("set_a") + F.size("set_b") - common)
         return cut(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", near.alias("linked")), "checked")
 
+    def alike(n: str, m: str) -> Column:
+        """Whether sets of these sizes can be similar enough."""
+        return 100 * F.least(n, m) >= similarity * F.greatest(n, m)
+
     def placed() -> tuple[DataFrame, DataFrame]:
         """Members of the buckets that hold several components, and those buckets."""
-        rows = members.select("band", "pivot", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        parts = rows.groupBy("band", "comp").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64(F.col("node"), F.lit(turn))).alias("some"))
+        rows = members.select("band", "pivot", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        parts = rows.groupBy("band", "comp").agg(F.count("*").alias("size"), F.min_by(F.struct("node", "n"), F.xxhash64(F.col("node"), F.lit(turn))).alias("some"))
         mixed = cut(parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("size").alias("rows"), F.max(F.struct("size", "comp", "some")).alias("most")).where("parts > 1"), "mixed")
-        return cut(rows.join(mixed.select("band", F.col("most.comp").alias("main"), F.col("most.some").alias("turn_pivot")), "band"), "mixed-members"), mixed
+        return cut(rows.join(mixed.select("band", F.col("most.comp").alias("main"), F.col("most.some.node").alias("turn_pivot"), F.col("most.some.n").alias("turn_n")), "band"), "mixed-members"), mixed
 
     # every member against its bucket's pivot, then those outside the main component against further pivots of it
-    pairs = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = members.where((F.col("node") != F.col("pivot")) & alike("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     checked, turn, before = compared(pairs), 0, None
     while True:
         labels = connected(checked.where("linked"))
@@ -151,18 +177,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if turn == PIVOT_ROUNDS or (before is not None and outside > 0.8 * before) or 2 * outside <= total:
             break  # main components hold most of their buckets, or further pivots don't help
         turn, before = turn + 1, outside
-        pairs = rows.where("comp != main").select(F.least("node", "turn_pivot").alias("a"), F.greatest("node", "turn_pivot").alias("b")).distinct()
+        pairs = rows.where((F.col("comp") != F.col("main")) & alike("n", "turn_n")).select(F.least("node", "turn_pivot").alias("a"), F.greatest("node", "turn_pivot").alias("b")).distinct()
         pairs = cut(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             break
         checked = checked.unionAll(compared(pairs))
 
     # what is left: the nodes of a pivot's buckets that are outside their main component, against all of its nodes, in blocks
-    stars = rows.select("pivot", "node", "comp").distinct()
+    stars = rows.select("pivot", "node", "comp", "n").distinct()
     parts = stars.groupBy("pivot", "comp").agg(F.count("*").alias("size"))
-    sizes = parts.groupBy("pivot").agg(F.sum("size").alias("size"), F.max(F.struct("size", "comp")).alias("most")).where("size > 2")
-    sizes = cut(sizes.select("pivot", F.col("most.comp").alias("main"), F.ceil(F.col("size") / BLOCK).alias("across"), F.ceil((F.col("size") - F.col("most.size")) / BLOCK).alias("down")), "star-sizes")
-    stars = cut(stars.join(sizes, "pivot"), "stars")
+    mains = parts.groupBy("pivot").agg(F.sum("size").alias("size"), F.max(F.struct("size", "comp")).alias("most")).where("size > 2")
+    stars = cut(stars.join(mains.select("pivot", "size", F.col("most.comp").alias("main")), "pivot"), "stars")
+    weight = stars.groupBy("pivot").agg(F.sum("n").alias("weight"))
+    large = stars.join(weight.where(F.col("weight") > BLOCK).select("pivot").hint("merge"), "pivot", "left_semi")
+    if not large.isEmpty():
+        large = cut(_may_meet(large, sets, similarity), "stars-left")
+        stars = stars.join(weight.where(F.col("weight") <= BLOCK).select("pivot").hint("merge"), "pivot", "left_semi").unionByName(stars.join(large.hint("merge"), ["pivot", "node"], "left_semi"))
+    across = F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK)).alias("across")
+    down = F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("comp") != F.col("main"), F.col("n"))) / BLOCK)).alias("down")
+    stars = cut(stars.join(stars.groupBy("pivot").agg(across, down), "pivot"), "star-blocks")
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("long")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asked = stars.where("comp != main").select("pivot", "node", "comp", F.lit(True).alias("asked"), block("down").alias("i"), every("across").alias("j"))

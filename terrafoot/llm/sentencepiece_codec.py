@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,9 +27,10 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
-CHUNK = 1 << 20
-#: Longer units are merged one by one with a heap; units remembered by a task.
-LONG, REMEMBERED = 48, 400_000
+#: Bytes of texts that are encoded together; entries of a table of substrings.
+CHUNK, TABLE = 1 << 18, 1 << 19
+#: Units beyond this length are cut where no piece can reach across, what stays longer goes alone; units remembered by a task.
+LONG, REMEMBERED = 48, 1 << 17
 U = np.uint64
 PRIME = U(0x100000001B3)
 
@@ -59,9 +61,34 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+def _charsmap(blob: bytes) -> dict[str, str]:
+    """The rules of a model's character map: a double array over UTF-8 bytes whose leaves point at replacements."""
+    size = struct.unpack_from("<I", blob)[0]
+    cells = np.frombuffer(blob, np.uint32, size // 4, 4).astype(np.int64)
+    texts = blob[4 + size :]
+    reach = (cells >> 10) << ((cells & 512) >> 6)
+    rules, labels, todo = {}, np.arange(1, 256), [(b"", int(reach[0]))]
+    while todo:
+        prefix, at = todo.pop()
+        spots = at ^ labels
+        spots, own = spots[spots < len(cells)], labels[spots < len(cells)]
+        hit = (cells[spots] & 0x800000FF) == own
+        for spot, label in zip(spots[hit].tolist(), own[hit].tolist(), strict=True):
+            key, after = prefix + bytes([label]), int(spot ^ reach[spot])
+            if cells[spot] >> 8 & 1:
+                start = int(cells[after] & 0x7FFFFFFF)
+                rules[key.decode()] = texts[start : texts.index(b"\0", start)].decode()
+            todo.append((key, after))
+    return rules
+
+
+def _one_of(characters) -> str:
+    return "[" + "".join(map(re.escape, sorted(characters))) + "]"
+
+
 @dataclass
 class Pieces:
-    """A model's pieces with their scores and kinds, and how it treats white space."""
+    """A model's pieces with their scores and kinds, and how it treats characters and white space."""
 
     names: list[str]
     scores: np.ndarray
@@ -69,30 +96,42 @@ class Pieces:
     model: int = UNIGRAM
     dummy_prefix: bool = True
     squeeze: bool = False
+    rules: dict[str, str] = field(default_factory=dict)
     keys: np.ndarray = field(init=False)
     ids: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        if (self.kinds == USER).any():
-            raise ValueError("models with user-defined pieces are not supported")
-        own = np.flatnonzero(self.kinds == NORMAL)
+        normal, given = self.kinds == NORMAL, self.kinds == USER
+        self.scores = np.asarray(self.scores, np.float32).copy()
+        self.worst = np.float32((self.scores[normal].min() if normal.any() else 0) - 10)
+        best = max(0.0, self.scores[normal].max() if normal.any() else 0.0)
+        self.lengths = np.array([len(x) for x in self.names])
+        if self.model == UNIGRAM:  # a given piece beats any other way through its own characters
+            self.scores[given] = [len(self.names[i].encode()) * best - 0.1 for i in np.flatnonzero(given)]
+        users = sorted((self.names[i] for i in np.flatnonzero(given)), key=len, reverse=True)
+        self.given = re.compile("(" + "|".join(map(re.escape, users)) + ")") if users else None
+        own = np.flatnonzero(normal | given) if self.model == UNIGRAM else np.flatnonzero(normal)
         keys = np.array([_key(self.names[i]) for i in own], U)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], own[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one key")
-        self.longest = max((len(self.names[i]) for i in own), default=1)
-        self.lengths = np.array([len(x) for x in self.names])
+        self.longest = int(max((self.lengths[i] for i in own), default=1))
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.keys >> U(44)).astype(np.int64)] = True
         self.bytes = {int(x[1:-1], 16): i for i, x in enumerate(self.names) if self.kinds[i] == BYTE}
         self.unknown = next((i for i in range(len(self.names)) if self.kinds[i] == UNKNOWN), 0)
-        self.worst = float(self.scores[own].min() if len(own) else 0) - 10.0
         many = [self.names[i] for i in own if len(self.names[i]) > 1]
         inner = any(SPACE in x.lstrip(SPACE) for x in many)
         lines = any("\n" in x for x in many)
         stop = SPACE if lines else SPACE + "\n"
         self.unit = re.compile(r"(?s).+" if inner else f"{SPACE}*[^{stop}]+|{SPACE}+" + ("" if lines else "|\n"))
+        self.ruled = None
+        if self.rules:  # where a rule may start: a character that has one alone, or before a second one that goes on
+            several = [k for k in self.rules if len(k) > 1]
+            parts = [_one_of({k for k in self.rules if len(k) == 1})] if len(several) < len(self.rules) else []
+            parts += [_one_of({k[0] for k in several}) + "(?=" + _one_of({k[1] for k in several}) + ")"] if several else []
+            self.ruled, self.rule_length = re.compile("|".join(parts)), max(map(len, self.rules))
         raw = [bytes([int(x[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else x.replace(SPACE, " ").encode() for x, k in zip(self.names, self.kinds, strict=True)]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
@@ -107,12 +146,56 @@ class Pieces:
             out.flat[maybe[hit]] = self.ids[spot[hit]]
         return out
 
+    def _mapped(self, text: str) -> str:
+        """``text`` after the character map: at each place the longest rule."""
+        out, done = [], 0
+        for hit in self.ruled.finditer(text):
+            at = hit.start()
+            if at < done:
+                continue
+            for n in range(min(self.rule_length, len(text) - at), 0, -1):
+                if (new := self.rules.get(text[at : at + n])) is not None:
+                    out += [text[done:at], new]
+                    done = at + n
+                    break
+        return "".join([*out, text[done:]])
+
     def normalised(self, text: str | None) -> str:
         if not text:
             return ""
+        if self.ruled:  # given pieces stay as they are
+            text = "".join(x if i % 2 else self._mapped(x) for i, x in enumerate(self.given.split(text))) if self.given else self._mapped(text)
         if self.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
-        return (SPACE if self.dummy_prefix and text else "") + text.replace(" ", SPACE)
+            if not text:
+                return ""
+        return (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
+
+    def units(self, text: str | None) -> list[str]:
+        """What the text is encoded by: runs that no piece crosses."""
+        text = self.normalised(text)
+        parts = self.given.split(text) if self.given and self.model == BPE else [text]
+        out = []
+        for i, part in enumerate(parts):
+            if i % 2:
+                out.append(part)  # a given piece, which nothing merges with
+                continue
+            for unit in self.unit.findall(part):
+                out += [unit] if len(unit) <= LONG else self._split(unit)
+        return out
+
+    def _split(self, unit: str) -> list[str]:
+        """A long unit, cut where no piece of the model that occurs in it reaches across."""
+        points = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
+        window = max(1, TABLE // (self.longest + 1))
+        turn = np.zeros(len(points) + 2, np.int64)
+        for at in range(0, len(points), window):
+            table = _substrings(points[None, at : at + window + self.longest], self)[0, :window]
+            start, length = np.nonzero(table[:, 2:] >= 0)
+            np.add.at(turn, at + start + 1, 1)
+            np.add.at(turn, at + start + length + 2, -1)
+        cuts = np.flatnonzero(np.cumsum(turn)[1 : len(points)] == 0) + 1
+        return [unit[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(unit)], strict=True)]
 
 
 def _spread(h: np.ndarray) -> np.ndarray:
@@ -127,9 +210,12 @@ def _key(text: str) -> int:
 
 
 def read_model(path: str) -> Pieces:
-    """Pieces of a ``.model`` file; a model that rewrites characters is refused."""
+    """Pieces of a ``.model`` file of the unigram or BPE kind, with its character map and given pieces."""
     with open(path, "rb") as f:
-        data = f.read()
+        return parse_model(f.read())
+
+
+def parse_model(data: bytes) -> Pieces:
     names, scores, kinds, extra = [], [], [], {}
     for number, value in _fields(data):
         if number == 1:
@@ -138,12 +224,13 @@ def read_model(path: str) -> Pieces:
             scores.append(struct.unpack("<f", own[2])[0] if 2 in own else 0.0)
             kinds.append(own.get(3, NORMAL))
         elif number == 2:
-            extra["model"] = dict(_fields(value)).get(3, UNIGRAM)
+            own = dict(_fields(value))
+            if own.get(3, UNIGRAM) not in (UNIGRAM, BPE) or own.get(24):
+                raise ValueError("only unigram and BPE models with space before words are supported")
+            extra["model"] = own.get(3, UNIGRAM)
         elif number == 3:
             rules = dict(_fields(value))
-            if rules.get(2):
-                raise ValueError("models with a character map are not supported")
-            extra |= {"dummy_prefix": bool(rules.get(3, 1)), "squeeze": bool(rules.get(4, 1))}
+            extra |= {"dummy_prefix": bool(rules.get(3, 1)), "squeeze": bool(rules.get(4, 1)), "rules": _charsmap(rules[2]) if rules.get(2) else {}}
     return Pieces(names, np.array(scores), np.array(kinds), **extra)
 
 
@@ -161,17 +248,26 @@ def _substrings(units: np.ndarray, p: Pieces) -> np.ndarray:
 
 
 def viterbi(found: np.ndarray, p: Pieces) -> np.ndarray:
-    """cuts[u, i]: where the piece of the best path that starts at i ends, or 0 where none starts."""
+    """cuts[u, i]: where the piece of the best path that starts at i ends, or 0 where none starts.
+
+    Sums are in single precision and of equal paths the longer last piece wins, as in the library. The library
+    sums over a whole text, so paths whose sums are equal but for rounding may differ.
+    """
     n, size = found.shape[:2]
-    best = np.full((n, size + 1), -np.inf)
+    best = np.full((n, size + 1), -np.inf, np.float32)
     best[:, 0] = 0
-    back = np.ones((n, size + 1), np.int64)
+    back = np.ones((n, size + 1), np.int32)
     for end in range(1, size + 1):
-        lens = np.arange(1, min(end, found.shape[2] - 1) + 1)
+        lens = np.arange(min(end, found.shape[2] - 1), 0, -1)
         piece = found[:, end - lens, lens]
-        score = best[:, end - lens] + np.where(piece >= 0, p.scores[piece], np.where(lens == 1, p.worst, -np.inf))
+        score = best[:, end - lens] + np.where(piece >= 0, p.scores[piece], np.where(lens == 1, p.worst, np.float32(-np.inf)))
         at = score.argmax(1)
         back[:, end], best[:, end] = lens[at], score[np.arange(n), at]
+    return _traced(back)
+
+
+def _traced(back: np.ndarray) -> np.ndarray:
+    n, size = back.shape[0], back.shape[1] - 1
     cuts, end = np.zeros((n, size), np.int64), np.full(n, size)
     while (live := np.flatnonzero(end > 0)).size:
         start = end[live] - back[live, end[live]]
@@ -180,6 +276,25 @@ def viterbi(found: np.ndarray, p: Pieces) -> np.ndarray:
     return cuts
 
 
+def _viterbi_long(points: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(start of each piece of one long unit, its id or -1): the same recursion, with the table in windows."""
+    size, most = len(points), p.longest
+    best, back, step = np.zeros(size + 1, np.float32), np.ones((1, size + 1), np.int32), max(1, TABLE // (most + 1))
+    which = np.full(size + 1, -1, np.int32)
+    for at in range(0, size, step):
+        low = max(0, at - most)
+        table = _substrings(points[None, low : at + step], p)[0]
+        for end in range(at + 1, min(at + step, size) + 1):
+            lens = np.arange(min(end, most, table.shape[1] - 1), 0, -1)
+            piece = table[end - lens - low, lens]
+            score = best[end - lens] + np.where(piece >= 0, p.scores[piece], np.where(lens == 1, p.worst, np.float32(-np.inf)))
+            k = int(score.argmax())
+            best[end], back[0, end], which[end] = score[k], lens[k], piece[k]
+    cuts = _traced(back)[0]
+    start = np.flatnonzero(cuts)
+    return start, which[cuts[start]].astype(np.int64)
+
+
 def merges(found: np.ndarray, p: Pieces) -> np.ndarray:
     """The same for a BPE model: each unit's best-scored pair, the leftmost of equals, is joined until none is left."""
     n, size = found.shape[:2]
@@ -216,24 +331,27 @@ def merges(found: np.ndarray, p: Pieces) -> np.ndarray:
     return np.where(ends[:, :size] > 0, ends[:, :size], 0)
 
 
-def _merge_long(text: str, p: Pieces, ids: dict[str, int]) -> list[str]:
-    """BPE of one long unit, with a heap of pairs."""
-    end, before = list(range(1, len(text) + 2)), list(range(-1, len(text)))
-    heap = []
+def _merge_long(text: str, p: Pieces, ids: dict[str, int], rank: np.ndarray) -> list[str]:
+    """BPE of one long unit, with a heap of pairs; a pair is one whole number: rank, place, and two lengths."""
+    end, before = array("q", range(1, len(text) + 2)), array("q", range(-1, len(text)))
 
-    def push(i):
+    def pair(i):
         if 0 <= i and end[i] < len(text) and (k := ids.get(text[i : end[end[i]]])) is not None:
-            heapq.heappush(heap, (-p.scores[k], i, end[i], end[end[i]]))
+            return ((int(rank[k]) << 40 | i) << 40) | end[i] - i << 20 | end[end[i]] - i
 
-    for i in range(len(text) - 1):
-        push(i)
+    heap = [x for x in map(pair, range(len(text) - 1)) if x is not None]
+    heapq.heapify(heap)
+    low = (1 << 20) - 1
     while heap:
-        _, i, middle, last = heapq.heappop(heap)
+        x = heapq.heappop(heap)
+        i = x >> 40 & (1 << 40) - 1
+        middle, last = i + (x >> 20 & low), i + (x & low)
         if end[i] != middle or end[middle] != last:
             continue
         end[i], before[last], end[middle] = last, i, 0
-        push(i)
-        push(before[i])
+        for near in (i, before[i]):
+            if (x := pair(near)) is not None:
+                heapq.heappush(heap, x)
     out, i = [], 0
     while i < len(text):
         out.append(text[i : end[i]])
@@ -246,7 +364,8 @@ class Codec:
 
     def __init__(self, p: Pieces):
         self.p = p
-        self.known = {p.names[i]: int(i) for i in p.ids}
+        self.known = {p.names[i]: int(i) for i in range(len(p.names)) if p.kinds[i] in (NORMAL, USER)}
+        self.rank = np.unique(-p.scores, return_inverse=True)[1]  # equal scores have equal ranks
         self._forget()
 
     def _forget(self):
@@ -258,32 +377,49 @@ class Codec:
             return [k]
         return [self.p.bytes.get(b, self.p.unknown) for b in piece.encode()] if self.p.bytes else [self.p.unknown]
 
+    def _filled(self, ids: np.ndarray, whose: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``ids`` and ``whose`` with each -1 replaced by the ids of the bytes of its character."""
+        bad = np.flatnonzero(ids < 0)
+        if not len(bad):
+            return ids, whose
+        kinds, kind = np.unique(points[bad], return_inverse=True)
+        own = [self._ids(chr(c)) for c in kinds]
+        flat, lens = np.concatenate(own), np.array([len(x) for x in own])
+        counts = np.ones(len(ids), np.int64)
+        counts[bad] = lens[kind]
+        first = np.cumsum(counts) - counts
+        out = np.repeat(ids, counts)
+        inner = np.arange(lens[kind].sum()) - np.repeat(np.cumsum(lens[kind]) - lens[kind], lens[kind])
+        out[np.repeat(first[bad], lens[kind]) + inner] = flat[np.repeat((np.cumsum(lens) - lens)[kind], lens[kind]) + inner]
+        return out, np.repeat(whose, counts)
+
     def _learn(self, units: list[str]) -> None:
         by_length: dict[int, list[int]] = {}
-        for i, u in enumerate(units):
-            by_length.setdefault(len(u), []).append(i)
         owner, found = [], []  # the unit and the id of each token, in order within a unit
+        for i, u in enumerate(units):
+            if self.p.given and self.p.model == BPE and self.p.kinds[self.known.get(u, self.p.unknown)] == USER:
+                owner.append(np.array([i])), found.append(np.array([self.known[u]]))
+            else:
+                by_length.setdefault(len(u), []).append(i)
         for size, same in by_length.items():
-            if self.p.model == BPE and size > LONG:
+            if size > LONG and self.p.model == BPE:
                 for i in same:
-                    ids = [k for x in _merge_long(units[i], self.p, self.known) for k in self._ids(x)]
+                    ids = [k for x in _merge_long(units[i], self.p, self.known, self.rank) for k in self._ids(x)]
                     owner.append(np.full(len(ids), i)), found.append(np.array(ids, np.int64))
                 continue
-            step = max(1, (1 << 21) // (size * min(size, self.p.longest)))
+            step = max(1, TABLE // (size * min(size, self.p.longest)))
             for first in range(0, len(same), step):
                 part = same[first : first + step]
                 points = np.frombuffer("".join([units[i] for i in part]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), size).astype(U)
-                table = _substrings(points, self.p)
-                cuts = (merges if self.p.model == BPE else viterbi)(table, self.p)
-                unit, start = np.nonzero(cuts)
-                ids = table[unit, start, cuts[unit, start] - start].astype(np.int64)
-                whose = np.array(part)[unit]
-                for k in np.flatnonzero(ids < 0)[::-1].tolist():  # characters that are no piece
-                    own = self._ids(chr(points[unit[k], start[k]]))
-                    ids = np.concatenate([ids[:k], own, ids[k + 1 :]]) if len(own) != 1 else ids
-                    whose = np.concatenate([whose[:k], np.full(len(own), whose[k]), whose[k + 1 :]]) if len(own) != 1 else whose
-                    if len(own) == 1:
-                        ids[k] = own[0]
+                if size * self.p.longest > TABLE:  # one unit a step
+                    start, ids = _viterbi_long(points[0], self.p)
+                    unit = np.zeros(len(start), np.int64)
+                else:
+                    table = _substrings(points, self.p)
+                    cuts = (merges if self.p.model == BPE else viterbi)(table, self.p)
+                    unit, start = np.nonzero(cuts)
+                    ids = table[unit, start, cuts[unit, start] - start].astype(np.int64)
+                ids, whose = self._filled(ids, np.array(part)[unit], points[unit, start])
                 owner.append(whose), found.append(ids)
         owner, found = np.concatenate(owner), np.concatenate(found)
         order = np.argsort(owner, kind="stable")
@@ -294,7 +430,7 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(first id of each text and the end, the ids of all texts)."""
-        units = [self.p.unit.findall(self.p.normalised(t)) for t in texts]
+        units = [self.p.units(t) for t in texts]
         if len(self.index) > REMEMBERED:
             self._forget()
         new = list(dict.fromkeys(u for own in units for u in own if u not in self.index))
@@ -304,7 +440,13 @@ class Codec:
         lens = self.at[which + 1] - self.at[which]
         total = np.concatenate([[0], np.cumsum(lens)])
         ids = self.flat[np.repeat(self.at[which] - total[:-1], lens) + np.arange(total[-1])]
-        return total[np.concatenate([[0], np.cumsum([len(own) for own in units], dtype=np.int64)])], ids
+        first = total[np.concatenate([[0], np.cumsum([len(own) for own in units], dtype=np.int64)])]
+        if not self.p.bytes and len(ids):  # a run of unknown characters is one token
+            again = np.concatenate([[False], (ids[1:] == self.p.unknown) & (ids[:-1] == self.p.unknown)])
+            again[first[first < len(ids)]] = False
+            first = first - np.concatenate([[0], np.cumsum(again)])[first]
+            ids = ids[~again]
+        return first, ids
 
     def decode(self, at: np.ndarray, ids: np.ndarray) -> list[str]:
         """The texts of runs of ids; bytes that are no UTF-8 become replacement characters."""
@@ -321,7 +463,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     A null or empty text has no ids and decodes to the empty text. A text that holds the model's own
     space sign decodes to one with spaces, so its ``round_trip`` is false, as it is after white space
-    was squeezed by a model that does so. Repeated rows stay repeated; an empty table gives no rows.
+    was squeezed, or characters were mapped, by a model that does so. Repeated rows stay repeated; an empty table gives no rows.
     The model is read once on the driver and sent out; its size is fixed.
     """
     sent = docs.sparkSession.sparkContext.broadcast(read_model(model_path))

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafoot.llm.common import scratch_dir
+from terrafoot.session import shared_dir
 
 CRLF = "\r\n"
 
@@ -94,8 +94,6 @@ def export_warc(records: DataFrame, path: str) -> None:
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     """Archives all pages in the shared folder and reads the archive back."""
-    path = f"{scratch_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write_archive(pages, path)
     return read_archive(pages.sparkSession, path)
-
-

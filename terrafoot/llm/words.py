@@ -7,7 +7,10 @@ from functools import lru_cache
 import numpy as np
 
 U = np.uint64
-PIECE = 2 << 20
+#: Bytes of texts in hand at a time.
+PIECE = 1 << 18
+#: Elements that are hashed at a time, where rounds are small enough to go together.
+ITEMS = 1 << 16
 BASE = 0x9E3779B97F4A7C15 | 1
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -34,7 +37,7 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(at: np.ndarray, data: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(first word of each text and the end, hash of each word), words being runs without white space.
 
-    A long run of bytes is hashed in pieces of at most 2 MB, so memory stays a small multiple of the
+    A long run of bytes is hashed in pieces of at most 256 KB, so memory stays a small multiple of the
     input whatever the length of a text or word.
     """
     space = SPACE[data]
@@ -107,19 +110,25 @@ def fast_sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
     flat = np.full(n * t, full, U)
     doc = np.repeat(np.arange(n), [len(s) for s in sets])
     x = np.concatenate(sets) if n else np.zeros(0, U)
-    left = np.full(n, t)
+
+    def place(first, end, spot=None):
+        rounds = np.arange(first, end, dtype=U)[:, None]
+        h = mixed(x[None] + (rounds + U(1)) * U(0xD1342543DE82EF95))
+        spot = ((h >> U(32)) * U(t) >> U(32)).astype(np.int64) if spot is None else spot
+        np.minimum.at(flat, (doc * t + spot).ravel(), ((h & U(0xFFFFFFFF)) | (rounds << U(32))).ravel())
+
+    i = 0
     with np.errstate(over="ignore"):
-        for i in range(2 * t):
-            if not len(x):
-                break
-            h = mixed(x + U((i + 1) * 0xD1342543DE82EF95 & (1 << 64) - 1))
-            spot = ((h >> U(32)) * U(t) >> U(32)).astype(np.int64) if i < t else i - t
-            np.minimum.at(flat, doc * t + spot, (h & U(0xFFFFFFFF)) | (U(i) << U(32)))
-            if i < 4 or i % 4 == 0 or i >= t:
-                left = (flat.reshape(n, t) == full).sum(1)
-                stay = left[doc] > 0
-                if not stay.all():
-                    x, doc = x[stay], doc[stay]
+        while i < t and len(x):
+            end = min(t, i + max(1, ITEMS // len(x)))  # several rounds at once where few elements are left
+            place(i, end)
+            i = end
+            stay = ((flat.reshape(n, t) == full).any(1))[doc]
+            if not stay.all():
+                x, doc = x[stay], doc[stay]
+        for i in range(0, t, step := max(1, ITEMS // max(1, len(x)))):
+            if len(x):
+                place(t + i, min(2 * t, t + i + step), np.arange(i, min(t, i + step))[:, None])
     return flat.reshape(n, t)
 
 
