@@ -6,13 +6,13 @@ part; exposures are points among them, one for each event, some with unusable co
 
 from __future__ import annotations
 
-import struct
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from terrafoot.functions.geometry import encode_multipolygon, encode_polygon
 from terrafoot.functions.tiles import quadkey, tile_x, tile_y
 
 #: The same text runs in both SQL dialects.
@@ -45,10 +45,15 @@ WORLD = (9.0, 51.0, 11.0, 53.0)
 BOUNDARY = [(10.02045, 51.9, 10.08035, 52.00455), (10.1006, 52.0026, 10.1506, 52.3)]
 
 
-@F.pandas_udf(BinaryType())
-def rectangle(xmin: pd.Series, ymin: pd.Series, xmax: pd.Series, ymax: pd.Series) -> pd.Series:
+@F.arrow_udf(BinaryType())
+def rectangle(xmin: pa.Array, ymin: pa.Array, xmax: pa.Array, ymax: pa.Array) -> pa.Array:
     """WKB of axis-aligned rectangles."""
-    return pd.Series([struct.pack("<BIII10d", 1, 3, 1, 5, a, b, c, b, c, d, a, d, a, b) for a, b, c, d in zip(xmin, ymin, xmax, ymax, strict=True)])
+    a, b, c, d = (np.asarray(v, float) for v in (xmin, ymin, xmax, ymax))
+    head = np.frombuffer(encode_polygon([[(0.0, 0.0)] * 5])[:13], np.uint8)
+    body = np.ascontiguousarray(np.column_stack([a, b, c, b, c, d, a, d, a, b]), "<f8").view(np.uint8)
+    data = np.hstack([np.broadcast_to(head, (len(a), len(head))), body.reshape(len(a), 80)])
+    at = np.arange(len(a) + 1, dtype=np.int32) * data.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def _over(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
@@ -75,5 +80,46 @@ def raw_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boundary(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([(i, *b) for i, b in enumerate(BOUNDARY)], "feature_id long, xmin double, ymin double, xmax double, ymax double")
+    names = ["feature_id", "xmin", "ymin", "xmax", "ymax"]
+    rows = spark.createDataFrame(pa.table(dict(zip(names, zip(*[(i, *b) for i, b in enumerate(BOUNDARY)], strict=True), strict=True))))
     return rows.select("feature_id", F.lit("country").alias("layer"), rectangle("xmin", "ymin", "xmax", "ymax").alias("geom_wkb"))
+
+#: Real shapes as polygons of rings of (x, y), in 1e-4 degrees about a centre: a rotated square, an L with a
+#: hole, two separate parts, and a bow-tie, which is no valid shape. Shells and holes turn either way.
+SHAPES: list[list[list[list[tuple[int, int]]]]] = [
+    [[[(4, 0), (0, 4), (-4, 0), (0, -4), (4, 0)]]],
+    [[[(-4, -4), (-4, 4), (-1, 4), (-1, -1), (4, -1), (4, -4), (-4, -4)], [(-3, -3), (-2, -3), (-2, 2), (-3, 2), (-3, -3)]]],
+    [[[(-4, -4), (-1, -3), (-2, 0), (-4, -4)]], [[(0, 1), (3, 2), (2, 4), (-1, 3), (0, 1)]]],
+    [[[(-4, -4), (4, 4), (4, -4), (-4, 4), (-4, -4)]]],
+]
+
+SHAPES_SQL = """
+SELECT p_partkey AS id, p_partkey % 4 AS kind,
+  1e1 + (p_partkey % 200) * 1e-3 AS cx, 5.2e1 + ((p_partkey - p_partkey % 200) / 200) * 1e-3 AS cy
+FROM part"""
+
+#: Points that lie on no edge.
+PLACES_SQL = """
+SELECT event_id AS exposure_id, 1e1 + ((event_id * 7919) % 200000) * 1e-6 + 37e-8 AS x,
+  5.2e1 + ((event_id * 104729) % 12000) * 1e-6 + 41e-8 AS y
+FROM events"""
+
+
+@F.arrow_udf(BinaryType())
+def shape_wkb(kind: pa.Array, cx: pa.Array, cy: pa.Array) -> pa.Array:
+    """WKB of the shape of this kind about a centre."""
+
+    def one(kind, x, y):
+        parts = [encode_polygon([[(x + dx * 1e-4, y + dy * 1e-4) for dx, dy in ring] for ring in rings]) for rings in SHAPES[kind]]
+        return parts[0] if len(parts) == 1 else encode_multipolygon(parts)
+
+    return pa.array([one(*row) for row in zip(kind.to_pylist(), cx.to_pylist(), cy.to_pylist(), strict=True)], pa.binary())
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, kind, cx, cy and geom_wkb, one for each part."""
+    return _over(spark, sf_dir, "part", SHAPES_SQL).withColumn("geom_wkb", shape_wkb("kind", "cx", "cy"))
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, "events", PLACES_SQL)

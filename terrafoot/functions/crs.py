@@ -34,6 +34,20 @@ def laea(lon: Column, lat: Column) -> tuple[Column, Column]:
     return FALSE_E + b * D * cos_b * F.sin(turn), FALSE_N + b / D * (math.cos(BETA0) * sin_b - math.sin(BETA0) * cos_b * F.cos(turn))
 
 
+def laea_arrays(lon, lat):
+    """:func:`laea` of numpy arrays."""
+    import numpy as np
+
+    e = math.sqrt(E2)
+    s = np.sin(np.radians(lat))
+    q = (1 - E2) * (s / (1 - E2 * s * s) - np.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    sin_b = np.clip(q / QP, -1.0, 1.0)
+    cos_b = np.sqrt(1 - sin_b * sin_b)
+    turn = np.radians(lon) - LON0
+    b = RQ * np.sqrt(2 / (1 + math.sin(BETA0) * sin_b + math.cos(BETA0) * cos_b * np.cos(turn)))
+    return FALSE_E + b * D * cos_b * np.sin(turn), FALSE_N + b / D * (math.cos(BETA0) * sin_b - math.sin(BETA0) * cos_b * np.cos(turn))
+
+
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Metres along a sphere of 6,371 km."""
     dy, dx = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2

@@ -1,8 +1,9 @@
 """Geometry without a spatial library.
 
-WKB is decoded once, in batches, into rings; measures and point predicates over rings are Column
-expressions. Validity and polygon-polygon tests, whose work is quadratic in a shape's points, are
-numpy helpers inside vectorised UDFs.
+WKB is decoded in Arrow batches into flat arrays of points, and what depends on a shape alone
+(validity, area, centroid, bounds, projection) is computed for the whole batch at once. Predicates
+of points and rings are Column expressions. Odd shapes, of several rings or another byte order, are
+parsed one by one and join the same flat arrays.
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ from __future__ import annotations
 import struct
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrafoot.functions.crs import laea, to_degrees
+from terrafoot.functions.crs import laea, laea_arrays, to_degrees
 
 #: Types as objects: Python workers import this module, and they have no session to parse text with.
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
@@ -87,22 +88,172 @@ def encode_polygon(rings: list[list[tuple[float, float]]], little: bool = True)
     return out
 
 
-@F.pandas_udf(SHAPE)
-def decode_wkb(wkb: pd.Series) -> pd.DataFrame:
+class Shapes:
+    """A batch of shapes as flat arrays.
+
+    ``pts`` holds all points, ring r those from ``ring_at[r]`` to ``ring_at[r + 1]``, shape i the rings
+    from ``row_at[i]`` to ``row_at[i + 1]``. ``kinds`` is null for a null or damaged value.
+    """
+
+    def __init__(self, wkb: pa.Array):
+        wkb = (wkb.combine_chunks() if isinstance(wkb, pa.ChunkedArray) else wkb).cast(pa.large_binary())
+        n = len(wkb)
+        _, offsets, data = wkb.buffers()
+        at = np.frombuffer(offsets, np.int64)[wkb.offset : wkb.offset + n + 1] if n else np.zeros(1, np.int64)
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        size, start = np.diff(at), at[:-1]
+        there = np.asarray(wkb.is_valid()) if n else np.zeros(0, bool)
+        # the usual shape: a little-endian polygon of one ring
+        fits = np.flatnonzero(there & (size >= 13) & ((size - 13) % 16 == 0))
+        head = data[start[fits, None] + np.arange(13)] if len(fits) else np.zeros((0, 13), np.uint8)
+        usual = (head[:, :9] == np.frombuffer(struct.pack("<BII", 1, 3, 1), np.uint8)).all(1) & (np.ascontiguousarray(head[:, 9:]).view("<u4").ravel() == (size[fits] - 13) // 16)
+        plain = fits[usual]
+        odd = {i: parsed(data[start[i] : start[i] + size[i]].tobytes()) for i in np.setdiff1d(np.flatnonzero(there), plain).tolist()}
+        self.kinds = np.full(n, None, object)
+        self.kinds[plain] = "POLYGON"
+        rings = np.zeros(n, np.int64)
+        rings[plain] = 1
+        for i, found in odd.items():
+            if found:
+                self.kinds[i] = found[0]
+                rings[i] = len(found[1])
+        self.row_at = np.concatenate([[0], np.cumsum(rings)])
+        count, self.poly, self.hole = np.zeros(self.row_at[-1], np.int64), np.zeros(self.row_at[-1], np.int32), np.zeros(self.row_at[-1], bool)
+        count[self.row_at[plain]] = (size[plain] - 13) // 16
+        for i, found in odd.items():
+            for r, (p, h, pts) in enumerate(found[1] if found else (), self.row_at[i]):
+                count[r], self.poly[r], self.hole[r] = len(pts), p, h
+        self.ring_at = np.concatenate([[0], np.cumsum(count)])
+        self.pts = np.zeros((self.ring_at[-1], 2))
+        for length in np.unique(size[plain]).tolist():  # shapes of one length are read together
+            own = plain[size[plain] == length]
+            k = (length - 13) // 16
+            if k:
+                values = data[start[own, None] + np.arange(13, length)].view("<f8").reshape(-1, k, 2)
+                self.pts[self.ring_at[self.row_at[own]][:, None] + np.arange(k)] = values
+        for i, found in odd.items():
+            for r, (_, _, pts) in enumerate(found[1] if found else (), self.row_at[i]):
+                self.pts[self.ring_at[r] : self.ring_at[r + 1]] = pts
+        self.ring_row = np.repeat(np.arange(n), rings)
+        self.pt_row = np.repeat(self.ring_row, count)
+
+    def __len__(self):
+        return len(self.kinds)
+
+    def rings(self, i: int) -> list:
+        """Shape i as :func:`parse_wkb` gives it."""
+        return [(int(self.poly[r]), bool(self.hole[r]), self.pts[self.ring_at[r] : self.ring_at[r + 1]]) for r in range(self.row_at[i], self.row_at[i + 1])]
+
+    def bounds(self, pts: np.ndarray | None = None) -> np.ndarray:
+        """xmin, ymin, xmax, ymax of each shape; not a number for one without points."""
+        pts = self.pts if pts is None else pts
+        out = np.full((len(self), 4), np.nan)
+        first = np.flatnonzero(np.diff(self.pt_row, prepend=-1)) if len(pts) else np.zeros(0, int)
+        if len(first):
+            rows = self.pt_row[first]
+            out[rows, :2], out[rows, 2:] = np.minimum.reduceat(pts, first), np.maximum.reduceat(pts, first)
+        return out
+
+    def projected(self) -> np.ndarray:
+        return np.column_stack(laea_arrays(self.pts[:, 0], self.pts[:, 1]))
+
+    def _turns(self, pts: np.ndarray):
+        """Points about their ring's first one, which keeps digits, and twice the signed area and the moments of each ring."""
+        rings = len(self.ring_at) - 1
+        some = np.flatnonzero(np.diff(self.ring_at) > 0)
+        origin = np.zeros((rings, 2))
+        origin[some] = pts[self.ring_at[some]]
+        ring = np.repeat(np.arange(rings), np.diff(self.ring_at))
+        p = pts - origin[ring]
+        same = ring[1:] == ring[:-1]
+        a, b, own = p[:-1][same], p[1:][same], ring[1:][same]
+        cross = a[:, 0] * b[:, 1] - b[:, 0] * a[:, 1]
+        doubled = np.bincount(own, cross, rings)
+        return origin, doubled, [np.bincount(own, (a[:, k] + b[:, k]) * cross, rings) for k in (0, 1)]
+
+    def area(self, pts: np.ndarray | None = None) -> np.ndarray:
+        """Shoelace area of the shells less the holes."""
+        _, doubled, _ = self._turns(self.pts if pts is None else pts)
+        return np.bincount(self.ring_row, np.abs(doubled) / 2 * np.where(self.hole, -1, 1), len(self))
+
+    def centroid(self) -> np.ndarray:
+        """Area-weighted centroid; the mean of the points where the area is zero; not a number without points."""
+        origin, doubled, moments = self._turns(self.pts)
+        weight = np.abs(doubled) * np.where(self.hole, -1, 1)
+        total = np.bincount(self.ring_row, weight, len(self))
+        points = np.bincount(self.pt_row, minlength=len(self))
+        out = np.empty((len(self), 2))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for k in (0, 1):
+                about = np.where(self.hole, -1, 1) * np.sign(doubled) * moments[k] / 3
+                moment = np.bincount(self.ring_row, weight * origin[:, k] + about, len(self))
+                mean = np.bincount(self.pt_row, self.pts[:, k], len(self)) / points
+                out[:, k] = np.where(total != 0, moment / total, mean)
+        return out
+
+    def valid(self, asked: np.ndarray | None = None) -> np.ndarray:
+        """Validity of each shape, see :func:`valid`; of those that ``asked`` marks only."""
+        out = np.array([k is not None for k in self.kinds], bool) & (np.diff(self.row_at) > 0)
+        if asked is not None:
+            out &= asked
+        areal = np.isin(self.kinds.astype(str), ("POLYGON", "MULTIPOLYGON"))
+        count = np.diff(self.ring_at)
+        single = out & areal & (np.diff(self.row_at) == 1)
+        first = self.row_at[:-1]
+        for k in np.unique(count[first[single]]).tolist():
+            own = np.flatnonzero(single)[count[first[single]] == k]
+            if k < 4:
+                out[own] = False
+            elif k <= 64:
+                pts = self.pts[self.ring_at[first[own]][:, None] + np.arange(k)]
+                same = (pts[:, 1:] == pts[:, :-1]).all(2).any(1)  # repeated points: the general way
+                out[own] = _simple(pts)
+                for i in own[same].tolist():
+                    out[i] = valid(self.rings(i))
+            else:
+                for i in own.tolist():
+                    out[i] = valid(self.rings(i))
+        for i in np.flatnonzero(out & areal & (np.diff(self.row_at) > 1)).tolist():
+            out[i] = valid(self.rings(i))
+        return out
+
+    def nested(self, pts: np.ndarray | None = None) -> pa.Array:
+        """The rings as an Arrow array of Spark's type RINGS; null where the shape is."""
+        pts = self.pts if pts is None else pts
+        points = pa.StructArray.from_arrays([pa.array(pts[:, 0]), pa.array(pts[:, 1])], ["x", "y"])
+        lists = pa.ListArray.from_arrays(pa.array(self.ring_at, pa.int32()), points)
+        rings = pa.StructArray.from_arrays([pa.array(self.poly), pa.array(self.hole), lists], ["poly", "hole", "pts"])
+        gone = np.array([k is None for k in self.kinds], bool)
+        return pa.ListArray.from_arrays(pa.array(self.row_at, pa.int32()), rings, mask=pa.array(gone))
+
+
+def _simple(pts: np.ndarray) -> np.ndarray:
+    """Whether rings of equal length (rows, points, 2) without repeated points are closed, finite and don't meet themselves."""
+    k = pts.shape[1] - 1
+    good = np.isfinite(pts).all((1, 2)) & (pts[:, 0] == pts[:, -1]).all(1)
+    i, j = np.triu_indices(k, 2)
+    i, j = (x[~((i == 0) & (j == k - 1))] for x in (i, j))  # all pairs of segments that share no end
+    step = max(1, (1 << 18) // max(1, len(i)))
+    for at in range(0, len(pts) if len(i) else 0, step):
+        part = pts[at : at + step]
+        with np.errstate(invalid="ignore"):
+            good[at : at + step] &= ~_meeting(part[:, i], part[:, i + 1], part[:, j], part[:, j + 1], True).any(1)
+    return good
+
+
+@F.arrow_udf(SHAPE)
+def decode_wkb(wkb: pa.Array) -> pa.Array:
     """kind and rings; both null for a null or damaged value."""
-    kinds, rings = [], []
-    for found in map(parsed, wkb):
-        kinds.append(found and found[0])
-        rings.append(found and [{"poly": p, "hole": h, "pts": [{"x": x, "y": y} for x, y in pts.tolist()]} for p, h, pts in found[1]])
-    return pd.DataFrame({"kind": pd.Series(kinds, dtype=object), "rings": pd.Series(rings, dtype=object)})
+    shapes = Shapes(wkb)
+    return pa.StructArray.from_arrays([pa.array(shapes.kinds, pa.string()), shapes.nested()], ["kind", "rings"])
 
 
 def reproject_wkb(srid: int):
     """A UDF from WKB in ``srid`` to WKB polygons in degrees, for boundary features."""
     to_degrees(np.zeros(1), np.zeros(1), srid)
 
-    @F.pandas_udf(T.BinaryType())
-    def run(wkb: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.BinaryType())
+    def run(wkb: pa.Array) -> pa.Array:
         def one(data):
             found = parsed(data)
             if found is None or not found[1]:
@@ -111,32 +262,57 @@ def reproject_wkb(srid: int):
             for poly, _, pts in found[1]:
                 shells.setdefault(poly, []).append(list(zip(*to_degrees(pts[:, 0], pts[:, 1], srid), strict=True)))
             parts = [encode_polygon(r) for r in shells.values()]
-            return parts[0] if len(parts) == 1 else struct.pack("<BII", 1, 6, len(parts)) + b"".join(parts)
+            return parts[0] if len(parts) == 1 else encode_multipolygon(parts)
 
-        return wkb.map(one, na_action=None)
+        return pa.array([one(x.as_py()) for x in wkb], pa.binary())
 
     return run
 
 
-def _crossings(a: np.ndarray, b: np.ndarray, touch: bool) -> bool:
-    """Whether a segment of path ``a`` meets one of path ``b``; ``touch``: meeting in an end counts."""
-    if len(a) < 2 or len(b) < 2:
-        return False
+def encode_multipolygon(polygons: list[bytes]) -> bytes:
+    return struct.pack("<BII", 1, 6, len(polygons)) + b"".join(polygons)
+
+
+@F.arrow_udf(T.BinaryType())
+def multipolygon(polygons: pa.Array) -> pa.Array:
+    """WKB of a multipolygon of WKB polygons; null without any."""
+    return pa.array([encode_multipolygon(x) if x else None for x in polygons.to_pylist()], pa.binary())
+
+
+@F.arrow_udf(T.ArrayType(T.BinaryType()))
+def polygons_of(wkb: pa.Array) -> pa.Array:
+    """The polygons of a shape, each as little-endian WKB; points and lines have none."""
+
+    def parts(data):
+        found = parsed(data)
+        shells: dict[int, list] = {}
+        for poly, _, pts in found[1] if found and found[0] in ("POLYGON", "MULTIPOLYGON") else ():
+            shells.setdefault(poly, []).append(pts.tolist())
+        return [encode_polygon(r) for r in shells.values()]
+
+    return pa.array([parts(x.as_py()) for x in wkb], pa.list_(pa.binary()))
+
+
+def _meeting(p: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarray, touch: bool) -> np.ndarray:
+    """Whether the segments p-q and r-s meet; ``touch``: meeting in an end counts."""
 
     def side(p, q, r):
         return np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
 
-    p, q, r, s = a[:-1, None], a[1:, None], b[None, :-1], b[None, 1:]
-    d1, d2, d3, d4 = side(p, q, r), side(p, q, s), side(r, s, p), side(r, s, q)
-    if ((d1 * d2 < 0) & (d3 * d4 < 0)).any():
-        return True
-    if not touch:
-        return False
-
     def on(d, u, v, w):
         return (d == 0) & (np.minimum(u, v) <= w).all(-1) & (w <= np.maximum(u, v)).all(-1)
 
-    return bool((on(d1, p, q, r) | on(d2, p, q, s) | on(d3, r, s, p) | on(d4, r, s, q)).any())
+    d1, d2, d3, d4 = side(p, q, r), side(p, q, s), side(r, s, p), side(r, s, q)
+    found = (d1 * d2 < 0) & (d3 * d4 < 0)
+    return found | on(d1, p, q, r) | on(d2, p, q, s) | on(d3, r, s, p) | on(d4, r, s, q) if touch else found
+
+
+def _crossings(a: np.ndarray, b: np.ndarray, touch: bool) -> bool:
+    """Whether a segment of path ``a`` meets one of path ``b``, in slices of bounded size."""
+    if len(a) < 2 or len(b) < 2:
+        return False
+    step = max(1, (1 << 18) // len(b))
+    return any(_meeting(a[i : i + step + 1][:-1, None], a[i : i + step + 1][1:, None], b[None, :-1], b[None, 1:], touch).any() for i in range(0, len(a) - 1, step))
 
 
 def inside(rings: list, x: float, y: float) -> bool:
@@ -178,6 +354,7 @@ def valid(rings: list) -> bool:
 
 def shapes_meet(a: list, b: list) -> bool:
     """Whether two polygon shapes have a point in common."""
+    a, b = ([r for r in s if len(r[2])] for s in (a, b))  # a ring without points holds nothing
     if not a or not b:
         return False
     (ax, ay), (bx, by) = (np.concatenate([r for _, _, r in s]).T for s in (a, b))
@@ -188,27 +365,53 @@ def shapes_meet(a: list, b: list) -> bool:
     return any(_crossings(r, s, True) for _, _, r in a for _, _, s in b)
 
 
-@F.pandas_udf(T.BooleanType())
-def is_valid(wkb: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BooleanType())
+def is_valid(wkb: pa.Array) -> pa.Array:
     """Validity of the shape; false for a null, damaged or empty one."""
-    return pd.Series([bool(p and p[1] and (p[0] not in ("POLYGON", "MULTIPOLYGON") or valid(p[1]))) for p in map(parsed, wkb)], dtype=bool)
+    return pa.array(Shapes(wkb).valid())
+
+
+#: What the lookup table holds of a shape: kind, rings in degrees and in metres, and the metric box.
+LOOKUP = T.StructType([*SHAPE.fields, T.StructField("rings_3035", RINGS), *[T.StructField(c, T.DoubleType()) for c in ("xmin", "ymin", "xmax", "ymax")]])
 
 
-@F.pandas_udf(T.BooleanType())
-def intersects(a: pd.Series, b: pd.Series) -> pd.Series:
+def doubles(values: np.ndarray) -> pa.Array:
+    """An Arrow column in which what is not a number is null."""
+    return pa.array(values, mask=np.isnan(values))
+
+
+@F.arrow_udf(LOOKUP)
+def lookup_shape(wkb: pa.Array) -> pa.Array:
+    """Everything that :data:`LOOKUP` names, from one parse; null for a null or damaged value."""
+    shapes = Shapes(wkb)
+    metric = shapes.projected()
+    box = shapes.bounds(metric)
+    return pa.StructArray.from_arrays([pa.array(shapes.kinds, pa.string()), shapes.nested(), shapes.nested(metric), *[doubles(box[:, k]) for k in range(4)]], [f.name for f in LOOKUP])
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("xmin", "ymin", "xmax", "ymax")]))
+def wkb_bounds(wkb: pa.Array) -> pa.Array:
+    """The box of a shape; null bounds for one without points."""
+    box = Shapes(wkb).bounds()
+    return pa.StructArray.from_arrays([doubles(box[:, k]) for k in range(4)], ["xmin", "ymin", "xmax", "ymax"])
+
+
+@F.arrow_udf(T.BooleanType())
+def intersects(a: pa.Array, b: pa.Array) -> pa.Array:
     """Whether two WKB shapes meet."""
-    known: dict[bytes, tuple | None] = {}
+    known: dict[bytes, list] = {}
 
     def rings(data):
         if data is None:
             return []
-        if (data := bytes(data)) not in known:
+        if data not in known:
             if len(known) > 1000:
                 known.clear()
-            known[data] = parsed(data)
-        return known[data][1] if known[data] else []
+            found = parsed(data)
+            known[data] = found[1] if found else []
+        return known[data]
 
-    return pd.Series([shapes_meet(rings(x), rings(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
+    return pa.array([shapes_meet(rings(x.as_py()), rings(y.as_py())) for x, y in zip(a, b, strict=True)], pa.bool_())
 
 
 def _sum(values: Column) -> Column:

@@ -10,11 +10,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafoot.functions.geometry import bounds, decode_wkb, intersects, parsed
+from terrafoot.functions.geometry import Shapes, intersects, multipolygon, parsed, polygons_of, wkb_bounds
 from terrafoot.functions.tiles import tile_x, tile_y
 from terrafoot.operators.boundary import Prepared
 from terrafoot.session import materialised
@@ -68,23 +69,59 @@ def window_zoom(radius: float, deepest: int = ZOOM) -> int:
     return max(1, min(deepest, int(math.log2(360.0 / degrees)) + 1)) if degrees > 0 else deepest
 
 
-def clip(buildings: DataFrame, boundary: DataFrame, wkb: str = "geom_wkb", box: tuple[str, str, str, str] = tuple(f"bbox_{c}" for c in BOX), most_bytes: int = 16 << 20) -> DataFrame:
+#: Bytes of a boundary that is sent to every task.
+MOST_BYTES = 16 << 20
+
+
+def small_boundary(boundary: DataFrame, most_bytes: int = MOST_BYTES) -> Broadcast | None:
+    """The boundary's shapes for every task, or None if they take more than ``most_bytes``: their size is summed first."""
+    total = boundary.agg(F.sum(F.octet_length("geom_wkb"))).first()[0] or 0
+    if total > most_bytes:
+        return None
+    return boundary.sparkSession.sparkContext.broadcast([bytes(r[0]) for r in boundary.select("geom_wkb").where("geom_wkb IS NOT NULL").collect()])
+
+
+def prepared(sent: Broadcast):
+    """A function that prepares the boundary at its first call in a task and gives the same object from then on."""
+    held: list[Prepared] = []
+
+    def get() -> Prepared:
+        if not held:
+            held.append(Prepared([p[1] for p in map(parsed, sent.value) if p]))
+        return held[0]
+
+    return get
+
+
+def clip(buildings: DataFrame, boundary: DataFrame, wkb: str = "geom_wkb", box: tuple[str, str, str, str] = tuple(f"bbox_{c}" for c in BOX), most_bytes: int = MOST_BYTES) -> DataFrame:
     """Buildings that meet a boundary feature, each once: a semi-join with the features, not their union.
 
-    A boundary of at most ``most_bytes`` (its size is summed first) is sent to every task; a larger
-    one meets the buildings in the tile join.
+    A boundary of at most ``most_bytes`` is sent to every task; a larger one meets the buildings in
+    the tile join. Shapes that are null, damaged or empty meet nothing.
     """
-    total = boundary.agg(F.sum(F.octet_length("geom_wkb"))).first()[0] or 0
-    if total <= most_bytes:
-        sent = buildings.sparkSession.sparkContext.broadcast([bytes(r[0]) for r in boundary.select("geom_wkb").where("geom_wkb IS NOT NULL").collect()])
+    if (sent := small_boundary(boundary, most_bytes)) is not None:
+        area = prepared(sent)
 
-        @F.pandas_udf("boolean")
-        def meets(shape: pd.Series) -> pd.Series:
-            area = Prepared([p[1] for p in map(parsed, sent.value) if p])
-            return pd.Series([bool(p and area.meets(p[1])) for p in map(parsed, shape)], dtype=bool)
+        @F.arrow_udf("boolean")
+        def meets(shape: pa.Array) -> pa.Array:
+            return pa.array(area().meets(Shapes(shape)))
 
         return buildings.where(meets(wkb))
-    features = boundary.withColumn("shape", decode_wkb("geom_wkb")).select(F.col("geom_wkb").alias("r_wkb"), *[v.alias(f"r_{k}") for k, v in bounds(F.col("shape.rings")).items()])
+    features = boundary.withColumn("box", wkb_bounds("geom_wkb")).select(F.col("geom_wkb").alias("r_wkb"), *[F.col(f"box.{c}").alias(f"r_{c}") for c in BOX])
     rows = materialised(buildings.withColumn("__row", F.monotonically_increasing_id()))
     pairs = overlap_join(rows.select("__row", F.col(wkb).alias("l_wkb"), *[F.col(c).alias(f"l_{k}") for k, c in zip(BOX, box, strict=True)]), features, zoom=10)
     return rows.join(pairs.where(intersects("l_wkb", "r_wkb")).select("__row").distinct(), "__row", "left_semi").drop("__row")
+
+
+def dissolved(boundary: DataFrame, group: str | None = None) -> DataFrame:
+    """One row (per ``group``) with geom_wkb, a multipolygon of all its features' polygons, and srid (4326).
+
+    Overlaps are kept as they are: whoever asks whether a point or shape meets it gets what their
+    union would answer. Null shapes and those without polygons add nothing; without any the value is null.
+    Features meet by map-side aggregates of their polygons' bytes; a boundary is a single value, and
+    its size is that of its features.
+    """
+    keys = [group] if group else []
+    rows = boundary.select(*keys, F.explode_outer(polygons_of("geom_wkb")).alias("polygon"))
+    parts = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("polygon")).alias("parts"))
+    return parts.select(*keys, multipolygon("parts").alias("geom_wkb"), F.lit(4326).alias("srid"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ CANDIDATES = 500
 #: Nearest matches up to this many metres have medium confidence.
 MEDIUM_M = 15.0
 ROW = "__exposure_row_id"
+#: A projection: longitude and latitude to metres east and north.
+Metric = Callable[[Column, Column], tuple[Column, Column]]
 
 
 def with_points(exposure: DataFrame, lat: str, lon: str, key: str | None = None) -> DataFrame:
@@ -30,9 +34,19 @@ def with_points(exposure: DataFrame, lat: str, lon: str, key: str | None = None)
     return materialised(rows.withColumn(ROW, F.monotonically_increasing_id()))
 
 
-def _boxed(points: DataFrame, dx: Column, dy: Column) -> DataFrame:
+def with_places(points: DataFrame, metric: Metric = laea) -> DataFrame:
+    """The distinct valid coordinates of ``points``, written down: __lon, __lat, a row id each, and px, py in metres.
+
+    Each coordinate is matched once, however many rows share it, and is projected before any join.
+    """
+    places = points.where("coordinate_valid").select("__lon", "__lat").distinct()
+    px, py = metric(F.col("__lon"), F.col("__lat"))
+    return materialised(places.withColumns({ROW: F.monotonically_increasing_id(), "px": px, "py": py}), "places")
+
+
+def _boxed(points: DataFrame, dx: Column, dy: Column, *more: str) -> DataFrame:
     x, y = F.col("__lon"), F.col("__lat")
-    return points.where("coordinate_valid").select(ROW, "__lon", "__lat", (x - dx).alias("l_xmin"), (y - dy).alias("l_ymin"), (x + dx).alias("l_xmax"), (y + dy).alias("l_ymax"))
+    return points.select(ROW, "__lon", "__lat", *more, (x - dx).alias("l_xmin"), (y - dy).alias("l_ymin"), (x + dx).alias("l_xmax"), (y + dy).alias("l_ymax"))
 
 
 def _polygons(buildings: DataFrame, *more: str) -> DataFrame:
@@ -41,88 +55,110 @@ def _polygons(buildings: DataFrame, *more: str) -> DataFrame:
 
 def _best(pairs: DataFrame, order: Column) -> DataFrame:
     """One building a row: the least ``order``, nulls last, then the smallest building_id."""
-    least = F.min(F.struct(order.isNull().alias("none"), order.alias("order"), "building_id"))
-    return pairs.groupBy(ROW).agg(least.alias("best")).select(ROW, F.col("best.building_id").alias("building_id"), F.col("best.order").alias("order"))
+    least = F.min(F.struct(F.isnull("__order").alias("none"), F.col("__order").alias("order"), "building_id"))
+    best = pairs.withColumn("__order", order).groupBy(ROW).agg(least.alias("best"))
+    return best.select(ROW, F.col("best.building_id").alias("building_id"), F.col("best.order").alias("order"))
 
 
-def inside_matches(points: DataFrame, buildings: DataFrame) -> DataFrame:
+def inside_matches(places: DataFrame, buildings: DataFrame) -> DataFrame:
     """(row, building_id): the smallest building that holds the point; unknown areas come last."""
-    pairs = overlap_join(_boxed(points, F.lit(0.0), F.lit(0.0)), _polygons(buildings, "footprint_area_m2", "rings"), left_fits=True)
+    pairs = overlap_join(_boxed(places, F.lit(0.0), F.lit(0.0)), _polygons(buildings, "footprint_area_m2", "rings"), left_fits=True)
     return _best(pairs.where(covers(F.col("rings"), F.col("__lon"), F.col("__lat"))), F.col("footprint_area_m2")).select(ROW, "building_id")
 
 
-def centroid_pairs(points: DataFrame, buildings: DataFrame, radius: float) -> DataFrame:
-    """All (row, building_id, distance_m) with the centroid within ``radius`` metres on the sphere."""
-    places = buildings.select("building_id", "centroid_lon", "centroid_lat", *[F.col(f"centroid_{a}").alias(f"r_{b}") for a, b in (("lon", "xmin"), ("lat", "ymin"), ("lon", "xmax"), ("lat", "ymax"))])
-    pairs = overlap_join(_boxed(points, *window(F.col("__lat"), radius)), places, window_zoom(radius), left_fits=True)
+def centroid_pairs(places: DataFrame, buildings: DataFrame, radius: float, *more: str) -> DataFrame:
+    """All (row, building_id, distance_m, and the places' columns ``more``) with the centroid within ``radius`` metres on the sphere."""
+    centres = buildings.select("building_id", "centroid_lon", "centroid_lat", *[F.col(f"centroid_{a}").alias(f"r_{b}") for a, b in (("lon", "xmin"), ("lat", "ymin"), ("lon", "xmax"), ("lat", "ymax"))])
+    pairs = overlap_join(_boxed(places, *window(F.col("__lat"), radius), *more), centres, window_zoom(radius), left_fits=True)
     pairs = pairs.withColumn("distance_m", haversine(F.col("centroid_lon"), F.col("centroid_lat"), F.col("__lon"), F.col("__lat")))
-    return pairs.where(F.col("distance_m") <= float(radius)).select(ROW, "__lon", "__lat", "building_id", "distance_m")
+    return pairs.where(F.col("distance_m") <= float(radius)).select(ROW, *more, "building_id", "distance_m")
 
 
-def nearest_centroids(points: DataFrame, buildings: DataFrame, radius: float) -> DataFrame:
+def nearest_centroids(places: DataFrame, buildings: DataFrame, radius: float) -> DataFrame:
     """(row, building_id, distance_m) of the nearest centroid within the radius."""
-    return _best(centroid_pairs(points, buildings, radius), F.col("distance_m")).withColumnRenamed("order", "distance_m")
+    return _best(centroid_pairs(places, buildings, radius), F.col("distance_m")).withColumnRenamed("order", "distance_m")
+
+
+METRIC = ["rings_3035", "bbox_3035_xmin", "bbox_3035_ymin", "bbox_3035_xmax", "bbox_3035_ymax"]
 
 
-def _within(pairs: DataFrame, radius: float) -> DataFrame:
-    x, y = laea(F.col("__lon"), F.col("__lat"))
-    near = pairs.withColumns({"px": x, "py": y})
+def _metric_box_near(radius: float) -> Column:
     r = F.lit(float(radius))
-    near = near.where((F.col("bbox_3035_xmin") <= F.col("px") + r) & (F.col("bbox_3035_xmax") >= F.col("px") - r) & (F.col("bbox_3035_ymin") <= F.col("py") + r) & (F.col("bbox_3035_ymax") >= F.col("py") - r))
-    near = near.withColumn("distance_m", distance(F.col("rings_3035"), F.col("px"), F.col("py")))
-    return _best(near.where(F.col("distance_m") <= r), F.col("distance_m")).withColumnRenamed("order", "distance_m")
+    return (F.col("bbox_3035_xmin") <= F.col("px") + r) & (F.col("bbox_3035_xmax") >= F.col("px") - r) & (F.col("bbox_3035_ymin") <= F.col("py") + r) & (F.col("bbox_3035_ymax") >= F.col("py") - r)
 
 
-METRIC = ["rings_3035", "bbox_3035_xmin", "bbox_3035_ymin", "bbox_3035_xmax", "bbox_3035_ymax"]
+def _nearest(pairs: DataFrame, radius: float) -> DataFrame:
+    """The nearest shape of each row; the distance is computed once a pair and tested on the least one only."""
+    best = _best(pairs, distance(F.col("rings_3035"), F.col("px"), F.col("py"))).withColumnRenamed("order", "distance_m")
+    return best.where(F.col("distance_m") <= float(radius))
 
 
-def nearest_polygons(points: DataFrame, buildings: DataFrame, radius: float) -> DataFrame:
+def nearest_polygons(places: DataFrame, buildings: DataFrame, radius: float) -> DataFrame:
     """(row, building_id, distance_m) of the nearest polygon within the radius in the metric grid."""
-    return _within(overlap_join(_boxed(points, *window(F.col("__lat"), radius)), _polygons(buildings, *METRIC), window_zoom(radius), left_fits=True), radius)
+    pairs = overlap_join(_boxed(places, *window(F.col("__lat"), radius), "px", "py"), _polygons(buildings, *METRIC), window_zoom(radius), left_fits=True)
+    return _nearest(pairs.where(_metric_box_near(radius)), radius)
 
 
-def nearest_polygons_by_centroid(points: DataFrame, buildings: DataFrame, radius: float, most: int = CANDIDATES) -> DataFrame:
-    """The same among the ``most`` nearest centroids within max(4 r, r + 150) metres only."""
-    near = centroid_pairs(points, buildings, max(4.0 * radius, radius + 150.0))
+def candidate_centroids(places: DataFrame, buildings: DataFrame, radius: float, most: int = CANDIDATES, *more: str) -> DataFrame:
+    """(row, building_id, distance_m, rank, and ``more``) of the ``most`` nearest centroids within max(4 r, r + 150) metres."""
+    near = centroid_pairs(places, buildings, max(4.0 * radius, radius + 150.0), *more)
     order = Window.partitionBy(ROW).orderBy("distance_m", "building_id")
-    near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(ROW, "__lon", "__lat", "building_id")
-    return _within(near.join(buildings.select("building_id", *METRIC), "building_id"), radius)
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
 
+def nearest_polygons_by_centroid(places: DataFrame, buildings: DataFrame, radius: float, most: int = CANDIDATES) -> DataFrame:
+    """The same among the ``most`` nearest centroids within max(4 r, r + 150) metres only.
+
+    The metric boxes thin the candidates out before their shapes are attached.
+    """
+    near = candidate_centroids(places, buildings, radius, most, "px", "py").select(ROW, "px", "py", "building_id")
+    near = materialised(near.join(buildings.select("building_id", *METRIC[1:]), "building_id").where(_metric_box_near(radius)).select(ROW, "px", "py", "building_id"), "candidates")
+    return _nearest(near.join(buildings.select("building_id", "rings_3035"), "building_id"), radius)
 
-def match(points: DataFrame, buildings: DataFrame, mode: str, radius: float = 50.0, candidates: str = "window") -> DataFrame:
-    """(row, building_id, building_match_type, building_distance_m) of every point that is matched."""
+
+def match(points: DataFrame, buildings: DataFrame, mode: str, radius: float = 50.0, candidates: str = "window", metric: Metric = laea) -> DataFrame:
+    """(__lon, __lat, building_id, building_match_type, building_distance_m) of every distinct coordinate that is matched.
+
+    ``metric`` projects a longitude and a latitude to metres; the columns rings_3035 and bbox_3035_* of
+    ``buildings`` must be in the same system, by default the European grid.
+    """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}, not {mode!r}")
     if not radius > 0:
         raise ValueError("the radius must be positive")
+    places = with_places(points, metric)
     label = lambda df, name, d: df.select(ROW, "building_id", F.lit(name).alias("building_match_type"), d.alias("building_distance_m"))
     if mode == "centroid":
-        return label(nearest_centroids(points, buildings, radius), "nearest_centroid", F.col("distance_m"))
-    found = inside_matches(points, buildings)
-    if mode == "inside":
-        return label(found, "inside_polygon", F.lit(0.0))
-    rest = points.join(found.select(ROW), ROW, "left_anti")
-    near = (nearest_polygons_by_centroid if candidates == "centroid" else nearest_polygons)(rest, buildings, radius)
-    return label(found, "inside_polygon", F.lit(0.0)).unionAll(label(near, "nearest_polygon", F.col("distance_m")))
+        found = label(nearest_centroids(places, buildings, radius), "nearest_centroid", F.col("distance_m"))
+    else:
+        found = label(inside_matches(places, buildings), "inside_polygon", F.lit(0.0))
+        if mode == "inside_nearest":
+            found = materialised(found, "inside")
+            rest = places.join(found.select(ROW), ROW, "left_anti")
+            near = (nearest_polygons_by_centroid if candidates == "centroid" else nearest_polygons)(rest, buildings, radius)
+            found = found.unionAll(label(near, "nearest_polygon", F.col("distance_m")))
+    return found.join(places.select(ROW, "__lon", "__lat"), ROW).drop(ROW)
 
 
 def confidence(kind: Column, metres: Column) -> Column:
     return F.when(kind.isNull() | (kind == "none"), "none").when(kind == "inside_polygon", "high").when(metres <= MEDIUM_M, "medium").otherwise("low")
 
 
-def enrich(exposure: DataFrame, lookup: DataFrame, lat: str = "lat", lon: str = "lon", mode: str = "inside_nearest", radius: float = 50.0, key: str | None = None, candidates: str = "window", ordered: bool = False) -> DataFrame:
+def enrich(exposure: DataFrame, lookup: DataFrame, lat: str = "lat", lon: str = "lon", mode: str = "inside_nearest", radius: float = 50.0, key: str | None = None, candidates: str = "window", ordered: bool = False, metric: Metric = laea) -> DataFrame:
     """Every exposure row once, with four match columns and 27 ``building_`` columns.
 
     ``lookup`` is a table of :func:`terrafoot.plans.lookup.prepare_lookup`, whose building_id is
     unique. Input columns that clash with an output column are replaced. Rows without a match, or
     with invalid coordinates, have type and confidence ``none`` and nulls. ``key`` names a unique
-    column that saves making up row ids; ``ordered`` sorts by the row id.
+    column that saves making up row ids; ``ordered`` sorts by the row id. ``metric`` is the
+    projection in which the lookup's metric columns are, see :func:`match`.
     """
     points = with_points(exposure, lat, lon, key)
-    found = match(points.select(ROW, "__lon", "__lat", "coordinate_valid"), lookup, mode, radius, candidates)
+    found = match(points.select("__lon", "__lat", "coordinate_valid"), lookup, mode, radius, candidates, metric)
     details = lookup.select("building_id", *[F.col(c).alias(f"__b_{c}") for c in BUILDING])
     found = found.join(details, "building_id").drop("building_id")
-    rows = points.join(found.withColumnsRenamed({"building_match_type": "__type", "building_distance_m": "__distance"}), ROW, "left")
+    found = found.withColumnsRenamed({"__lon": "__x", "__lat": "__y", "building_match_type": "__type", "building_distance_m": "__distance"})
+    rows = points.join(found, (F.col("__lon") == F.col("__x")) & (F.col("__lat") == F.col("__y")) & F.col("coordinate_valid"), "left")
     if ordered:
         rows = rows.orderBy(ROW)
     made = {"coordinate_valid", "building_match_type", "building_distance_m", "building_confidence"} | {prefixed(c) for c in BUILDING}
@@ -141,17 +177,21 @@ def prefixed(column: str) -> str:
 
 
 def lookup_points(points: DataFrame, lookup: DataFrame, lat: str = "lat", lon: str = "lon", radius: float = 50.0, key: str | None = None) -> DataFrame:
-    """One row per valid point that has a building: inside, else the nearest centroid within the radius.
+    """Every point once: the building that holds it, else the nearest centroid within the radius, else none.
 
-    Columns: those of ``points``, match_type (``inside_polygon`` or ``nearest``), distance_m,
-    confidence, building (a struct of the lookup's columns).
+    Columns: those of ``points``, coordinate_valid, match_type (``inside_polygon``, ``nearest`` or
+    ``none``), distance_m, confidence, building (a struct of the lookup's columns). Points without a
+    building, or with invalid coordinates, have ``none`` twice and nulls.
     """
     rows = with_points(points, lat, lon, key)
-    own = rows.select(ROW, "__lon", "__lat", "coordinate_valid")
-    found = inside_matches(own, lookup).select(ROW, "building_id", F.lit("inside_polygon").alias("match_type"), F.lit(0.0).alias("distance_m"))
-    near = nearest_centroids(own.join(found.select(ROW), ROW, "left_anti"), lookup, radius)
+    places = with_places(rows)
+    found = materialised(inside_matches(places, lookup).select(ROW, "building_id", F.lit("inside_polygon").alias("match_type"), F.lit(0.0).alias("distance_m")), "inside")
+    near = nearest_centroids(places.join(found.select(ROW), ROW, "left_anti"), lookup, radius)
     found = found.unionAll(near.select(ROW, "building_id", F.lit("nearest").alias("match_type"), "distance_m"))
+    found = found.join(places.select(ROW, F.col("__lon").alias("__x"), F.col("__lat").alias("__y")), ROW).drop(ROW)
     found = found.join(lookup.select(F.col("building_id"), F.struct(*lookup.columns).alias("building")), "building_id").drop("building_id")
-    rows = rows.select(ROW, *[F.col(c) for c in points.columns if c not in ("match_type", "distance_m", "confidence", "building")])
-    rows = rows.join(found, ROW)
-    return rows.withColumn("confidence", confidence(F.col("match_type"), F.col("distance_m"))).drop(ROW)
+    made = ("coordinate_valid", "match_type", "distance_m", "confidence", "building")
+    rows = rows.select("__lon", "__lat", "coordinate_valid", *[F.col(c) for c in points.columns if c not in made])
+    rows = rows.join(found, (F.col("__lon") == F.col("__x")) & (F.col("__lat") == F.col("__y")) & F.col("coordinate_valid"), "left")
+    rows = rows.withColumn("match_type", F.coalesce("match_type", F.lit("none")))
+    return rows.withColumn("confidence", confidence(F.col("match_type"), F.col("distance_m"))).drop("__lon", "__lat", "__x", "__y")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafoot.functions.geometry import decode_wkb, is_valid
+from terrafoot.session import materialised
 
 NEAREST = ("nearest_polygon", "nearest_centroid")
 
@@ -28,11 +29,16 @@ def profile_summary(clean: DataFrame) -> DataFrame:
     )
 
 
+def _with_total(counts: DataFrame, column: str) -> DataFrame:
+    """``counts``, written down, with the sum of a column as __total: the input behind it is read once."""
+    counts = materialised(counts, "counts").withColumn("__one", F.lit(1))
+    return counts.join(F.broadcast(counts.groupBy("__one").agg(F.sum(column).alias("__total"))), "__one").drop("__one")  # one row
+
+
 def distribution(df: DataFrame, key: str) -> DataFrame:
     """key, building_count and share of all rows, most frequent first."""
     counts = df.groupBy(key).agg(F.count("*").alias("building_count"))
-    total = df.agg(F.count("*").alias("__total")).withColumn("__one", F.lit(1))  # one row
-    return counts.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one").select(key, "building_count", (F.col("building_count") / F.col("__total")).alias("share")).orderBy(F.desc("building_count"), F.col(key).asc_nulls_last())
+    return _with_total(counts, "building_count").select(key, "building_count", (F.col("building_count") / F.col("__total")).alias("share")).orderBy(F.desc("building_count"), F.col(key).asc_nulls_last())
 
 
 def value_distribution(df: DataFrame, column: str) -> DataFrame:
@@ -70,9 +76,7 @@ def shares(summary: DataFrame) -> DataFrame:
 
 def distribution_shares(df: DataFrame, column: str) -> DataFrame:
     """name, count and share (percent of the listed values, one decimal)."""
-    counts = value_distribution(df, column)
-    total = counts.agg(F.sum("count").alias("__total")).withColumn("__one", F.lit(1))  # one row
-    return counts.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one").select("name", "count", F.round(100.0 * F.col("count") / F.col("__total"), 1).alias("share"))
+    return _with_total(value_distribution(df, column), "count").select("name", "count", F.round(100.0 * F.col("count") / F.col("__total"), 1).alias("share"))
 
 
 def schema_profile(df: DataFrame) -> DataFrame:

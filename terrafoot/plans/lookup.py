@@ -6,16 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafoot.columns import BUILDING
-from terrafoot.functions.geometry import bounds, decode_wkb, geojson, projected
+from terrafoot.functions.geometry import geojson, lookup_shape
 from terrafoot.functions.parsing import json_safe
 
 
 def prepare_lookup(clean: DataFrame) -> DataFrame:
     """The 27 attributes (last_update as text), kind, rings, rings_3035 and their metric box."""
-    rows = clean.withColumn("__shape", decode_wkb("geom_wkb")).withColumn("kind", F.col("__shape.kind")).withColumn("rings", F.col("__shape.rings"))
-    rows = rows.withColumn("last_update", F.date_format("last_update", "yyyy-MM-dd HH:mm:ssXXX")).withColumn("rings_3035", projected(F.col("rings")))
-    metric = [v.alias(f"bbox_3035_{k}") for k, v in bounds(F.col("rings_3035")).items()]
-    return rows.select(*BUILDING, "kind", "rings", "rings_3035", *metric)
+    rows = clean.withColumn("last_update", F.date_format("last_update", "yyyy-MM-dd HH:mm:ssXXX")).withColumn("__shape", lookup_shape("geom_wkb"))
+    metric = [F.col(f"__shape.{c}").alias(f"bbox_3035_{c}") for c in ("xmin", "ymin", "xmax", "ymax")]
+    return rows.select(*BUILDING, "__shape.kind", "__shape.rings", "__shape.rings_3035", *metric)
 
 
 def write_lookup(clean: DataFrame, path: str, force: bool = False) -> None:
@@ -33,6 +32,7 @@ def building_json(building: Column, numbers: tuple[str, ...] = ("relation_id", "
 
 
 def responses(matched: DataFrame) -> DataFrame:
-    """``matched`` of lookup_points with one ``response`` column: match fields and the nested building as JSON."""
-    head = F.struct("match_type", json_safe(F.col("distance_m")).alias("distance_m"), "confidence", F.parse_json(building_json(F.col("building"))).alias("building"))
+    """``matched`` of lookup_points with one ``response`` column: match fields and the nested building as JSON, null without one."""
+    building = F.when(F.col("building").isNotNull(), F.parse_json(building_json(F.col("building"))))
+    head = F.struct("match_type", json_safe(F.col("distance_m")).alias("distance_m"), "confidence", building.alias("building"))
     return matched.withColumn("response", F.to_json(head, {"ignoreNullFields": "false"})).drop("building")

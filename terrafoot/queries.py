@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafoot import fixtures
+from terrafoot import fixtures, queries_shapes, queries_sources
 from terrafoot.functions import crs
 from terrafoot.functions.geometry import area, centroid, decode_wkb, geojson
 from terrafoot.functions.parsing import coordinate_valid, safe_double
@@ -119,7 +119,7 @@ def _lookup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matching.lookup_points(fixtures.exposures(spark, sf_dir), lookup(spark, sf_dir), radius=RADIUS, key="exposure_id")
-    return found.select("exposure_id", "match_type", F.round("distance_m", 3).alias("distance_m"), "confidence", F.col("building.building_id").alias("building_id"))
+    return found.select("exposure_id", "coordinate_valid", "match_type", F.round("distance_m", 3).alias("distance_m"), "confidence", F.col("building.building_id").alias("building_id"))
 
 
 def _point_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,6 +220,8 @@ QUERIES: dict[str, Query] = {
     "csv_round_trip": _csv_round_trip,
     "stream_enrich": _stream_enrich,
     "stream_summary": _stream_summary,
+    **queries_shapes.QUERIES,
+    **queries_sources.QUERIES,
 }
 
 
@@ -301,6 +303,9 @@ cr AS (SELECT *, row_number() OVER (PARTITION BY exposure_id ORDER BY d, buildin
          SELECT e.exposure_id, b.building_id, {_haversine_sql("b.centroid_lon", "b.centroid_lat", "e.lon", "e.lat")} AS d
          FROM e JOIN b ON b.centroid_lon BETWEEN e.lon - e.dx AND e.lon + e.dx AND b.centroid_lat BETWEEN e.lat - e.dy AND e.lat + e.dy) WHERE d <= {RADIUS}),
 n AS (SELECT exposure_id, building_id, 'nearest_centroid' AS kind, d FROM cr WHERE k = 1)"""
+_FOUND = """,
+f AS (SELECT exposure_id, kind AS match_type, d, building_id FROM i
+      UNION ALL SELECT exposure_id, 'nearest', d, building_id FROM n WHERE exposure_id NOT IN (SELECT exposure_id FROM i))"""
 _WIDE = max(4 * RADIUS, RADIUS + 150)
 _GATED = f""",
 gc AS (SELECT e.exposure_id, b.building_id, least({_edge_sql(0, 1)}, {_edge_sql(1, 2)}, {_edge_sql(2, 3)}, {_edge_sql(3, 0)}) AS d,
@@ -387,12 +392,13 @@ ORACLE_SQL: dict[str, str] = {
         "strftime(make_timestamp(id * 60000000), '%Y-%m-%d %H:%M:%SZ') AS last_update, round(footprint_area_m2, 3) AS footprint_area_m2, "
         + ", ".join(f"round({f}({', '.join(f'{a}{i}' for i in range(4))}), 3) AS bbox_3035_{a}{n}" for f, n in (("least", "min"), ("greatest", "max")) for a in "xy")
     ),
-    "point_lookup": f"""{_BASE}{_INSIDE}{_CENTROID}
-        SELECT exposure_id, kind AS match_type, round(d, 3) AS distance_m, 'high' AS confidence, building_id FROM i
-        UNION ALL SELECT exposure_id, 'nearest', round(d, 3), CASE WHEN d <= 15 THEN 'medium' ELSE 'low' END, building_id FROM n WHERE exposure_id NOT IN (SELECT exposure_id FROM i)""",
-    "point_responses": f"""{_BASE}{_INSIDE}{_CENTROID},
-        f AS (SELECT exposure_id, kind AS match_type, building_id FROM i UNION ALL SELECT exposure_id, 'nearest', building_id FROM n WHERE exposure_id NOT IN (SELECT exposure_id FROM i))
-        SELECT exposure_id, match_type, building_id, occupancy_group, 'Polygon' AS geometry_type FROM f JOIN c USING (building_id)""",
+    "point_lookup": f"""{_BASE}{_INSIDE}{_CENTROID}{_FOUND}
+        SELECT exposure_id, coordinate_valid, coalesce(match_type, 'none') AS match_type, round(d, 3) AS distance_m,
+               CASE WHEN match_type IS NULL THEN 'none' WHEN match_type = 'inside_polygon' THEN 'high' WHEN d <= 15 THEN 'medium' ELSE 'low' END AS confidence, building_id
+        FROM v LEFT JOIN f USING (exposure_id)""",
+    "point_responses": f"""{_BASE}{_INSIDE}{_CENTROID}{_FOUND}
+        SELECT exposure_id, coalesce(match_type, 'none') AS match_type, building_id, occupancy_group, CASE WHEN building_id IS NOT NULL THEN 'Polygon' END AS geometry_type
+        FROM v LEFT JOIN f USING (exposure_id) LEFT JOIN c USING (building_id)""",
     "geojson_out": _columns("'Polygon' AS type, 5 AS points, round(xmin, 6) AS first_lon, round(ymax, 6) AS third_lat"),
     "geocode_flatten": """
         WITH q AS (SELECT c_custkey, c_name, 'customer ' || CAST(c_custkey AS VARCHAR) AS query FROM customer)
@@ -402,6 +408,11 @@ ORACLE_SQL: dict[str, str] = {
     "csv_round_trip": f"{_BASE} SELECT exposure_id, lon, lat FROM x",
     "stream_enrich": _CASCADE + "SELECT exposure_id, coordinate_valid, building_match_type, round(distance, 3) AS building_distance_m, building_id AS building_building_id FROM en",
     "stream_summary": _CASCADE + _SUMMARY,
+    "profile_files": f"""{_BASE}, k AS (SELECT * FROM c WHERE {_CLIPPED})
+        SELECT 'summary' AS part, count(*) AS buildings, round(avg(attribute_completeness_score), 4) AS value, true AS holds FROM k
+        UNION ALL SELECT name, (SELECT count(*) FROM k), 1e0, true FROM (VALUES ('occupancy'), ('height_source'), ('source')) AS n(name)""",
+    **queries_shapes.ORACLE_SQL,
+    **queries_sources.ORACLE_SQL,
 }
 
 

@@ -63,12 +63,12 @@ def in_box(box: tuple[float, float, float, float], bbox: str = "bbox") -> Column
 
 
 def boundary_features(df: DataFrame, srid: int = 4326, layer: str | None = None) -> DataFrame:
-    """feature_id and geom_wkb in degrees of a boundary table; null geometries go, ``layer`` chooses rows."""
+    """feature_id, geom_wkb in degrees and srid (4326) of a boundary table; null geometries go, ``layer`` chooses rows."""
     df = df.where(F.col("geom_wkb").isNotNull())
     if layer is not None:
         df = df.where(F.col("layer") == layer)
     wkb = F.col("geom_wkb") if srid == 4326 else reproject_wkb(srid)("geom_wkb")
-    return df.select("feature_id", wkb.alias("geom_wkb"))
+    return df.select("feature_id", wkb.alias("geom_wkb"), F.lit(4326).alias("srid"))
 
 
 def write_clean(df: DataFrame, path: str, force: bool = False, rows_per_file: int = 0) -> None:
