@@ -14,6 +14,12 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def local(spark: SparkSession, schema: pa.Schema, rows: list[tuple]) -> DataFrame:
+    """A few rows of the driver as a table, sent by Arrow: no task starts a Python worker for them."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafoot.llm.common import buffers, pieces
+from terrafoot.llm.common import buffers, local, pieces
 
 #: Bounds of the fit: labelled rows in the sample (about; twice that at most) and the least for each language,
 #: which counts where there are very many languages; buckets of n-grams.
@@ -186,7 +186,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     if not counts:
         return Model([], np.zeros((1 << BITS, 0), np.int32), 1.0, np.zeros(0), 1.0)
     each = max(least_rows, sample_rows / len(counts))
-    limits = spark.createDataFrame([(r["lang"], int(each / r["count"] * (1 << 32)) + 1) for r in counts], "lang string, limit long")
+    limits = local(spark, pa.schema({"lang": pa.string(), "limit": pa.int64()}), [(r["lang"], int(each / r["count"] * (1 << 32)) + 1) for r in counts])
     order = F.pmod(F.xxhash64("id"), F.lit(1 << 32))
     sample = rows.withColumn("order", order).join(F.broadcast(limits), "lang").where("order < limit")
     sample = sample.select("lang", "order", "text").mapInArrow(_features, "lang string, order long, index binary, share binary")
