@@ -11,17 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafoot.llm.common import WORD, buffers, cut, pieces
+from terrafoot.llm.common import WORD, buffers, cut, local, pieces
 from terrafoot.llm.words import PIECE, SPACE, mixed, word_hashes
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Languages with a word list of their own, words in a list, and words a language needs for a reference.
-LANGUAGES, COMMON, LEAST_REFERENCE = 64, 50, 5_000
+#: Words in a list, and the least number of words of a language with a reference of its own: a minimum-length guard,
+#: since fewer words make no reference, only an echo of a few texts.
+COMMON, LEAST_REFERENCE = 50, 5_000
 #: Guards: texts with fewer words (words histogram) or code points (classes histogram) are not judged.
 LEAST_WORDS, LEAST_CHARS = 100, 200
 #: Common words that the reference lets expect in a text of its length; below this the words histogram says little.
@@ -84,23 +86,32 @@ def _measures(batch_lists: list[tuple[str, list[str]]]):
     """Statistics and histograms per text; the lists of common words are (language, words), '' for all texts.
 
     A text without a list of its own goes by the list that holds most of its words, '' at a tie. ``pooled`` is
-    every text's histogram over the list ''.
+    every text's histogram over the list ''. Lists are kept as sorted (list, word) pairs, so work and memory
+    follow their words, not languages times words.
     """
     code = {lang: i for i, (lang, _) in enumerate(batch_lists)}
     pooled = code.get("", 0)
     vocab = sorted({w for _, ws in batch_lists for w in ws})
+    rank = {w: i for i, w in enumerate(vocab)}
+    pairs = sorted((rank[w], i, j) for i, (_, ws) in enumerate(batch_lists) for j, w in enumerate(ws))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = [w.encode() for w in vocab]
         at = np.concatenate([[0], np.cumsum([len(w) for w in raw])]).astype(np.int64)
         _, hashes = word_hashes(at, np.frombuffer(b"".join(raw), np.uint8))
         order = np.argsort(hashes)
-        known = hashes[order]
-        slots = np.full((max(1, len(batch_lists)), len(vocab) + 1), COMMON, np.int64)
-        rank = {w: i for i, w in enumerate(vocab)}
-        for i, (_, ws) in enumerate(batch_lists):
-            for j, w in enumerate(ws):
-                slots[i, rank[w]] = j
+        known, size = hashes[order], len(batch_lists)
+        of_word, of_list, place = (np.array(x, np.int64) for x in (zip(*pairs, strict=True) if pairs else ((), (), ())))
+        keys = of_word * size + of_list
+        first = np.searchsorted(of_word, np.arange(len(vocab) + 2))  # the pairs of each word; none of the last, which stands for all others
+
+        def slot(which, word):
+            if not len(keys):
+                return np.full(len(word), COMMON)
+            wanted = word * size + which
+            spot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return np.where(keys[spot] == wanted, place[spot], COMMON)
+
         for batch in batches:
             at, data = buffers(batch.column("text"))
             langs = batch.column("ref").to_pylist()
@@ -108,7 +119,7 @@ def _measures(batch_lists: list[tuple[str, list[str]]]):
                 here, part = at[s : e + 1] - at[s], data[at[s] : at[e]]
                 n = e - s
                 firsts, exact = word_hashes(here, part, lower=False)
-                _, folded = word_hashes(here, part)
+                _, folded = word_hashes(*buffers(pc.utf8_lower(batch.column("text")[s:e])), lower=False)
                 n_words = np.diff(firsts)
                 lead = (part & 0xC0) != 0x80
                 kind = KIND[part]
@@ -128,90 +139,93 @@ def _measures(batch_lists: list[tuple[str, list[str]]]):
                 lang = np.array([code.get(x, pooled) for x in langs[s:e]], np.int64)
                 loose = lang == pooled
                 if loose.any():
-                    most = _sums(slots[pooled, word] < COMMON, firsts)
-                    for i in range(len(batch_lists)):
-                        held = _sums(slots[i, word] < COMMON, firsts)
-                        lang[loose & (held > most)] = i
-                        most = np.maximum(most, held)
-                over = lambda which: np.bincount(doc * (COMMON + 1) + slots[which, word], minlength=n * (COMMON + 1)).reshape(n, -1)
+                    hit = np.flatnonzero((word < len(vocab)) & loose[doc])
+                    held = first[word[hit] + 1] - first[word[hit]]
+                    spot = np.repeat(first[word[hit]], held) + np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+                    pair, counts = np.unique(np.repeat(doc[hit], held) * size + of_list[spot], return_counts=True)
+                    best = np.lexsort((pair % size != pooled, -counts, pair // size))  # a text's lists by words held, the pooled one first
+                    own, start = np.unique(pair[best] // size, return_index=True)
+                    lang[own] = pair[best][start] % size
+                over = lambda which: np.bincount(doc * (COMMON + 1) + slot(which, word), minlength=n * (COMMON + 1)).reshape(n, -1)
                 ints = lambda x: pa.array(np.asarray(x, np.int64))
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.ravel().astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[s:e], batch.column("ref")[s:e], ints(n_words), ints(_sums(~SPACE[part] & lead, here)), ints(_sums(IS_SYMBOL[part], here)), ints(dup), ints(repeated_words(firsts, exact)), lists(classes), pa.array([batch_lists[i][0] for i in lang.tolist()], pa.string()), lists(over(lang[doc])), lists(over(pooled))],
-                    ["doc_id", "ref", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "list", "words", "pooled"],
+                    [batch.column("doc_id")[s:e], batch.column("ref")[s:e], ints(n_words), ints(_sums(~SPACE[part] & lead, here)), ints(_sums(IS_SYMBOL[part], here)), ints(dup), ints(repeated_words(firsts, exact)), ints(_sums(lead, here)), lists(classes), pa.array([batch_lists[i][0] for i in lang.tolist()], pa.string()), lists(over(lang[doc])), lists(over(pooled))],
+                    ["doc_id", "ref", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_points", "classes", "list", "words", "pooled"],
                 )
 
     return run
 
 
-def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", languages: int = LANGUAGES, most: int = COMMON) -> list[tuple[str, list[str]]]:
-    """The ``most`` most frequent words of each of the most frequent languages, and of all texts under ''.
+def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = COMMON) -> list[tuple[str, list[str]]]:
+    """The ``most`` most frequent words of each language of LEAST_REFERENCE words or more, and of all texts under ''.
 
-    Counted over all texts, in lower case; a word holds a letter, and ties go to the smaller word. The lists are
-    short: at most (``languages`` + 1) * ``most`` words come to the driver.
+    Counted over all texts, in lower case; a word holds a letter, and ties go to the smaller word. Only the lists
+    come to the driver: ``most`` words for each language.
     """
     word = F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0)))
     counts = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("ref"), word.alias("word")).groupBy("ref", "word").count()
     counts = cut(counts, "word-counts")
-    own = [r["ref"] for r in counts.groupBy("ref").agg(F.sum("count").alias("n")).where((F.col("n") >= LEAST_REFERENCE) & (F.col("ref") != "")).orderBy(F.desc("n"), "ref").limit(languages).collect()]
+    own = counts.groupBy("ref").agg(F.sum("count").alias("n")).where((F.col("n") >= LEAST_REFERENCE) & (F.col("ref") != "")).select("ref")
     lettered = counts.where(F.col("word").rlike(r"\p{L}"))
-    first = lambda rows: rows.withColumn("rank", F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("count"), "word"))).where(F.col("rank") <= most)
-    lists: dict[str, list[tuple[int, str]]] = {"": [], **{x: [] for x in own}}
+    rank = F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("count"), "word"))
+    firsts = lettered.withColumn("rank", rank).where(F.col("rank") <= most)  # each task cuts its part of a language down to the list's size first
     total = lettered.groupBy("word").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "word").limit(most)
-    for i, r in enumerate(total.collect()):
-        lists[""].append((i, r["word"]))
-    for r in first(lettered.where(F.col("ref").isin(own))).collect() if own else []:
+    lists: dict[str, list[tuple[int, str]]] = {"": [(i, r["word"]) for i, r in enumerate(total.collect())], **{r["ref"]: [] for r in own.collect()}}
+    for r in firsts.join(own, "ref").collect():
         lists[r["ref"]].append((r["rank"], r["word"]))
     return [(x, [w for _, w in sorted(ws)]) for x, ws in sorted(lists.items())]
 
 
 def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance, base 2, of two histograms of equal length; 0 if either is empty."""
+    """Jensen-Shannon distance, base 2, of two distributions of equal length; 0 if either has no or null shares."""
     zero = F.lit(0.0)
-    sp, sq = (F.aggregate(x, zero, lambda a, v: a + v) for x in (p, q))
 
     def half(a, b):
         return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(zero)
 
-    terms = F.zip_with(p, q, lambda a, b: half(a / sp, b / sq) + half(b / sq, a / sp))
-    return F.when((sp > 0) & (sq > 0), F.sqrt(F.greatest(zero, F.aggregate(terms, zero, lambda a, v: a + v) / 2))).otherwise(zero)
+    total = F.aggregate(F.zip_with(p, q, lambda a, b: half(a, b) + half(b, a)), zero, lambda a, v: a + v)
+    return F.coalesce(F.sqrt(F.greatest(zero, total / 2)), zero)
+
+
+def _shares(counts: Column, total: Column) -> Column:
+    """Counts as shares of ``total``, a column of its own that is not summed up anew for each of them; null ones of nothing."""
+    return F.transform(counts, lambda v: v / F.nullif(total, F.lit(0)))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, class_distance, word_distance.
 
-    A null text has no words and fails the base rules. A text of no or a rare language (fewer than
-    LEAST_REFERENCE words, or beyond the LANGUAGES most frequent) is held against the classes of all
-    texts together, and against the words of the list that holds most of its own: a language's, or at
-    a tie that of all texts. Repeated rows are judged one by one; an empty table gives no rows.
+    A null text has no words and fails the base rules. A text of no language, or of one with fewer than
+    LEAST_REFERENCE words, is held against the classes of all texts together, and against the words of the
+    list that holds most of its own: a language's, or at a tie that of all texts. Repeated rows are judged
+    one by one; an empty table gives no rows; texts of any length are read whole, in slices of rows.
     Reference histograms are sums over all texts, combined map-side; one row per language.
 
     A text without common words has the same distance to its reference whatever else it holds; the
     word rule's bound is a share of that, so such a text fails at any coverage of the list.
     """
     lists = common_words(docs, text_col, lang_col)
-    named = [x for x, _ in lists if x]
-    ref = F.when(F.col(lang_col).isin(named), F.col(lang_col)).otherwise("") if named else F.lit("")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), ref.alias("ref"), F.col(text_col).alias("text"))
-    schema = "doc_id long, ref string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, list string, words array<long>, pooled array<long>"
+    named = local(docs.sparkSession, pa.schema({"ref": pa.string()}), [(x,) for x, _ in lists if x])
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = own.join(F.broadcast(named), F.col("lang") == F.col("ref"), "left").select("doc_id", F.coalesce("ref", F.lit("")).alias("ref"), "text")  # one name for each language
+    schema = "doc_id long, ref string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_points long, classes array<long>, list string, words array<long>, pooled array<long>"
     found = cut(rows.mapInArrow(_measures(lists), schema), "measures")
     at = lambda c, n: [F.sum(F.element_at(c, i + 1)).alias(f"{c}{i}") for i in range(n)]
-    sums = found.groupBy("ref").agg(*at("classes", CLASSES), *at("words", COMMON + 1), *at("pooled", COMMON + 1))
-    doubles = lambda c, n: F.array(*[F.col(f"{c}{i}").cast("double") for i in range(n)])
-    own = sums.select("ref", doubles("classes", CLASSES).alias("all_classes"), doubles("words", COMMON + 1).alias("all_words")).where("ref != ''")
+    sums = found.groupBy("ref").agg(F.sum("n_words").alias("w"), F.sum("n_points").alias("p"), *at("classes", CLASSES), *at("words", COMMON + 1), *at("pooled", COMMON + 1))
+    shares = lambda c, n, total: _shares(F.array(*[F.col(f"{c}{i}") for i in range(n)]), F.col(total))
+    each = sums.where("ref != ''").select("ref", shares("classes", CLASSES, "p").alias("all_classes"), shares("words", COMMON + 1, "w").alias("all_words"))
     total = sums.agg(*[F.sum(c).alias(c) for c in sums.columns if c != "ref"])  # all texts, for those without a reference of their own
-    total = total.select(F.lit("").alias("ref"), doubles("classes", CLASSES).alias("all_classes"), doubles("pooled", COMMON + 1).alias("all_words"))
-    sums = cut(own.unionByName(total), "references")
+    total = total.select(F.lit("").alias("ref"), shares("classes", CLASSES, "p").alias("all_classes"), shares("pooled", COMMON + 1, "w").alias("all_words"))
+    sums = cut(each.unionByName(total), "references")
     strange = F.transform("all_words", lambda v, i: F.when(i == COMMON, 1.0).otherwise(0.0))  # a text without common words
-    covered = 1 - F.element_at("all_words", -1) / F.aggregate("all_words", F.lit(0.0), lambda a, v: a + v)
-    by_words = sums.select(F.col("ref").alias("list"), "all_words", js_distance(strange, F.col("all_words")).alias("strange"), covered.alias("covered"))
-    judged = found.join(F.broadcast(sums.select("ref", "all_classes")), "ref").join(F.broadcast(by_words), "list").withColumns({  # at most LANGUAGES + 1 rows
-        "class_distance": js_distance(F.col("classes").cast("array<double>"), F.col("all_classes")),
-        "word_distance": js_distance(F.col("words").cast("array<double>"), F.col("all_words")),
+    by_words = cut(sums.select(F.col("ref").alias("list"), "all_words", js_distance(strange, F.col("all_words")).alias("strange"), (1 - F.element_at("all_words", -1)).alias("covered")), "references")
+    judged = found.join(F.broadcast(sums.select("ref", "all_classes")), "ref").join(F.broadcast(by_words), "list").withColumns({  # one row for each language
+        "class_distance": js_distance(_shares(F.col("classes"), F.col("n_points")), F.col("all_classes")),
+        "word_distance": js_distance(_shares(F.col("words"), F.col("n_words")), F.col("all_words")),
         "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
     })
-    chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, v: a + v)
     few = (F.col("n_words") < LEAST_WORDS) | (F.col("n_words") * F.col("covered") < LEAST_EXPECTED) | F.col("covered").isNull()
-    near = ((chars < LEAST_CHARS) | (F.col("class_distance") <= CLASS_DISTANCE)) & (few | (F.col("word_distance") <= WORD_SHARE * F.col("strange")))
+    near = ((F.col("n_points") < LEAST_CHARS) | (F.col("class_distance") <= CLASS_DISTANCE)) & (few | (F.col("word_distance") <= WORD_SHARE * F.col("strange")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "class_distance", "word_distance")

@@ -49,6 +49,24 @@ def test_license_texts_in_customary_form(spark, table):
     assert found[50] == ["MIT-licensed"] and found[51] == ["BSD-disclaimer", "BSD-grant"] and found[52] == ["ISC-grant"] and 53 not in found
 
 
+def test_license_sql_is_the_scan(spark, table):
+    """The query's SQL on what the test tables don't hold: wrapped, commented, joined, overlapping and reworded texts."""
+    import duckdb
+    import pandas as pd
+
+    from terrafoot.llm.queries import ORACLE_SQL
+
+    wrap = lambda name, width: "\n".join(" * " + x for x in textwrap.wrap(license_scan.NOTICES[name], width))
+    rows = [(i, f"head\n{wrap(name, 40 + i)}\n\ntail") for i, name in enumerate(license_scan.NOTICES)]
+    rows += [(100, wrap("MIT-text", 70) + "\n" + wrap("BSD-2-Clause-text", 50)), (101, "This project is licensed under the MIT License. See LICENSE."), (102, wrap("ISC-text", 66).replace("THE AUTHOR", "EXAMPLE INC")), (103, "GNU in a zoo, free of charge"), (104, None), (105, ""), (0, "Released under the MIT License. Licensed under CC BY-NC 4.0."), (0, "Released under the MIT License. Licensed under CC BY-NC 4.0.")]
+    rows += [(106, "free software: you can redistribute it and/or\n" * 3 + license_scan.NOTICES["GPL-2.0-header"] + " " + license_scan.NOTICES["GPL-3.0-header"])]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    want = sorted(con.sql(ORACLE_SQL["op2_license_scan"]).fetchall())
+    found = sorted((r.doc_id, r.n_matches, ",".join(r.licenses), r.best_dice) for r in license_scan.license_scan(table(rows)).collect())
+    assert found == want and len(found) > 40
+
+
 def quality_brute(text):
     words = WORD.findall(text or "")
     runs = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
@@ -114,11 +132,76 @@ def js_brute(p, q):
 
 
 def test_js_distance(spark):
-    rows = spark.createDataFrame([([1.0, 2.0, 0.0], [0.0, 5.0, 5.0]), ([1.0, 0.0, 0.0], [0.0, 1.0, 0.0]), ([0.0, 0.0, 0.0], [1.0, 0.0, 0.0])], "p array<double>, q array<double>")
+    counts = [([1.0, 2.0, 0.0], [0.0, 5.0, 5.0]), ([1.0, 0.0, 0.0], [0.0, 1.0, 0.0]), ([0.0, 0.0, 0.0], [1.0, 0.0, 0.0])]
+    rows = spark.createDataFrame(counts, "p array<double>, q array<double>")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda x, v: x + v)
+    rows = rows.select(*[quality_rules._shares(F.col(c), total(c)).alias(c) for c in "pq"])
     a, b, c = (r[0] for r in rows.select(quality_rules.js_distance(F.col("p"), F.col("q"))).collect())
     assert a == pytest.approx(js_brute([1, 2, 0], [0, 5, 5])) and b == pytest.approx(1.0) and c == 0.0
 
 
+def class_of(c):
+    """The class of a character, told by its first UTF-8 byte."""
+    if ord(c) < 128:
+        return 0 if c in "aeiou" else 1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 4 if c in " \t\n\x0b\x0c\r" else 5
+    return 6 if 0xC0 <= ord(c) < 0x280 else 7
+
+
+def verdict_brute(rows, least_reference):
+    """(class_distance, word_distance, kept) of every row, from whole histograms."""
+    words = lambda t: WORD.findall((t or "").lower())
+    counts = collections.defaultdict(collections.Counter)
+    for _, text, lang in rows:
+        counts[lang or ""].update(words(text))
+    own = [x for x in counts if x and counts[x].total() >= least_reference]
+    pooled = sum(counts.values(), collections.Counter())
+    first = lambda c: [w for w, _ in sorted(((w, n) for w, n in c.items() if any(map(str.isalpha, w))), key=lambda x: (-x[1], x[0]))[:50]]
+    lists = {"": first(pooled)} | {x: first(counts[x]) for x in sorted(own)}
+
+    def histogram(text, name):
+        place = {w: i for i, w in enumerate(lists[name])}
+        out = np.zeros(51)
+        for w in words(text):
+            out[place.get(w, 50)] += 1
+        return out
+
+    classes = lambda t: np.bincount([class_of(c) for c in t or ""], minlength=8).astype(float)
+    facts = []
+    for _, text, lang in rows:
+        ref = lang if lang in own else ""
+        name = ref or max(lists, key=lambda x: (50 * len(words(text)) - histogram(text, x)[50], x == "", [-ord(c) for c in x]))
+        facts.append((ref, name, classes(text), histogram(text, name), histogram(text, "")))
+    all_classes = {x: sum((f[2] for f in facts if f[0] == x), np.zeros(8)) for x in own} | {"": sum(f[2] for f in facts)}
+    all_words = {x: sum((f[3] for f in facts if f[0] == x), np.zeros(51)) for x in own} | {"": sum(f[4] for f in facts)}
+    out = {}
+    for (i, text, _), (ref, name, by_class, by_word, _) in zip(rows, facts, strict=True):
+        n, length = len(words(text)), len(text or "")
+        by = js_brute(by_class, all_classes[ref]) if length else 0.0
+        word = js_brute(by_word, all_words[name]) if n else 0.0
+        strange = js_brute([0] * 50 + [1], all_words[name])
+        covered = 1 - all_words[name][50] / all_words[name].sum()
+        near = (length < 200 or by <= quality_rules.CLASS_DISTANCE) and (n < 100 or n * covered < 20 or word <= quality_rules.WORD_SHARE * strange)
+        _, _, _, _, again = quality_brute(text)
+        out[i] = (by, word, near and n >= 20 and 100 * again <= 30 * n)
+    return out
+
+
+def test_quality_verdict_is_brute_force(spark, table, monkeypatch):
+    """Both histograms, both distances and the verdict, with more languages than a machine word has bits."""
+    monkeypatch.setattr(quality_rules, "LEAST_REFERENCE", 400)
+    pick, rows = random.Random(21), []
+    for k in range(70):
+        make = tongue(100 + k)
+        rows += [(k * 10 + i, make(pick.randint(120, 200)), f"x{k}") for i in range(4)] + [(k * 10 + 5, make(150), pick.choice([None, "rare", f"x{(k + 1) % 70}"]))]
+    rows += [(900, None, "x1"), (901, "", None), (902, "ÀÉ ñ 日本 😀 " * 60, "x1"), (903, "AB12 ;; " * 80, None), (904, tongue(100)(40_000), "x0")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(table(rows)).collect()}
+    want = verdict_brute(rows, 400)
+    assert len(got) == len(want) and len({r[2] for r in rows}) > 70
+    for i, (by, word, kept) in want.items():
+        assert got[i].class_distance == pytest.approx(by, abs=1e-7) and got[i].word_distance == pytest.approx(word, abs=1e-7) and got[i].kept == kept, i
+    assert 0 < sum(k for *_, k in want.values()) < len(want)
+
+
 def test_language(spark, table):
     pick = random.Random(4)
     parts = {"en": "th he in er an re on at", "fr": "é ou le ai eau ment qu è", "de": "sch ein ung ü ch ge ver ß"}
@@ -143,6 +226,54 @@ def test_language(spark, table):
     assert {r.lang_pred for r in language_id.identify(docs, empty).collect()} == {"und"}
 
 
+def ngrams_brute(text):
+    """Buckets of the n-grams of 1 to 3 characters, one by one."""
+    text, out = " " + (text or "").lower() + " ", []
+    for i, c in enumerate(text):
+        if c.isalpha() or i == 0 or text[i - 1].isalpha():
+            out.append(ord(c) if c.isalpha() else 32)
+    found = collections.Counter()
+    for n in (1, 2, 3):
+        for i in range(len(out) - n + 1):
+            h = out[i]
+            for x in out[i + 1 : i + n]:
+                h = (h * 0x100000001B3 + x) % (1 << 64)
+            found[((h + n) * 0x9E3779B97F4A7C15) % (1 << 64) >> 48] += 1
+    return found
+
+
+@pytest.mark.parametrize("size", [2, 7, 1 << 18])
+def test_ngrams_in_slices_are_brute_force(size, monkeypatch):
+    monkeypatch.setattr(language_id, "SLICE", size)
+    pick = random.Random(15)
+    texts = [None, "", " ", "12", "Ab cd! é", "ΑΣ σ"] + ["".join(pick.choice("abcé ,XΣ\n日") for _ in range(pick.randint(0, 150))) for _ in range(60)]
+    found = [collections.Counter() for _ in texts]
+    for owner, bucket in language_id.ngrams(texts):
+        for i, b in zip(owner.tolist(), bucket.tolist(), strict=True):
+            found[i][b] += 1
+    assert found == [ngrams_brute(t) for t in texts]
+
+
+def test_predictions_are_brute_force_for_very_many_languages(spark, table):
+    """More languages than a byte holds, each with few rows; very long texts give what their parts give."""
+    rows = [(k * 8 + i, tongue(500 + k)(20), f"l{k:03d}") for k in range(300) for i in range(8)]
+    docs = table(rows)
+    model = language_id.fit(docs, ~language_id.held_out(), sample_rows=64, least_rows=2)
+    assert len(model.languages) == 300
+    texts = [r[1] for r in rows[::40]] + [rows[0][1] + " " + rows[9][1], "a", "é!", "", None, "1"]
+    lang, score = model.predict(texts)
+    for text, name, p in zip(texts, lang, score, strict=True):
+        counts = ngrams_brute(text)
+        if not any(map(str.isalpha, text or "")):
+            assert (name, p) == ("und", 0.0)
+            continue
+        logits = sum((n * model.weights[b].astype(float) for b, n in counts.items()), np.zeros(300)) * model.unit / counts.total() + model.bias
+        chances = np.exp((logits - logits.max()) / model.temperature)
+        assert name == model.languages[logits.argmax()] and p == pytest.approx((chances / chances.sum()).max(), abs=1e-9)
+    long = " ".join([rows[5][1]] * 4000)
+    assert model.predict([long])[0] == model.predict([rows[5][1]])[0]
+
+
 def test_sentencepiece_is_the_library(spark, table):
     import sentencepiece
 
@@ -311,3 +442,71 @@ def test_quality_classifier(spark, table):
     assert got[5000].log_weight == got[5001].log_weight == 0
     assert quality_classifier.resample(table([]), labels).count() == 0
     assert all(r.kept for r in quality_classifier.resample(table(rows), labels.limit(0)).collect())
+
+
+def test_rates_have_one_multiplier_a_source(spark):
+    """The solved rates against a bisection for each source; what meets the cap stays there."""
+    pick = random.Random(22)
+    cells = {(s, n): pick.randint(1, 40) for s in "abcd" for n in {int(pick.paretovariate(1.1) * 5) for _ in range(60)}}
+    total = {s: sum(n * k for (x, n), k in cells.items() if x == s) for s in "abcd"}
+    target = {s: share * total[s] for s, share in zip("abcd", (0.3, 1.0, 1.7, 2.0), strict=True)}
+    rows = spark.createDataFrame([("s" + s, n, k) for (s, n), k in cells.items()] + [("sa", 0, 9)], "skey string, size long, n long")
+    targets = spark.createDataFrame([("s" + s, total[s], float(target[s])) for s in total], "skey string, source_size long, target double")
+    got = {(r.skey[1:], r.size): r.rate for r in mixing.tilted_rates(rows, targets, 2.0).collect()}
+    assert got.pop(("a", 0)) == 0.0 and set(got) == set(cells)
+    for s in "abcd":
+        own = [(n, k) for (x, n), k in cells.items() if x == s]
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            words = sum(n * k * min(2.0, np.exp(min(9.0, middle * n / 10))) for n, k in own)
+            low, high = (middle, high) if words < target[s] else (low, middle)
+        for n, _ in own:
+            want = 2.0 if s == "d" else min(2.0, np.exp(min(9.0, high * n / 10)))
+            assert got[s, n] == pytest.approx(want, rel=1e-6), (s, n)
+
+
+def test_resampling_is_brute_force(spark, table):
+    """Counts, ratios, keys and places, with ties, repeated ids, null ids and a very long text."""
+    import xxhash
+
+    pick = random.Random(23)
+    rows = [(i, " ".join(pick.choice(["The", "of", "rain", "sun", "x"]) for _ in range(pick.randint(0, 30)))) for i in range(120)]
+    rows += [(7, rows[7][1]), (7, "Other text"), (8, rows[8][1]), (None, "the rain"), (None, "the rain"), (500, None), (501, ""), (502, "word " * 20_000 + "rain")]
+    labels = [(i, int(i % 3 == 0)) for i in range(0, 120, 2)] + [(None, 1), (7, None), (6, 1)]
+    buckets = 97
+    got = quality_classifier.resample(table(rows), spark.createDataFrame(labels, "doc_id long, quality int"), buckets=buckets).collect()
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hashed = lambda w: int(quality_classifier.word_hashes(np.array([0, len(w.encode())]), np.frombuffer(w.encode(), np.uint8))[1][0])
+    known = {}
+
+    def grams(text):
+        words = [known.setdefault(w, hashed(w)) for w in WORD.findall((text or "").translate(lower))]
+        pairs = [int(quality_classifier.mixed(np.array([(a * 3 + b) % (1 << 64)], np.uint64))[0]) for a, b in zip(words[:2000], words[1:2001], strict=False)] if len(words) < 2000 else None
+        if pairs is None:  # the long text repeats one pair
+            pair = lambda a, b: int(quality_classifier.mixed(np.array([(a * 3 + b) % (1 << 64)], np.uint64))[0])
+            pairs = [pair(words[0], words[1])] * (len(words) - 2) + [pair(words[-2], words[-1])]
+        return collections.Counter(h % buckets for h in [*words, *pairs])
+
+    good = {i for i, q in labels if q == 1 and i is not None}
+    raw, target = np.ones(buckets), np.ones(buckets)
+    for i, text in rows:
+        for b, n in grams(text).items():
+            raw[b] += n
+            target[b] += n * (i in good)
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    noise = lambda i: ((0 if i is None else xxhash.xxh64_intdigest(struct.pack("<q", i), 42)))
+    keys = []
+    for i, text in rows:
+        own = grams(text)
+        seed = xxhash.xxh64_intdigest(struct.pack("<i", 17), noise(i) if i is not None else 42)
+        u = (seed % (1 << 52) + 0.5) / (1 << 52)
+        weight = sum(n * ratio[b] for b, n in own.items())
+        keys.append((i, own.total(), weight, weight - np.log(-np.log(u))))
+    plain = lambda rs: sorted(((-1 if r[0] is None else r[0], r[1], round(r[2], 6), round(r[3], 6)) for r in rs))
+    assert plain((r.doc_id, r.n_grams, r.log_weight, r.gumbel_key) for r in got) == plain(keys)
+    placed = sorted(got, key=lambda r: r.place)
+    assert [r.place for r in placed] == list(range(len(rows)))
+    assert all((-a.gumbel_key, a.doc_id is None, a.doc_id or 0) <= (-b.gumbel_key, b.doc_id is None, b.doc_id or 0) for a, b in itertools.pairwise(placed))
+    share = sum(q == 1 for _, q in labels) / sum(q is not None for _, q in labels)
+    assert [r.place < round(len(rows) * share) for r in got] == [r.kept for r in got]
