@@ -50,7 +50,7 @@ def _bigrams(words: Column) -> Column:
     return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(words)
 
 
-def _anchors(words: list[str], bigrams: list[str], least: int) -> list[tuple[str, int]]:
+def anchors(words: list[str], bigrams: list[str], least: int) -> list[tuple[str, int]]:
     """(bigram, place) of so many of a template's rarest bigrams that no match can lack them all.
 
     A match shares at least least / (200 - least) of the template's bigrams. Bigrams whose shorter word
@@ -73,8 +73,8 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     fixed = spark.createDataFrame(list((NOTICES if templates is None else templates).items()), "license string, template string")
     fixed = fixed.withColumn("words", _words(F.col("template"))).select("license", "words", _bigrams(F.col("words")).alias("bigrams")).where(F.size("words") > 0).collect()  # of the fixed templates
-    places = [(b, r.license, i) for r in fixed for b, i in _anchors(r.words, r.bigrams, least)]
-    anchors = spark.createDataFrame(places, "bigram string, license string, place int")
+    places = [(b, r.license, i) for r in fixed for b, i in anchors(r.words, r.bigrams, least)]
+    rare_at = spark.createDataFrame(places, "bigram string, license string, place int")
     small = spark.createDataFrame([(r.license, len(r.words), r.bigrams) for r in fixed], "license string, length int, wanted array<string>")
     rare = sorted({b for b, _, _ in places})
     neighbours = lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(w)
@@ -88,7 +88,7 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     before = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     lines = lines.select("row", "doc_id", (F.col("pos") + 1).alias("line"), "words", F.coalesce(F.sum(F.size("words")).over(before), F.lit(0)).cast("int").alias("first"))
     whole = lines.withColumn("bigram", F.explode(F.array_distinct(F.concat(neighbours(F.col("words")), F.col("words") if single else F.array())))).where(F.col("bigram").isin(rare))
-    whole = whole.join(F.broadcast(anchors.select("bigram", "license").distinct()), "bigram").dropDuplicates(["row", "line", "license"]).select("row", "doc_id", "line", "license", "first", "words")
+    whole = whole.join(F.broadcast(rare_at.select("bigram", "license").distinct()), "bigram").dropDuplicates(["row", "line", "license"]).select("row", "doc_id", "line", "license", "first", "words")
 
     numbered = F.flatten(F.transform(F.split("text", "\n", -1), lambda x, i: F.transform(_words(x), lambda w: F.struct(w.alias("word"), (i + 1).alias("line")))))
     texts = maybe.select("row", "doc_id", numbered.alias("numbered")).withColumn("words", F.col("numbered.word"))
@@ -98,7 +98,7 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     start = lambda at: F.greatest(F.lit(0), at - longest)
     near = F.transform(F.filter(spots, lambda x: x["bigram"].isin(rare)), lambda x: F.struct(x["bigram"].alias("bigram"), x["at"].alias("at"), F.slice("numbered", start(x["at"]) + 1, F.lit(2 * longest)).alias("numbered")))
     hits = texts.select("row", "doc_id", F.explode(near).alias("spot")).select("row", "doc_id", "spot.*")
-    runs = hits.join(F.broadcast(anchors), "bigram").join(F.broadcast(small.select("license", "length")), "license")
+    runs = hits.join(F.broadcast(rare_at), "bigram").join(F.broadcast(small.select("license", "length")), "license")
     runs = runs.withColumn("first", F.greatest(F.lit(0), F.col("at") - F.col("place")))
     run = F.slice("numbered", F.col("first") - start(F.col("at")) + 1, F.col("length"))
     runs = runs.select("row", "doc_id", "license", "first", run.alias("run")).select("row", "doc_id", F.col("run")[0]["line"].alias("line"), "license", "first", F.col("run.word").alias("words"))

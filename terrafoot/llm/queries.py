@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from terrafoot.llm.common import table
 from terrafoot.llm.exact_dedup import exact_dedup
 from terrafoot.llm.language_id import fit, held_out, identify
-from terrafoot.llm.license_scan import LEAST_DICE, TEMPLATES, license_scan
+from terrafoot.llm.license_scan import LEAST_DICE, NOTICES, anchors, license_scan
 from terrafoot.llm.line_dedup import line_dedup
 from terrafoot.llm.mixing import mix
 from terrafoot.llm.near_dedup import near_groups
@@ -83,20 +85,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-_QUOTED = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in TEMPLATES.items())
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+(?:[.\-][\p{{L}}\p{{N}}]+)*')"
 _BIGRAMS = "CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END"
 
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("'{}'".format(x.replace("'", "''")) if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+
+
+def _license_sql() -> str:
+    """Lines with a rare bigram, and runs at its place, scored and thinned out by one pass over a text's matches, best first."""
+    places = []
+    for license, template in NOTICES.items():
+        words = re.findall(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*", template.lower())  # templates are ASCII
+        places += [(license, b, i) for b, i in anchors(words, list(dict.fromkeys(map(" ".join, itertools.pairwise(words)))), LEAST_DICE)]
+    return f"""
+        WITH t AS (SELECT license, len(w) AS length, {_BIGRAMS} AS b FROM (SELECT license, {_WORDS.format("template")} AS w FROM (VALUES {_values(list(NOTICES.items()))}) AS v(license, template))),
+        a(license, bigram, place) AS (VALUES {_values(places)}),
+        d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+        l AS (SELECT row, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+        w AS (SELECT row, doc_id, pos, {_WORDS.format("line")} AS w FROM l),
+        f AS (SELECT *, CAST(coalesce(sum(len(w)) OVER (PARTITION BY row ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM w),
+        n AS (SELECT row, doc_id, pos, first + unnest(range(0, len(w))) AS spot, unnest(w) AS word FROM f),
+        g AS (SELECT row, doc_id, pos, spot, word || ' ' || lead(word) OVER (PARTITION BY row ORDER BY spot) AS bigram, lead(pos) OVER (PARTITION BY row ORDER BY spot) AS next_pos FROM n),
+        h AS (SELECT g.row, g.doc_id, g.pos, g.next_pos, a.license, greatest(0, g.spot - a.place) AS first FROM g JOIN a ON g.bigram = a.bigram),
+        whole AS (SELECT DISTINCT h.row, h.doc_id, h.pos, h.license, f.first, f.w FROM h JOIN f ON h.row = f.row AND h.pos = f.pos WHERE h.next_pos = h.pos),
+        texts AS (SELECT row, list(word ORDER BY spot) AS ws, list(pos ORDER BY spot) AS ls FROM n WHERE row IN (SELECT row FROM h) GROUP BY row),
+        runs AS (SELECT DISTINCT h.row, h.doc_id, texts.ls[h.first + 1] AS pos, h.license, h.first, texts.ws[h.first + 1 : h.first + t.length] AS w FROM h JOIN texts ON h.row = texts.row JOIN t ON h.license = t.license),
+        b AS (SELECT row, doc_id, pos, license, first, first + len(w) AS last, {_BIGRAMS} AS b FROM (SELECT * FROM whole UNION SELECT * FROM runs)),
+        m AS (SELECT DISTINCT row, doc_id, pos, b.license, first, last, 2.0 * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS dice
+              FROM b JOIN t ON b.license = t.license WHERE 200 * len(list_intersect(b.b, t.b)) >= {LEAST_DICE} * (len(b.b) + len(t.b))),
+        k AS (SELECT row, doc_id, list([struct_pack(first := first, last := last, license := license, dice := CAST(dice AS DOUBLE))] ORDER BY dice DESC, first - last, license, first, last, pos) AS found FROM m GROUP BY row, doc_id),
+        s AS (SELECT row, doc_id, unnest(list_reduce(found, lambda y, x: CASE WHEN len(list_filter(y, lambda z: z.first < x[1].last AND x[1].first < z.last)) > 0 THEN y ELSE list_concat(y, x) END)) AS m FROM k)
+        SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT m.license, ',' ORDER BY m.license) AS licenses, round(max(m.dice), 6) AS best_dice FROM s GROUP BY row, doc_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
-    "op2_license_scan": f"""
-        WITH t AS (SELECT license, {_BIGRAMS} AS b FROM (SELECT license, {_WORDS.format("template")} AS w FROM (VALUES {_QUOTED}) AS v(license, template))),
-        l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-        g AS (SELECT doc_id, pos, {_BIGRAMS} AS b FROM (SELECT doc_id, pos, {_WORDS.format("line")} AS w FROM l) WHERE len(w) > 0),
-        m AS (SELECT g.doc_id, g.pos, t.license, 2.0 * len(list_intersect(g.b, t.b)) / (len(g.b) + len(t.b)) AS dice
-              FROM g JOIN t ON 200 * len(list_intersect(g.b, t.b)) >= {LEAST_DICE} * (len(g.b) + len(t.b))),
-        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY dice DESC, license) AS k FROM m)
-        SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, round(CAST(max(dice) AS DOUBLE), 6) AS best_dice
-        FROM r WHERE k = 1 GROUP BY doc_id""",
+    "op2_license_scan": _license_sql(),
     "op3_line_dedup": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
