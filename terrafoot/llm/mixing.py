@@ -9,10 +9,13 @@ target by little more than one document.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafoot.llm.common import cut, n_words, ranked
+from terrafoot.session import released
 
 #: Rows of one (source, size) cell that one task may number.
 CELL_ROWS = 512
@@ -41,16 +44,12 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
 
 
 def _rate(cap: float) -> Column:
-    import math
-
     tilt = F.exp(F.least(F.col("lam") * F.col("z"), F.lit(math.log(cap))))
     return F.when(F.col("target") >= cap * F.col("source_size"), F.lit(cap)).otherwise(tilt)
 
 
 def _multipliers(cells: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
     """(skey, lam, target, source_size, scale): the dual's solution per source, by Newton steps kept inside a bracket."""
-    import math
-
     facts = cells.where("size > 0").groupBy("skey").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("scale"), F.min("size").alias("least"))
     state = targets.join(facts, "skey").where("target > 0")
     top = F.lit(math.log(cap)) * F.col("scale") / F.col("least")
@@ -68,12 +67,21 @@ def _multipliers(cells: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
         step = F.col("lam") - miss / F.col("slope")
         inside = (F.col("slope") > 0) & (step > F.col("lo")) & (step < F.col("hi"))
         lam = F.when(F.col("still"), F.col("lam")).when(inside, F.when(F.col("slope") > 0, step)).otherwise((F.col("lo") + F.col("hi")) / 2)
-        state = cut(moved.withColumn("lam", lam).select("skey", "target", "source_size", "scale", "hi", "lo", "lam", "still"), "mix-dual")
+        old, state = state, cut(moved.withColumn("lam", lam).select("skey", "target", "source_size", "scale", "hi", "lo", "lam", "still"), "mix-dual")
+        released(old)
         if state.where("NOT still").isEmpty():
             break
     return state
 
 
+def tilted_rates(cells: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
+    """(skey, size, n, source_size, target, rate) of each cell (skey, size, n): one multiplier a source tilts all its rates."""
+    dual = _multipliers(cells, targets, cap)
+    rates = cells.join(targets, "skey").join(dual.select("skey", "lam", "scale"), "skey", "left").withColumn("z", F.col("size") / F.col("scale"))
+    rates = rates.withColumn("rate", F.when((F.col("size") > 0) & (F.col("target") > 0), F.least(_rate(cap), F.lit(cap))).otherwise(0.0))
+    return rates.select("skey", "size", "n", "source_size", "target", "rate")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, carry: bool = False) -> DataFrame:
     """One row per document: __id, __size, __source_size, __target, __copies; with ``carry`` its own columns too.
 
@@ -83,7 +91,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     of the id, then by the row's place in the input files.
 
     Only (id, source, size) is shuffled. A cell of very many documents of one source and size is
-    numbered in salted parts of about 512 rows; the running sums run over distinct sizes.
+    numbered in salted parts of about 512 rows; the running sums run over distinct sizes. Texts of any
+    length are read whole.
     """
     source = F.col(source_col)
     skey = F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source))
@@ -92,10 +101,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cells = cut(rows.groupBy("skey", "__source", "size").agg(F.count("*").alias("n")), "mix-cells")
     sizes = cells.groupBy("skey", F.col("__source").isNull().alias("null_source"), F.col("__source").alias("source")).agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     targets = source_targets(sizes, weights, share, cap).select("skey", "source_size", "target")
-    cells = cells.select("skey", "size", "n")
-    dual = _multipliers(cells, targets, cap).select("skey", "lam", "scale")
-    rates = cells.join(targets, "skey").join(dual, "skey", "left").withColumn("z", F.col("size") / F.col("scale"))
-    rates = rates.withColumn("rate", F.when((F.col("size") > 0) & (F.col("target") > 0), F.least(_rate(cap), F.lit(cap))).otherwise(0.0))
+    rates = tilted_rates(cells.select("skey", "size", "n"), targets, cap)
     rates = rates.withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.col("whole"))
     before = Window.partitionBy("skey").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     rates = rates.withColumn("gone", F.coalesce(F.sum(F.col("n") * F.col("part")).over(before), F.lit(0.0)))
