@@ -31,8 +31,9 @@ from terrafoot.session import released
 BANDS, ROWS = 40, 6
 #: Rounds with further pivots, at most, before what is left in mixed buckets is compared in blocks.
 PIVOT_ROUNDS = 4
-#: Shingles on either side of a block that one task compares (4 MB); a longer set stands alone.
-BLOCK = 1 << 19
+#: Shingles on either side of a block that one task compares; a longer set stands alone. Near copies share most of them,
+#: so this bounds a task's work as well as its memory.
+BLOCK = 1 << 16
 
 
 def _sketch(k: int, bands: int, rows: int):
@@ -187,7 +188,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = rows.select("pivot", "node", "comp", "n").distinct()
     parts = stars.groupBy("pivot", "comp").agg(F.count("*").alias("size"))
     mains = parts.groupBy("pivot").agg(F.sum("size").alias("size"), F.max(F.struct("size", "comp")).alias("most")).where("size > 2")
-    stars = cut(stars.join(mains.select("pivot", "size", F.col("most.comp").alias("main")), "pivot"), "stars")
+    mains = cut(mains.select("pivot", "size", F.col("most.comp").alias("main")), "star-mains")
+    stars = cut(stars.join(mains.hint("merge"), "pivot"), "stars")
     weight = stars.groupBy("pivot").agg(F.sum("n").alias("weight"))
     large = stars.join(weight.where(F.col("weight") > BLOCK).select("pivot").hint("merge"), "pivot", "left_semi")
     if not large.isEmpty():
@@ -195,7 +197,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         stars = stars.join(weight.where(F.col("weight") <= BLOCK).select("pivot").hint("merge"), "pivot", "left_semi").unionByName(stars.join(large.hint("merge"), ["pivot", "node"], "left_semi"))
     across = F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK)).alias("across")
     down = F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("comp") != F.col("main"), F.col("n"))) / BLOCK)).alias("down")
-    stars = cut(stars.join(stars.groupBy("pivot").agg(across, down), "pivot"), "star-blocks")
+    shares = cut(stars.groupBy("pivot").agg(across, down), "star-shares")
+    stars = cut(stars.join(shares.hint("merge"), "pivot"), "star-blocks")
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("long")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asked = stars.where("comp != main").select("pivot", "node", "comp", F.lit(True).alias("asked"), block("down").alias("i"), every("across").alias("j"))
