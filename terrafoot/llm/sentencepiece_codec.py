@@ -28,9 +28,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
 #: Bytes of texts that are encoded together; entries of a table of substrings.
-CHUNK, TABLE = 1 << 18, 1 << 19
+CHUNK, TABLE = 1 << 19, 1 << 20
 #: Units beyond this length are cut where no piece can reach across, what stays longer goes alone; units remembered by a task.
-LONG, REMEMBERED = 48, 1 << 17
+LONG, REMEMBERED = 48, 1 << 18
 U = np.uint64
 PRIME = U(0x100000001B3)
 
