@@ -15,14 +15,21 @@ from terrafoot.llm.sentencepiece_codec import encode
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters, and those whose language is recognised with a score below 0.5."""
+    """Rejects documents without letters, and those whose language is recognised with a score below 0.5.
+
+    Learns from rows that have a language and an id outside the held-out fifth; without any, every
+    document is rejected, as none can be recognised. A null or empty text is rejected. Rows with a
+    null id are judged like all others, repeated rows one by one. An empty table stays empty.
+    """
     return recognised(docs, fit(docs, ~held_out() & F.col("doc_id").isNotNull()))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that recur in three documents or more, but where the largest id holds them.
 
-    Documents that lost all their words go; n_chars is counted anew for those that lost lines.
+    Documents that lost all their words go; n_chars is counted anew for those that lost lines. A null
+    or empty text loses nothing and stays as it is. Rows that share an id are one document to the
+    count, a null id is the smallest. An empty table stays empty.
     """
     rows = line_dedup(docs)
     lost = F.col("__n_dropped") > 0
@@ -32,19 +39,30 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each near-duplicate group: shingles of five words, similarity 0.8."""
+    """Keeps the smallest id of each near-duplicate group: shingles of five words, similarity 0.8.
+
+    Null, empty and blank texts are in no group and stay. Of rows with equal id and text one stays;
+    rows with a null id stay where their whole group has none. An empty table stays empty.
+    """
     return keep_one(docs, k=5, similarity=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to their targets: a document goes out as often as its rate was rounded to."""
+    """Sources mixed to their targets: a document goes out as often as its rate was rounded to.
+
+    A document without words, a null text too, weighs nothing and is taken no time; a null source is a
+    source of its own. Repeated rows are separate documents. An empty table stays empty.
+    """
     rows = mix(docs, carry=True)
     copies = F.when(F.col("__copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("__copies")))
     return rows.select(*docs.columns, F.explode(copies).alias("__copy")).drop("__copy")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text: doc_id, n_tokens, ids, round_trip."""
+    """Token ids of every text: doc_id, n_tokens, ids, round_trip.
+
+    A null or empty text has no ids. Repeated rows stay repeated; an empty table gives no rows.
+    """
     return encode(docs, SENTENCEPIECE_MODEL)
 
 

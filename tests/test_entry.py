@@ -8,10 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from terrafoot import queries_shapes, queries_sources
 
 ROOT = Path(__file__).parent.parent
 DATA = Path("/root/testdata/sf0.001")
-OWN = ["coordinate_validation", "height_parse", "occupancy_classify", "floorspace_estimate", "completeness_score", "boundary_clip", "quadkey_encode", "tile_cover", "footprint_area", "occupancy_distribution", "geocode_flatten", "csv_round_trip", "match_summary", "stream_summary"]
+OWN = ["coordinate_validation", "height_parse", "occupancy_classify", "floorspace_estimate", "completeness_score", "boundary_clip", "quadkey_encode", "tile_cover", "footprint_area", "occupancy_distribution", "geocode_flatten", "csv_round_trip", "match_summary", "stream_summary", "point_responses", *queries_shapes.QUERIES, *queries_sources.QUERIES]
 
 
 def compared(spark, name):
@@ -47,3 +48,6 @@ def test_imports_without_the_corpus_part(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert 'inside_match' in e.queries() and not [q for q in e.queries() if q.startswith('op')]"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": ""})
+    (tmp_path / "corpus_pipeline.py").write_text("import nowhere_to_be_found")
+    broken = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, env=os.environ | {"PYTHONPATH": ""})
+    assert broken.returncode and b"nowhere_to_be_found" in broken.stderr  # a fault of the corpus part isn't swallowed
