@@ -1,5 +1,6 @@
 """Column lists of the clean, lookup and enriched tables."""
 
+#: The output contract, in order.
 CLEAN = [
     "building_id", "source", "relation_id", "quadkey", "quadkey_prefix_6", "last_update", "geom_wkb",
     "centroid_lon", "centroid_lat", "bbox_xmin", "bbox_ymin", "bbox_xmax", "bbox_ymax",

@@ -21,6 +21,9 @@ GROUPS = {
 DIRECT, RANGE = r"HHT:([0-9.]+)", r"HBET:([0-9]+)-([0-9]+)"
 STOREYS, STOREYS_LENIENT = r"(^|\\+)H:([0-9]+)", r"(^|\+)H:([0-9]+)"
 
+#: What an area, a height, an occupancy and a floorspace add to the completeness score.
+WEIGHTS = (0.25, 0.30, 0.30, 0.15)
+
 
 def _found(text: Column, pattern: str, group: int, kind: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast(kind)
@@ -62,9 +65,9 @@ def floorspace_estimate(given: Column, area: Column, exact: Column, least: Colum
 
 
 def completeness(area: Column, height: Column, group: Column, floorspace: Column) -> Column:
-    """0.25 for an area, 0.30 for a height, 0.30 for a known occupancy, 0.15 for a floorspace."""
+    """The sum of WEIGHTS for an area, a height, a known occupancy and a floorspace."""
     part = lambda condition, weight: F.when(condition, F.lit(weight)).otherwise(F.lit(0.0))
-    return F.round(part(area.isNotNull(), 0.25) + part(height.isNotNull(), 0.30) + part(group != "Unknown", 0.30) + part(floorspace.isNotNull(), 0.15), 2)
+    return F.round(part(area.isNotNull(), WEIGHTS[0]) + part(height.isNotNull(), WEIGHTS[1]) + part(group != "Unknown", WEIGHTS[2]) + part(floorspace.isNotNull(), WEIGHTS[3]), 2)
 
 
 def with_attributes(df, height: str = "height", occupancy: str = "occupancy", floorspace: str = "floorspace_source_m2", area: str = "footprint_area_m2", metres_per_storey: float = 3.0, usable_floor_factor: float = 1.0, lenient_storeys: bool = False):

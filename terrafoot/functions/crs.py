@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,6 +50,40 @@ def laea_arrays(lon, lat):
     return FALSE_E + b * D * cos_b * np.sin(turn), FALSE_N + b / D * (math.cos(BETA0) * sin_b - math.sin(BETA0) * cos_b * np.cos(turn))
 
 
+@dataclass(frozen=True)
+class Metric:
+    """A projection to metres, once for columns and once for numpy arrays: (lon, lat) to (x, y)."""
+
+    columns: Callable
+    arrays: Callable
+
+
+#: The default for matching, as for areas.
+EUROPE = Metric(laea, laea_arrays)
+
+
+def azimuthal(lon0: float, lat0: float) -> Metric:
+    """A metric for places far from Europe, on the sphere: distances from the centre are true, those near it almost."""
+    at, s0, c0 = math.radians(lon0), math.sin(math.radians(lat0)), math.cos(math.radians(lat0))
+
+    def columns(lon: Column, lat: Column) -> tuple[Column, Column]:
+        turn, phi = F.radians(lon) - at, F.radians(lat)
+        c = haversine(F.lit(lon0), F.lit(lat0), lon, lat) / EARTH_RADIUS
+        k = F.when(c < 1e-12, 1.0).otherwise(c / F.sin(c)) * EARTH_RADIUS
+        return k * F.cos(phi) * F.sin(turn), k * (c0 * F.sin(phi) - s0 * F.cos(phi) * F.cos(turn))
+
+    def arrays(lon, lat):
+        import numpy as np
+
+        turn, phi = np.radians(lon) - at, np.radians(lat)
+        h = np.sin((phi - math.radians(lat0)) / 2) ** 2 + c0 * np.cos(phi) * np.sin(turn / 2) ** 2
+        c = 2 * np.arcsin(np.sqrt(np.minimum(1.0, h)))
+        k = np.where(c < 1e-12, 1.0, c / np.where(c < 1e-12, 1.0, np.sin(c))) * EARTH_RADIUS
+        return k * np.cos(phi) * np.sin(turn), k * (c0 * np.sin(phi) - s0 * np.cos(phi) * np.cos(turn))
+
+    return Metric(columns, arrays)
+
+
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Metres along a sphere of 6,371 km."""
     dy, dx = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2

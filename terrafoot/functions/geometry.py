@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrafoot.functions.crs import laea, laea_arrays, to_degrees
+from terrafoot.functions.crs import EUROPE, Metric, laea, laea_arrays, to_degrees
 
 #: Types as objects: Python workers import this module, and they have no session to parse text with.
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
@@ -154,8 +154,8 @@ class Shapes:
             out[rows, :2], out[rows, 2:] = np.minimum.reduceat(pts, first), np.maximum.reduceat(pts, first)
         return out
 
-    def projected(self) -> np.ndarray:
-        return np.column_stack(laea_arrays(self.pts[:, 0], self.pts[:, 1]))
+    def projected(self, arrays=laea_arrays) -> np.ndarray:
+        return np.column_stack(arrays(self.pts[:, 0], self.pts[:, 1]))
 
     def _turns(self, pts: np.ndarray):
         """Points about their ring's first one, which keeps digits, and twice the signed area and the moments of each ring."""
@@ -380,13 +380,18 @@ def doubles(values: np.ndarray) -> pa.Array:
     return pa.array(values, mask=np.isnan(values))
 
 
-@F.arrow_udf(LOOKUP)
-def lookup_shape(wkb: pa.Array) -> pa.Array:
-    """Everything that :data:`LOOKUP` names, from one parse; null for a null or damaged value."""
-    shapes = Shapes(wkb)
-    metric = shapes.projected()
-    box = shapes.bounds(metric)
-    return pa.StructArray.from_arrays([pa.array(shapes.kinds, pa.string()), shapes.nested(), shapes.nested(metric), *[doubles(box[:, k]) for k in range(4)]], [f.name for f in LOOKUP])
+def lookup_shape(metric: Metric = EUROPE):
+    """A UDF from WKB to everything that :data:`LOOKUP` names, from one parse; null for a null or damaged value."""
+    arrays = metric.arrays
+
+    @F.arrow_udf(LOOKUP)
+    def run(wkb: pa.Array) -> pa.Array:
+        shapes = Shapes(wkb)
+        pts = shapes.projected(arrays)
+        box = shapes.bounds(pts)
+        return pa.StructArray.from_arrays([pa.array(shapes.kinds, pa.string()), shapes.nested(), shapes.nested(pts), *[doubles(box[:, k]) for k in range(4)]], [f.name for f in LOOKUP])
+
+    return run
 
 
 @F.arrow_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("xmin", "ymin", "xmax", "ymax")]))

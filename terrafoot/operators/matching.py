@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafoot.columns import BUILDING
-from terrafoot.functions.crs import haversine, laea, window
+from terrafoot.functions.crs import EUROPE, Metric, haversine, window
 from terrafoot.functions.geometry import covers, distance
 from terrafoot.functions.parsing import coordinate_valid, safe_double
 from terrafoot.operators.joins import overlap_join, window_zoom
@@ -19,8 +17,6 @@ CANDIDATES = 500
 #: Nearest matches up to this many metres have medium confidence.
 MEDIUM_M = 15.0
 ROW = "__exposure_row_id"
-#: A projection: longitude and latitude to metres east and north.
-Metric = Callable[[Column, Column], tuple[Column, Column]]
 
 
 def with_points(exposure: DataFrame, lat: str, lon: str, key: str | None = None) -> DataFrame:
@@ -34,13 +30,13 @@ def with_points(exposure: DataFrame, lat: str, lon: str, key: str | None = None)
     return materialised(rows.withColumn(ROW, F.monotonically_increasing_id()))
 
 
-def with_places(points: DataFrame, metric: Metric = laea) -> DataFrame:
+def with_places(points: DataFrame, metric: Metric = EUROPE) -> DataFrame:
     """The distinct valid coordinates of ``points``, written down: __lon, __lat, a row id each, and px, py in metres.
 
     Each coordinate is matched once, however many rows share it, and is projected before any join.
     """
     places = points.where("coordinate_valid").select("__lon", "__lat").distinct()
-    px, py = metric(F.col("__lon"), F.col("__lat"))
+    px, py = metric.columns(F.col("__lon"), F.col("__lat"))
     return materialised(places.withColumns({ROW: F.monotonically_increasing_id(), "px": px, "py": py}), "places")
 
 
@@ -116,7 +112,7 @@ def nearest_polygons_by_centroid(places: DataFrame, buildings: DataFrame, radius
     return _nearest(near.join(buildings.select("building_id", "rings_3035"), "building_id"), radius)
 
 
-def match(points: DataFrame, buildings: DataFrame, mode: str, radius: float = 50.0, candidates: str = "window", metric: Metric = laea) -> DataFrame:
+def match(points: DataFrame, buildings: DataFrame, mode: str, radius: float = 50.0, candidates: str = "window", metric: Metric = EUROPE) -> DataFrame:
     """(__lon, __lat, building_id, building_match_type, building_distance_m) of every distinct coordinate that is matched.
 
     ``metric`` projects a longitude and a latitude to metres; the columns rings_3035 and bbox_3035_* of
@@ -144,7 +140,7 @@ def confidence(kind: Column, metres: Column) -> Column:
     return F.when(kind.isNull() | (kind == "none"), "none").when(kind == "inside_polygon", "high").when(metres <= MEDIUM_M, "medium").otherwise("low")
 
 
-def enrich(exposure: DataFrame, lookup: DataFrame, lat: str = "lat", lon: str = "lon", mode: str = "inside_nearest", radius: float = 50.0, key: str | None = None, candidates: str = "window", ordered: bool = False, metric: Metric = laea) -> DataFrame:
+def enrich(exposure: DataFrame, lookup: DataFrame, lat: str = "lat", lon: str = "lon", mode: str = "inside_nearest", radius: float = 50.0, key: str | None = None, candidates: str = "window", ordered: bool = False, metric: Metric = EUROPE) -> DataFrame:
     """Every exposure row once, with four match columns and 27 ``building_`` columns.
 
     ``lookup`` is a table of :func:`terrafoot.plans.lookup.prepare_lookup`, whose building_id is

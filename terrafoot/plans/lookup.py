@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafoot.columns import BUILDING
+from terrafoot.functions.crs import EUROPE, Metric
 from terrafoot.functions.geometry import geojson, lookup_shape
 from terrafoot.functions.parsing import json_safe
 
 
-def prepare_lookup(clean: DataFrame) -> DataFrame:
-    """The 27 attributes (last_update as text), kind, rings, rings_3035 and their metric box."""
-    rows = clean.withColumn("last_update", F.date_format("last_update", "yyyy-MM-dd HH:mm:ssXXX")).withColumn("__shape", lookup_shape("geom_wkb"))
+def prepare_lookup(clean: DataFrame, metric: Metric = EUROPE) -> DataFrame:
+    """The 27 attributes (last_update as text), kind, rings, rings_3035 and their metric box.
+
+    Far from Europe the default grid distorts distances: another ``metric``, given to matching as well,
+    takes its place under the same column names.
+    """
+    rows = clean.withColumn("last_update", F.date_format("last_update", "yyyy-MM-dd HH:mm:ssXXX")).withColumn("__shape", lookup_shape(metric)("geom_wkb"))
     metric = [F.col(f"__shape.{c}").alias(f"bbox_3035_{c}") for c in ("xmin", "ymin", "xmax", "ymax")]
     return rows.select(*BUILDING, "__shape.kind", "__shape.rings", "__shape.rings_3035", *metric)
 

@@ -89,3 +89,59 @@ def test_validity_and_meeting(spark):
     assert geometry.shapes_meet(shapes["ring"], shapes["beside"]) and geometry.shapes_meet(shapes["ring"], shapes["across"])
     damaged = spark.createDataFrame([(bytearray(b"\x01\x03"),), (None,)], "w binary")
     assert [tuple(r) for r in damaged.select(geometry.decode_wkb("w")["kind"], geometry.is_valid("w")).collect()] == [(None, False), (None, False)]
+
+
+def test_damaged_and_odd_shapes_in_one_batch():
+    """The batch decoder against the parser of single shapes: other byte orders, heights, several parts, empty and damaged values."""
+    import struct
+
+    import pyarrow as pa
+
+    square, hole = geometry.encode_polygon([SQUARE]), geometry.encode_polygon([SQUARE, HOLE])
+    tall = struct.pack("<BII", 1, 1003, 1) + struct.pack("<I15d", 5, *[v for x, y in SQUARE for v in (x, y, 9.0)])
+    flagged = struct.pack("<BIII", 1, 0x20000003, 4326, 1) + struct.pack("<I10d", 5, *[v for p in SQUARE for v in p])
+    point, line = struct.pack("<BIdd", 1, 1, 3.0, 4.0), struct.pack("<BII4d", 1, 2, 2, 0.0, 0.0, 1.0, 1.0)
+    odd = [None, b"", b"\x01\x03", square[:-3], geometry.encode_polygon([[]]), struct.pack("<BII", 1, 6, 0), geometry.encode_polygon([SQUARE], False), hole, tall, flagged, point, line, geometry.encode_multipolygon([hole, square]), geometry.encode_polygon([SQUARE[:-1]]), geometry.encode_polygon([[*SQUARE[:2], *SQUARE[1:]]])]
+    for data in (odd, odd + [square] * 3, [square], []):
+        shapes = geometry.Shapes(pa.array(data, pa.binary()))
+        assert len(shapes) == len(data)
+        for i, value in enumerate(data):
+            found = geometry.parsed(value)
+            assert shapes.kinds[i] == (found[0] if found else None)
+            assert [(p, h, r.tolist()) for p, h, r in shapes.rings(i)] == ([(p, h, r.tolist()) for p, h, r in found[1]] if found else [])
+            assert shapes.valid()[i] == bool(found and found[1] and (found[0] not in ("POLYGON", "MULTIPOLYGON") or geometry.valid(found[1]))), i
+        sliced = geometry.Shapes(pa.array(data, pa.binary())[len(data) // 2 :])
+        assert sliced.kinds.tolist() == shapes.kinds[len(data) // 2 :].tolist() and sliced.area().tolist() == shapes.area()[len(data) // 2 :].tolist()
+    assert geometry.shapes_meet([(0, False, np.zeros((0, 2)))], geometry.parse_wkb(square)[1]) is False
+
+
+def test_prepared_boundary_is_brute_force():
+    """Random small shapes against a boundary with a hole and an island, by grid and pair by pair."""
+    import random
+
+    import pyarrow as pa
+
+    from terrafoot.operators.boundary import Prepared
+
+    pick = random.Random(2)
+    ring = lambda x, y, r, n, turn: [(x + r * (1 + 0.3 * (i % 2)) * math.cos(turn + 2 * math.pi * i / n), y + r * (1 + 0.3 * (i % 2)) * math.sin(turn + 2 * math.pi * i / n)) for i in range(n)]
+    closed = lambda r: [*r, r[0]]
+    country = [closed(ring(0, 0, 10, 40, 0.1)), closed(ring(1, 1, 3, 12, 0.2))[::-1]]
+    features = [geometry.parse_wkb(geometry.encode_polygon(country))[1], geometry.parse_wkb(geometry.encode_polygon([closed(ring(16, 0, 1, 8, 0))]))[1]]
+    data = [geometry.encode_polygon([closed(ring(pick.uniform(-15, 19), pick.uniform(-15, 15), pick.choice([0.02, 0.4, 3, 30]), pick.randint(3, 8), pick.random()))]) for _ in range(400)]
+    found = Prepared(features, 16).meets(geometry.Shapes(pa.array([*data, None, b"x"], pa.binary())))
+    want = [any(geometry.shapes_meet(geometry.parse_wkb(d)[1], f) for f in features) for d in data]
+    assert found.tolist() == [*want, False, False] and 50 < sum(want) < 350
+
+
+def test_other_metrics(spark):
+    """Near Kingston the local metric gives the sphere's distances, for columns and arrays alike."""
+    metric = crs.azimuthal(-76.8, 18.0)
+    at = [(-76.8, 18.0), (-76.79, 18.01), (-77.5, 18.3)]
+    rows = spark.createDataFrame(at, "lon double, lat double")
+    x, y = metric.columns(F.col("lon"), F.col("lat"))
+    found = [tuple(r) for r in rows.select(x, y).collect()]
+    assert np.allclose(found, np.column_stack(metric.arrays(*np.array(at).T)), atol=1e-6) and np.allclose(found[0], 0, atol=1e-6)
+    step = [tuple(r) for r in rows.select(crs.haversine(F.col("lon"), F.col("lat"), F.col("lon") + 0.001, F.col("lat") + 0.001)).collect()]
+    moved = [tuple(r) for r in rows.select(*metric.columns(F.col("lon") + 0.001, F.col("lat") + 0.001)).collect()]
+    assert np.allclose([math.dist(a, b) for a, b in zip(found, moved, strict=True)], [s for (s,) in step], rtol=2e-3)

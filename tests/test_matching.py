@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -5,10 +6,12 @@ from pyspark.sql import functions as F
 
 from terrafoot.fixtures import rectangle
 from terrafoot.operators.joins import clip, overlap_join
-from terrafoot.operators.matching import enrich, lookup_points
-from terrafoot.operators.profile import match_summary, profile_summary
-from terrafoot.plans.country import BuildConfig, run_country
+from terrafoot.functions.crs import azimuthal
+from terrafoot.operators.matching import candidate_centroids, enrich, lookup_points, match, with_places, with_points
+from terrafoot.operators.profile import distribution, match_summary, profile_summary
+from terrafoot.plans.country import BuildConfig, build_country, run_country
 from terrafoot.plans.lookup import prepare_lookup
+from terrafoot.sources.footprints import write_clean
 
 RAW = "id long, xmin double, ymin double, xmax double, ymax double, height string, occupancy string, floorspace string"
 
@@ -64,3 +67,54 @@ def test_clip(spark, most_bytes):
     area = spark.createDataFrame([(1, 10.1, 51.0, 10.203, 53.0), (2, 10.15, 51.0, 10.25, 53.0)], "feature_id long, xmin double, ymin double, xmax double, ymax double")
     area = area.select("feature_id", rectangle("xmin", "ymin", "xmax", "ymax").alias("geom_wkb"))
     assert sorted(r.id for r in clip(rows, area, most_bytes=most_bytes).collect()) == list(range(10, 26))
+
+
+def test_top_500_candidates(spark):
+    """600 centroids around one point: the 500 nearest are candidates, and a polygon beyond them isn't found."""
+    rows = [(i, (10.0 + 1e-6 * i, 52.0, 10.0 + 1e-6 * i + 2e-7, 52.0 + 2e-7)) for i in range(1, 601)]
+    rows += [(1000, (10.0, 52.0005, 10.0001, 52.0017))]  # its wall is 34 m away, its centroid farther than 600 others
+    buildings = prepare_lookup(build_country(raw(spark, rows), None, BuildConfig((9.0, 51.0, 11.0, 53.0)))).cache()
+    points = with_points(spark.createDataFrame([(1, "9.9999", "52.0")], "k int, lon string, lat string"), "lat", "lon", "k")
+    places = with_places(points)
+    found = candidate_centroids(places, buildings, 60.0).collect()
+    assert len(found) == 500 and {r.building_id for r in found} == {str(i) for i in range(1, 501)} and sorted(r["rank"] for r in found) == list(range(1, 501))
+    far = points.withColumn("__lat", F.lit(52.0003)).withColumn("__lon", F.lit(10.0))
+    by_window = match(far, buildings, "inside_nearest", 60.0).first()
+    by_centroid = match(far, buildings, "inside_nearest", 60.0, candidates="centroid").first()
+    assert by_window.building_id == "1000" and by_centroid.building_id == "1"
+
+
+def test_each_coordinate_is_matched_once(spark, lookup):
+    """Many rows on one coordinate, -0.0 and 0.0, and rows in the order of the input."""
+    rows = [(i, "10.0025", "52.0025") for i in range(500)] + [(500, "-0.0", "0"), (501, "0.0", "-0")]
+    exposure = spark.createDataFrame(rows, "k int, lon string, lat string")
+    assert with_places(with_points(exposure, "lat", "lon", "k")).count() == 2
+    out = enrich(exposure, lookup, key="k", ordered=True).collect()
+    assert [r.k for r in out] == list(range(502)) and all(r.building_building_id == "2" for r in out[:500]) and all(r.building_match_type == "none" for r in out[500:])
+
+
+def test_local_metric(spark):
+    """Far from Europe the local metric finds what the default grid places too far away."""
+    rows = [(1, (-76.801, 18.0, -76.8008, 18.0002))]
+    clean = build_country(raw(spark, rows), None, BuildConfig((-78.5, 17.6, -76.0, 18.7))).cache()
+    exposure = spark.createDataFrame([(1, "-76.80035", "18.00065")], "k int, lon string, lat string")
+    metric = azimuthal(-76.8, 18.0)
+    true = 1000 * math.dist((0.45 * 111.19 * math.cos(math.radians(18)) / 1000 * 1000, 0.45 * 111.19), (0, 0)) / 1000
+    near = enrich(exposure, prepare_lookup(clean, metric), radius=80.0, key="k", metric=metric).first()
+    assert near.building_match_type == "nearest_polygon" and abs(near.building_distance_m - true) < 0.5
+    grid = enrich(exposure, prepare_lookup(clean), radius=80.0, key="k").first()
+    assert grid.building_distance_m is None or abs(grid.building_distance_m - true) > 5
+
+
+def test_sinks_refuse_to_overwrite(spark, tmp_path):
+    rows, out = spark.range(2500), f"{tmp_path}/clean"
+    write_clean(rows, out, rows_per_file=1000)
+    with pytest.raises(Exception, match="already exists"):
+        write_clean(rows, out)
+    write_clean(rows.limit(3), out, force=True)
+    assert spark.read.parquet(out).count() == 3
+
+
+def test_distribution_order(spark):
+    df = spark.createDataFrame([(x,) for x in "bbbaacc"] + [(None,)], "k string")
+    assert [(r.k, r.building_count) for r in distribution(df, "k").collect()] == [("b", 3), ("a", 2), ("c", 2), (None, 1)]
