@@ -12,6 +12,7 @@ from terrafoot.llm import near_dedup
 from terrafoot.llm.exact_dedup import exact_dedup
 from terrafoot.llm.line_dedup import line_dedup
 from terrafoot.llm.near_dedup import connected, keep_one, near_groups
+from terrafoot.llm.words import PIECE
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -109,7 +110,7 @@ def near_rows(n=260, seed=5):
 
 @pytest.mark.parametrize("k", [2, 5])
 def test_near(spark, table, k, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK", 600)
     rows = near_rows()
     got = near_groups(table(rows), k=k).select("doc_id", "n_shingles", "component_id")
     want = near_brute(rows, k)
@@ -132,3 +133,42 @@ def test_connected_chain(spark):
     edges = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionAll(spark.createDataFrame([(100, 101)], "a long, b long"))
     got = {tuple(r) for r in connected(edges).collect()}
     assert got == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
+
+
+def test_near_long_texts(spark, table):
+    """Texts of very many words, and words longer than a piece of bytes, are read whole."""
+    pick = random.Random(11)
+    words = [f"w{i}" for i in range(60_000)]
+    long = [pick.choice(words) for _ in range(80_000)]
+    changed = [*long]
+    for _ in range(2_000):
+        changed[pick.randrange(len(changed))] = "other"
+    giant = "x" * (3 * PIECE + 17)
+    rows = [(1, " ".join(long)), (2, " ".join(changed)), (3, " ".join(long[:40_000])), (4, f"{giant} a b c d e f g h i"), (5, f"{giant.upper()} a b c d e f g h i j"), (6, f"{giant}y a b c d e f g h i"), (7, " \n" * 200_000)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_groups(table(rows)).collect())
+    assert got == near_brute(rows) and [c for _, _, c in got] == [1, 1, 3, 4, 4, 4, 7]
+
+
+def test_near_threshold_group_in_blocks(spark, table, monkeypatch):
+    """One bucket whose pairs lie at the threshold and far below it, in many blocks, after pruning by prefixes."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 400)
+    monkeypatch.setattr(near_dedup, "PIVOT_ROUNDS", 1)
+    pick = random.Random(12)
+    base = [f"b{i}" for i in range(40)]
+    rows = []
+    for i in range(160):
+        own = [*base]
+        for _ in range(pick.choice([0, 2, 3, 4, 5, 9])):
+            own[pick.randrange(40)] = f"v{i}x{pick.random()}"
+        rows.append((i, " ".join(own)))
+    rows += [(200 + i, " ".join([*base[:25], *[f"page{i}word{j}" for j in range(15)]])) for i in range(60)]  # a template with own words
+    got = near_groups(table(rows)).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect())) == near_brute(rows)
+
+
+def test_lines_of_long_texts(spark, table):
+    line = "a line that very many texts have in common"
+    long = "\n".join(f"{i} own line of the long text" if i % 3 else line for i in range(60_000))
+    rows = [(1, long), (2, line + "\n" + "z" * 2_000_000), (3, f"{line}\n{'z' * 2_000_000}\n" + "z" * 2_000_000), (4, "z" * 2_000_000), (5, "\n" * 100_000)]
+    found = line_dedup(table(rows)).select("doc_id", "__n_lines", "__n_dropped", "__kept")
+    assert sorted(map(tuple, found.collect())) == lines_brute(rows)

@@ -362,14 +362,14 @@ def test_long_units_are_the_library():
 
 def test_warc(spark, tmp_path):
     long, short = "<p>" + "ü" * 100 + "</p>\r\n\r\nWARC/1.1\r\n", "x" * 99
-    rows = [(3, "http://a", long), (1, "http://b\r\nWARC-Type: x", long), (2, None, short), (4, "u", short), (5, "u", None), (6, "u", ""), (None, "n", long), (7, "u", "y" * 100), (1, "again", long)]
+    rows = [(8, "http://long", "<p>ä</p>\n" * 300_000), (3, "http://a", long), (1, "http://b\r\nWARC-Type: x", long), (2, None, short), (4, "u", short), (5, "u", None), (6, "u", ""), (None, "n", long), (7, "u", "y" * 100), (1, "again", long)]
     pages = spark.createDataFrame([(*r, "k", b"z") for r in rows], "page_id long, url string, html string, digest string, payload binary")
     path = f"file://{tmp_path}/archive"
     warc.write_archive(pages, path)
     found = sorted(((r.page_id, bytes(r.payload).decode(), r.record_type, r.refers_to, r.payload_digest) for r in warc.read_archive(spark, path).collect()), key=repr)
     want = [(i, h or "", "revisit" if h == long and i != 1 else "response", 1 if h == long and i != 1 else None, hashlib.sha256((h or "").encode()).hexdigest()) for i, _, h in rows]
     assert found == sorted(want, key=repr)
-    assert spark.read.parquet(f"{path}/payloads").count() == 4  # each payload once
+    assert spark.read.parquet(f"{path}/payloads").count() == 5  # each payload once
     records = [bytes(r.record) for r in warc.read_archive(spark, path).collect()]
     for record in records:
         head, _, rest = record.partition(b"\r\n\r\n")
@@ -401,7 +401,7 @@ def targets_brute(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
 def test_mixing(spark, table):
     pick = random.Random(8)
     rows = [(i, "w " * int(pick.paretovariate(1.2) * 20 % 5000), None, pick.choice(["a"] * 6 + ["b", "c", "é", None, "Z"])) for i in range(1500)]
-    rows += [(2000, None, None, "a"), (2001, "", None, "b"), (None, "x y", None, "a"), (2500, "x y z", None, "a"), (2500, "x y z", None, "a")] + [(3000 + i, "same size", None, "hot") for i in range(9000)]
+    rows += [(1999, "word\n" * 300_000, None, "Z"), (2000, None, None, "a"), (2001, "", None, "b"), (None, "x y", None, "a"), (2500, "x y z", None, "a"), (2500, "x y z", None, "a")] + [(3000 + i, "same size", None, "hot") for i in range(9000)]
     docs = table(rows)
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows)
