@@ -5,7 +5,7 @@ Classes that share a band are compared with one pivot of the bucket; what is lin
 exact check of the full sets falls into its component. Members of one bucket that are still in
 different components meet further pivots, and in the end the nodes outside the main component are
 compared with the others of their pivot, in blocks that hold a bounded number of shingles. Pivots of
-more than a block first lose the nodes that share no prefix shingle with another component: two sets
+very many blocks first lose the nodes that share no prefix shingle with another component: two sets
 of the wanted similarity always share one of the first n - ceil(0.8 n) + 1 of their shingles, in any
 fixed order, and here the order puts those that are frequent at the pivot last. So every pair of
 classes that shares a band is checked or known to be connected or too far apart, no pair but the
@@ -34,6 +34,8 @@ PIVOT_ROUNDS = 4
 #: Shingles on either side of a block that one task compares; a longer set stands alone. Near copies share most of them,
 #: so this bounds a task's work as well as its memory.
 BLOCK = 1 << 16
+#: Where a set would go to more blocks than this, nodes that can't be linked are found first, which costs about as much.
+COPIES = 16
 
 
 def _sketch(k: int, bands: int, rows: int):
@@ -186,19 +188,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # what is left: the nodes of a pivot's buckets that are outside their main component, against all of its nodes, in blocks
     stars = rows.select("pivot", "node", "comp", "n").distinct()
-    parts = stars.groupBy("pivot", "comp").agg(F.count("*").alias("size"))
-    mains = parts.groupBy("pivot").agg(F.sum("size").alias("size"), F.max(F.struct("size", "comp")).alias("most")).where("size > 2")
-    mains = cut(mains.select("pivot", "size", F.col("most.comp").alias("main")), "star-mains")
-    stars = cut(stars.join(mains.hint("merge"), "pivot"), "stars")
-    weight = stars.groupBy("pivot").agg(F.sum("n").alias("weight"))
-    large = stars.join(weight.where(F.col("weight") > BLOCK).select("pivot").hint("merge"), "pivot", "left_semi")
-    if not large.isEmpty():
-        large = cut(_may_meet(large, sets, similarity), "stars-left")
-        stars = stars.join(weight.where(F.col("weight") <= BLOCK).select("pivot").hint("merge"), "pivot", "left_semi").unionByName(stars.join(large.hint("merge"), ["pivot", "node"], "left_semi"))
-    across = F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK)).alias("across")
-    down = F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("comp") != F.col("main"), F.col("n"))) / BLOCK)).alias("down")
-    shares = cut(stars.groupBy("pivot").agg(across, down), "star-shares")
-    stars = cut(stars.join(shares.hint("merge"), "pivot"), "star-blocks")
+    parts = stars.groupBy("pivot", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    stats = parts.groupBy("pivot").agg(F.sum("size").alias("size"), F.sum("weight").alias("weight"), F.max(F.struct("size", "comp", "weight")).alias("most")).where("size > 2")
+    blocks = lambda weight: F.greatest(F.lit(1), F.ceil(weight / BLOCK))
+    stats = stats.select("pivot", "size", F.col("most.comp").alias("main"), blocks(F.col("weight")).alias("across"), blocks(F.col("weight") - F.col("most.weight")).alias("down"))
+    stats = cut(stats, "star-stats")
+    stars = cut(stars.join(stats.hint("merge"), "pivot"), "stars")
+    if not stats.where(F.col("across") + F.col("down") > COPIES).isEmpty():
+        large = stars.where(F.col("across") + F.col("down") > COPIES)
+        left = cut(large.drop("across", "down").join(_may_meet(large, sets, similarity).hint("merge"), ["pivot", "node"], "left_semi"), "stars-left")
+        outside = F.sum(F.when(F.col("comp") != F.col("main"), F.col("n")).otherwise(0))
+        shares = cut(left.groupBy("pivot").agg(blocks(F.sum("n")).alias("across"), blocks(outside).alias("down")), "star-stats")
+        stars = stars.where(F.col("across") + F.col("down") <= COPIES).unionByName(left.join(shares.hint("merge"), "pivot"))
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("long")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asked = stars.where("comp != main").select("pivot", "node", "comp", F.lit(True).alias("asked"), block("down").alias("i"), every("across").alias("j"))

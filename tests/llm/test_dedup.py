@@ -111,6 +111,7 @@ def near_rows(n=260, seed=5):
 @pytest.mark.parametrize("k", [2, 5])
 def test_near(spark, table, k, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 600)
+    monkeypatch.setattr(near_dedup, "COPIES", 4)
     rows = near_rows()
     got = near_groups(table(rows), k=k).select("doc_id", "n_shingles", "component_id")
     want = near_brute(rows, k)
@@ -152,6 +153,7 @@ def test_near_long_texts(spark, table):
 def test_near_threshold_group_in_blocks(spark, table, monkeypatch):
     """One bucket whose pairs lie at the threshold and far below it, in many blocks, after pruning by prefixes."""
     monkeypatch.setattr(near_dedup, "BLOCK", 400)
+    monkeypatch.setattr(near_dedup, "COPIES", 2)
     monkeypatch.setattr(near_dedup, "PIVOT_ROUNDS", 1)
     pick = random.Random(12)
     base = [f"b{i}" for i in range(40)]
