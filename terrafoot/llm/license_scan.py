@@ -80,8 +80,9 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     neighbours = lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(w)
     single = [b for b in rare if " " not in b]  # templates of one word, which any place may hold
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    maybe = rows.withColumn("words", _words(F.col("text")))
-    maybe = maybe.where(F.exists(neighbours(F.col("words")), lambda b: b.isin(rare)) | (F.exists("words", lambda w: w.isin(single)) if single else F.lit(False)))
+    telling = sorted({max(b.split(" "), key=lambda w: (len(w), w)) for b in rare})  # one word of each rare bigram
+    holds = lambda w: F.exists(w, lambda x: x.isin(telling)) & F.exists(neighbours(w), lambda b: b.isin(rare)) | (F.exists(w, lambda x: x.isin(single)) if single else F.lit(False))
+    maybe = rows.where(F.exists(F.array(_words(F.col("text"))), holds))  # the one-element array has the words found once
     maybe = cut(maybe.select("row", "doc_id", "text"), "license-texts")
 
     lines = maybe.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")).withColumn("words", _words(F.col("text")))
