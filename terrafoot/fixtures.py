@@ -73,7 +73,11 @@ def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rectangles in the raw schema, with WKB geometry and a nested bounding box."""
-    rows = rectangles(spark, sf_dir)
+    return raw_of(rectangles(spark, sf_dir))
+
+
+def raw_of(rows: DataFrame) -> DataFrame:
+    """Rectangles in the raw schema."""
     key = quadkey(tile_x(F.col("xmin"), 18), tile_y(F.col("ymin"), 18), 18)
     box = F.struct("xmin", "ymin", "xmax", "ymax")
     return rows.select("id", "source", "height", "occupancy", "floorspace", F.lit(None).cast("double").alias("relation_id"), key.alias("quadkey"), F.timestamp_seconds(F.col("id") * 60).alias("last_update"), rectangle("xmin", "ymin", "xmax", "ymax").alias("geometry"), box.alias("bbox"))
