@@ -12,7 +12,7 @@ from test_entry import DATA, compared  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from terrafoot.llm.common import cut, table  # noqa: E402
-from terrafoot.llm.language_id import fit, held_out, identify  # noqa: E402
+from terrafoot.llm.language_id import fit, held_out, identify, recognised  # noqa: E402
 from terrafoot.llm.queries import SENTENCEPIECE_MODEL  # noqa: E402
 from test_dedup import WORD, lines_brute, near_brute  # noqa: E402
 from test_texts import targets_brute  # noqa: E402
@@ -88,5 +88,6 @@ def test_stages_on_odd_rows(spark):
     kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, unsure, "").collect()}
     model = fit(unsure, ~held_out())
     assert kept == {r.doc_id for r in identify(unsure, model).collect() if r.score >= 0.5} and model.languages == ["a", "b"]
-    third = spark.createDataFrame([(i, "qqq", "abc"[i % 3], "s", 0) for i in range(90)], unsure.schema)
-    assert corpus_pipeline.language_stage(spark, third, "").count() == 0  # a third each: all below 0.5
+    scores = {r.doc_id: r.score for r in identify(unsure, model).collect()}
+    for least in (0.5, sorted(scores.values())[30], 1.01):
+        assert {r.doc_id for r in recognised(unsure, model, least=least).collect()} == {i for i, x in scores.items() if x >= least}
