@@ -145,3 +145,19 @@ def test_other_metrics(spark):
     step = [tuple(r) for r in rows.select(crs.haversine(F.col("lon"), F.col("lat"), F.col("lon") + 0.001, F.col("lat") + 0.001)).collect()]
     moved = [tuple(r) for r in rows.select(*metric.columns(F.col("lon") + 0.001, F.col("lat") + 0.001)).collect()]
     assert np.allclose([math.dist(a, b) for a, b in zip(found, moved, strict=True)], [s for (s,) in step], rtol=2e-3)
+
+
+def test_geometry_column_kinds(spark):
+    """Binary, hexadecimal and geometry columns give the same WKB; a missing one is an error."""
+    from terrafoot.sources.footprints import geometry_wkb
+
+    wkb = bytearray(geometry.encode_polygon([SQUARE]))
+    binary = spark.createDataFrame([(wkb,), (None,)], "geometry binary")
+    spark.conf.set("spark.sql.geospatial.enabled", "true")
+    try:
+        for df in (binary, binary.select(F.hex("geometry").alias("geometry")), binary.select(F.expr("st_geomfromwkb(geometry)").alias("geometry"))):
+            assert [r[0] for r in df.select(geometry_wkb(df)).collect()] == [wkb, None]
+    finally:
+        spark.conf.unset("spark.sql.geospatial.enabled")
+    with pytest.raises(ValueError):
+        geometry_wkb(spark.range(1))
