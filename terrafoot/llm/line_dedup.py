@@ -151,6 +151,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
 
         return pa.array((one(a.as_py(), b.as_py()) for a, b in zip(text, bitmap, strict=True)), pa.string())
 
+    kept = kept.asNondeterministic()  # a later filter on the kept text then doesn't run it a second time
     changed = kept(F.when(F.col("__bitmap").isNotNull(), text), "__bitmap")
     lines = F.coalesce(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"))) + 1, F.lit(1)).cast("long")
     rows = rows.withColumns({"__n_lines": lines, "__n_dropped": F.coalesce("__dropped", F.lit(0).cast("long")), "__kept": F.coalesce(changed, text, F.lit(""))})
