@@ -6,16 +6,19 @@ import itertools
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrafoot.llm.common import table
+from terrafoot.llm import byte_bpe
+from terrafoot.llm.common import WORD, table
 from terrafoot.llm.exact_dedup import exact_dedup
+from terrafoot.llm.fill_in_middle import fill_in_middle
 from terrafoot.llm.language_id import fit, held_out, identify
 from terrafoot.llm.license_scan import LEAST_DICE, NOTICES, anchors, license_scan
 from terrafoot.llm.line_dedup import line_dedup
 from terrafoot.llm.mixing import mix
 from terrafoot.llm.near_dedup import near_groups
+from terrafoot.llm.periodic_runs import periodic_runs, strongest
 from terrafoot.llm.quality_classifier import resample
 from terrafoot.llm.quality_rules import quality_rules
 from terrafoot.llm.sentencepiece_codec import encode
@@ -23,6 +26,9 @@ from terrafoot.llm.warc import warc_round_trip
 
 #: A parameter of the queries that tokenize: any ``.model`` file that every machine can read.
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The same for the rank file of byte-level BPE, and the fixed pattern that splits texts before its merges.
+BYTE_BPE_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+BYTE_BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +78,44 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf_dir, "documents"), texts=False)
+
+
+def _periodic(id: Column, text: Column) -> Column:
+    """The contract's texts: one in ten repeats its words from a place on, both by the id's checksum."""
+    h = F.crc32(id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def rewritten(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        words = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < a, F.get(w, i.cast("int"))).otherwise(F.get(w, (a + (i - a) % p).cast("int"))))
+        return F.when(n > 0, F.array_join(words, " ")).otherwise("")
+
+    words = F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))  # one element, so that words are found once
+    return F.when(h % 10 == 0, F.transform(words, rewritten)[0]).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = periodic_runs(docs.select("doc_id", _periodic(F.col("doc_id"), F.col("text")).alias("text")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    best = rows.withColumn("best", strongest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = byte_bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE_RANKS, BYTE_BPE_PATTERN)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_license_scan": op2_license_scan,
@@ -83,6 +127,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+(?:[.\-][\p{{L}}\p{{N}}]+)*')"
@@ -146,4 +193,16 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY squeezed ORDER BY chars DESC, doc_id) AS keep_id,
                      count(*) OVER (PARTITION BY squeezed) AS group_size, sha256(squeezed) AS text_sha256 FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+    "op11_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        t AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+                     CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+        c AS (SELECT *, CAST(len(w) AS BIGINT) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+                     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                          WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+        p AS (SELECT doc_id, text, n, form, array_to_string(w[1:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle, array_to_string(w[b + 1:n], '') AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p""",
 }

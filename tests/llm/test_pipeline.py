@@ -20,7 +20,7 @@ from test_texts import targets_brute  # noqa: E402
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 
 
-@pytest.mark.parametrize("name", ["op2_license_scan", "op3_line_dedup", "op6_warc", "op8_exact_dedup"])
+@pytest.mark.parametrize("name", ["op2_license_scan", "op3_line_dedup", "op6_warc", "op8_exact_dedup", "op11_fill_in_middle"])
 def test_query_matches_sql(spark, name):
     found, want = compared(spark, name)
     assert found == want and found
