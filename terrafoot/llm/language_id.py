@@ -8,18 +8,19 @@ size) sent to each task.
 
 from __future__ import annotations
 
+import collections
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafoot.llm.common import buffers, local, pieces
+from terrafoot.llm.common import buffers, cut, local, pieces
 
-#: Bounds of the fit: labelled rows in the sample (about; twice that at most) and the least for each language,
+#: Bounds of the fit: labelled rows in the sample (about) and the least for each language,
 #: which counts where there are very many languages; buckets of n-grams.
 SAMPLE_ROWS, LEAST_ROWS, BITS = 4096, 8, 16
 ORDERS = (1, 2, 3)
@@ -131,17 +132,35 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("lang")[s:e], batch.column("order")[s:e], pa.array(index, pa.binary()), pa.array(share, pa.binary())], ["lang", "order", "index", "share"])
 
 
+def held_back(langs: list[str], hold: int = 8) -> list[bool]:
+    """Marks every ``hold``-th row, but for the last row that a language has left; none where there are few rows."""
+    left = collections.Counter(langs)
+    out = []
+    for i, lang in enumerate(langs):
+        out.append(len(langs) >= 4 * hold and i % hold == 0 and left[lang] > 1)
+        left[lang] -= out[-1]
+    return out
+
+
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, hold: int = 8) -> Model:
-    """FTRL-proximal on rows (language, buckets, shares); every ``hold``-th row calibrates the temperature."""
+    """FTRL-proximal on rows (language, buckets, shares); :func:`held_back` rows calibrate the temperature, all languages are trained.
+
+    State is kept for the buckets that occur, in single precision.
+    """
     names = sorted({lang for lang, _, _ in rows})
     code = {x: k for k, x in enumerate(names)}
-    size, kinds = 1 << BITS, len(names)
-    held, own = rows[::hold] if len(rows) >= 4 * hold else [], [r for i, r in enumerate(rows) if i % hold or len(rows) < 4 * hold]
-    df = np.zeros(size)
+    kinds = len(names)
+    back = held_back([lang for lang, _, _ in rows], hold)
+    held, own = ([r for r, b in zip(rows, back, strict=True) if b is side] for side in (True, False))
+    df = np.zeros(1 << BITS)
     for _, at, _ in own:
         df[at] += 1
     idf = np.log((1 + len(own)) / (1 + df)) + 1
-    z, n = np.zeros((size + 1, kinds)), np.zeros((size + 1, kinds))  # the last row is the bias, which no penalty shrinks
+    seen = np.flatnonzero(df)
+    place = np.zeros(1 << BITS, np.int64)
+    place[seen] = np.arange(len(seen))
+    size = len(seen)
+    z, n = np.zeros((size + 1, kinds), np.float32), np.zeros((size + 1, kinds), np.float32)  # the last row is the bias, which no penalty shrinks
 
     def solved(z, n, l1=l1, l2=l2):
         return np.where(np.abs(z) > l1, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2), 0.0)
@@ -149,7 +168,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 4, alpha
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(own)):
             lang, at, share = own[i]
-            x = share * idf[at] * SCALE
+            x, at = share * idf[at] * SCALE, place[at]
             w, b = solved(z[at], n[at]), solved(z[size], n[size], 0, 0)
             error = _softmax(x @ w + b)
             error[code[lang]] -= 1
@@ -157,9 +176,18 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 4, alpha
                 sigma = (np.sqrt(n[rows_at] + g * g) - np.sqrt(n[rows_at])) / alpha
                 z[rows_at] += g - sigma * old
                 n[rows_at] += g * g
-    weights = solved(z[:size], n[:size]) * idf[:, None] * SCALE
-    bias = solved(z[size], n[size], 0, 0)
-    logits = np.array([share @ weights[at] + bias for _, at, share in held]).reshape(-1, kinds)
+    bias = solved(z[size], n[size], 0, 0).astype(float)
+    step = max(1, WEIGHTS // max(1, kinds))
+
+    def weighed(s: int) -> np.ndarray:
+        return solved(z[s : min(s + step, size)], n[s : min(s + step, size)]) * idf[seen[s : s + step], None] * SCALE
+
+    unit = max([float(np.abs(weighed(s)).max(initial=0.0)) for s in range(0, size, step)], default=0.0)
+    unit = max(unit, 1e-9) / (1 << 30)
+    weights = np.zeros((1 << BITS, kinds), np.int32)
+    for s in range(0, size, step):
+        weights[seen[s : s + step]] = np.rint(weighed(s) / unit)
+    logits = np.array([share @ (weights[at] * unit) + bias for _, at, share in held]).reshape(-1, kinds)
     truth = np.array([code[lang] for lang, _, _ in held], int)
 
     def loss(t):
@@ -169,28 +197,32 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 4, alpha
     for _ in range(60 if len(held) else 0):  # golden section over log temperature
         a, b = hi - (hi - lo) * 0.618, lo + (hi - lo) * 0.618
         lo, hi = (lo, b) if loss(a) <= loss(b) else (a, hi)
-    unit = max(float(np.abs(weights).max(initial=0.0)), 1e-9) / (1 << 30)
-    return Model(names, np.rint(weights / unit).astype(np.int32), unit, bias, float(np.exp((lo + hi) / 2)) if len(held) else 1.0)
+    return Model(names, weights, unit, bias, float(np.exp((lo + hi) / 2)) if len(held) else 1.0)
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, least_rows: int = LEAST_ROWS) -> Model:
-    """A model of the rows where ``learn`` holds and the language is not null, for all languages that occur.
+    """A model of the rows where ``learn`` holds, the language is not null and the text has a letter, for all languages that have such a row.
 
-    The sample takes an equal share of each language, by a hash of the id: about ``sample_rows`` rows
-    in all, or ``least_rows`` a language where that is more, and never more than twice that. The driver
-    holds the sample and 1 MB of state a language; the model takes 256 KB a language.
+    The sample takes an equal share of each language: the rows of smallest hash of the id, about
+    ``sample_rows`` in all, or ``least_rows`` a language where that is more; all of a language that has
+    fewer. Rows of a language that share an id count as one, the text of smallest hash. The driver
+    holds the sample and about 1 MB of state a language; the model takes 256 KB a language. Without
+    any row, as of an empty table, the model knows no language.
     """
     spark = docs.sparkSession
-    rows = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.groupBy("lang").count().collect()  # one row for each language
-    if not counts:
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    rows = rows.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 32)).alias("order"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    places = cut(rows.select("lang", "order").distinct(), "language-places")
+    kinds = places.select("lang").distinct().count()
+    if not kinds:
         return Model([], np.zeros((1 << BITS, 0), np.int32), 1.0, np.zeros(0), 1.0)
-    each = max(least_rows, sample_rows / len(counts))
-    limits = local(spark, pa.schema({"lang": pa.string(), "limit": pa.int64()}), [(r["lang"], int(each / r["count"] * (1 << 32)) + 1) for r in counts])
-    order = F.pmod(F.xxhash64("id"), F.lit(1 << 32))
-    sample = rows.withColumn("order", order).join(F.broadcast(limits), "lang").where("order < limit")
-    sample = sample.select("lang", "order", "text").mapInArrow(_features, "lang string, order long, index binary, share binary")
-    found = sample.where(F.octet_length("index") > 0).orderBy("order", "lang").limit(round(2 * each * len(counts))).collect()
+    each = max(least_rows, -(-sample_rows // kinds))
+    first = places.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("place") <= each)
+    limits = first.groupBy("lang").agg(F.max("order").alias("limit"))  # one row for each language
+    limits = local(spark, pa.schema({"lang": pa.string(), "limit": pa.int64()}), [tuple(r) for r in limits.collect()])
+    sample = rows.join(F.broadcast(limits), "lang").where("order <= limit")
+    sample = sample.groupBy("lang", "order").agg(F.min_by("text", F.xxhash64("text")).alias("text")).mapInArrow(_features, "lang string, order long, index binary, share binary")
+    found = sample.where(F.octet_length("index") > 0).orderBy("order", "lang").collect()
     return train([(r["lang"], np.frombuffer(r["index"], np.int32), np.frombuffer(r["share"], np.float32).astype(float)) for r in found])
 
 

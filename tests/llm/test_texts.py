@@ -274,6 +274,26 @@ def test_predictions_are_brute_force_for_very_many_languages(spark, table):
     assert model.predict([long])[0] == model.predict([rows[5][1]])[0]
 
 
+def test_every_language_is_learned(spark, table):
+    """Languages of one to three rows, rows that share an id, and languages without any letter beside a large one."""
+    rows = [(k, tongue(500 + k)(20), "big") for k in range(2000)]
+    rows += [(5000 + 10 * k + i, tongue(900 + k)(20), f"l{k:03d}") for k in range(120) for i in range(1 + k % 3)]
+    rows += [(7000, tongue(1)(9), "same")] * 40 + [(7001 + i, "12 !", "none") for i in range(9)] + [(7100, None, "null"), (None, "x", None)]
+    model = language_id.fit(table(rows), F.lit(True), sample_rows=64, least_rows=2)
+    assert model.languages == sorted({"big", "same", *(f"l{k:03d}" for k in range(120))})
+    assert (np.abs(model.weights).max(0) > 0).all()
+
+
+def test_held_back_rows_leave_every_language_one():
+    pick = random.Random(3)
+    for _ in range(50):
+        langs = [f"l{pick.randrange(60)}" for _ in range(pick.randrange(1, 200))]
+        back = language_id.held_back(langs)
+        assert {x for x, b in zip(langs, back, strict=True) if not b} == set(langs)
+        assert sum(back) <= len(langs) // 8 + 1 and (len(langs) >= 32 or not any(back))
+    assert sum(language_id.held_back(["a"] * 80)) == 10
+
+
 def test_sentencepiece_is_the_library(spark, table):
     import sentencepiece
 
