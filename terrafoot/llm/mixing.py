@@ -19,6 +19,7 @@ from terrafoot.session import released
 
 #: Rows of one (source, size) cell that one task may number.
 CELL_ROWS = 512
+CELL = ["skey", "size"]
 STEPS = 80
 CLOSE = 1e-9
 
@@ -82,6 +83,23 @@ def tilted_rates(cells: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
     return rates.select("skey", "size", "n", "source_size", "target", "rate")
 
 
+def salted(dealt: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with their part of a salt, and the rows of each part; a salt has several only where ids repeat or are null.
+
+    Hashes of distinct ids fill a salt with about CELL_ROWS rows; what is far above that is dealt by the rows' places.
+    """
+    key = [*CELL, "salt", "part_of"]
+    dealt = cut(dealt.withColumn("part_of", F.lit(0).cast("long")), "mix-dealt")
+    counts = cut(dealt.groupBy(*key).agg(F.count("*").alias("here")), "mix-salts")
+    hot = counts.where(F.col("here") > 4 * CELL_ROWS)
+    if not hot.isEmpty():
+        pieces = hot.select(*key[:3], F.ceil(F.col("here") / CELL_ROWS).alias("pieces"))
+        place = F.coalesce(F.pmod(F.xxhash64("row"), F.col("pieces")), F.lit(0)).cast("long")
+        dealt = cut(dealt.drop("part_of").join(pieces.hint("merge"), key[:3], "left").withColumn("part_of", place).drop("pieces"), "mix-parts")
+        counts = cut(dealt.groupBy(*key).agg(F.count("*").alias("here")), "mix-salts")
+    return dealt, counts
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, carry: bool = False) -> DataFrame:
     """One row per document: __id, __size, __source_size, __target, __copies; with ``carry`` its own columns too.
 
@@ -91,7 +109,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     of the id, then by the row's place in the input files.
 
     Only (id, source, size) is shuffled. A cell of very many documents of one source and size is
-    numbered in salted parts of about 512 rows; the running sums run over distinct sizes. Texts of any
+    numbered in salted parts of about 512 rows, by the id's hash, and rows that share an id, or have
+    none, by their place in the input; the running sums run over distinct sizes. Texts of any
     length are read whole.
     """
     source = F.col(source_col)
@@ -108,12 +127,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rates = cut(rates.select("skey", "size", "n", "whole", "part", "gone", "source_size", "target"), "mix-rates")
     salts = F.ceil(F.col("n") / CELL_ROWS)
     dealt = rows.select("__id", "skey", "size", "row").join(rates, ["skey", "size"]).withColumn("hash", F.xxhash64("__id"))
-    dealt = cut(dealt.withColumn("salt", F.pmod(F.col("hash"), salts)), "mix-dealt")
-    counts = dealt.groupBy("skey", "size", "salt").agg(F.count("*").alias("here"))
-    offset = F.coalesce(F.sum("here").over(Window.partitionBy("skey", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt, counts = salted(dealt.withColumn("salt", F.pmod(F.col("hash"), salts)))
+    key = [*CELL, "salt", "part_of"]
+    offset = F.coalesce(F.sum("here").over(Window.partitionBy("skey", "size").orderBy("salt", "part_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumn("offset", offset).drop("here")
-    place = F.row_number().over(Window.partitionBy("skey", "size", "salt").orderBy("hash", "__id", "row"))
-    dealt = dealt.join(counts, ["skey", "size", "salt"]).withColumn("place", F.col("offset") + place - 1)
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("hash", "__id", "row"))
+    dealt = dealt.join(counts, key).withColumn("place", F.col("offset") + place - 1)
     reach = F.col("gone") + F.col("place") * F.col("part") + 0.5
     copies = (F.col("whole") + F.floor(reach + F.col("part")) - F.floor(reach)).cast("long")
     out = dealt.select("row", "__id", F.col("size").alias("__size"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), copies.alias("__copies"))

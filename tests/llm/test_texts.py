@@ -447,6 +447,17 @@ def test_mixing(spark, table):
     assert carried.count() == len(rows) and set(docs.columns) <= set(carried.columns)
 
 
+def test_mixing_splits_rows_that_share_an_id(spark):
+    """One id, or none, on very many rows of one source and size: no part is much above its rows, and the mix is the same in number."""
+    rows = spark.range(100_000).selectExpr("CASE WHEN id % 2 = 0 THEN NULL WHEN id % 4 = 1 THEN 7 ELSE id END AS __id", "'ss' AS skey", "3L AS size", "id AS row")
+    dealt, counts = mixing.salted(rows.withColumn("hash", F.xxhash64("__id")).withColumn("salt", F.pmod("hash", F.lit(196))))
+    assert dealt.count() == counts.agg(F.sum("here")).first()[0] == 100_000
+    assert counts.agg(F.max("here")).first()[0] <= 2 * mixing.CELL_ROWS
+    docs = spark.range(20_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'a b c' AS text", "'s' AS source").unionAll(spark.range(50).selectExpr("id", "'a b'", "'t'"))
+    got = mixing.mix(docs).groupBy("__source_size").agg(F.sum(F.col("__copies") * F.col("__size")).alias("taken"), F.first("__target").alias("target")).collect()
+    assert len(got) == 2 and all(abs(r.taken - r.target) <= 6 for r in got)
+
+
 def test_quality_classifier(spark, table):
     pick = random.Random(9)
     good = [(i, " ".join(pick.choice(["the", "of", "and", "rain", "sun", "tree"]) for _ in range(pick.randint(5, 80)))) for i in range(300)]
