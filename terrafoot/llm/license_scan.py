@@ -6,10 +6,11 @@ which every match holds, are dropped first; in the others the rare bigrams place
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafoot.llm.common import cut
+from terrafoot.llm.common import cut, local
 from terrafoot.llm.license_texts import TEXTS
 
 #: Short notices by which texts name their licence.
@@ -35,6 +36,9 @@ TEMPLATES = {
 #: What texts are held against unless templates are given.
 NOTICES = TEMPLATES | TEXTS
 
+#: Words of a text that are worked on together.
+CHUNK_WORDS = 1024
+
 #: A line or run matches a template from this Dice coefficient on, in hundredths.
 LEAST_DICE = 85
 
@@ -62,20 +66,38 @@ def anchors(words: list[str], bigrams: list[str], least: int) -> list[tuple[str,
     return [(b, i) for i, b in enumerate(places) if b in chosen]
 
 
+def _chunks(lines: DataFrame, longest: int) -> DataFrame:
+    """Texts in chunks of CHUNK_WORDS words, each with ``longest`` words of both neighbours: row, doc_id, chunk, base (its first word's number), numbered (word, line).
+
+    A place's run lies within the place's own chunk, so no row holds more than a chunk from here on.
+    """
+    first, n, size = F.col("first"), F.size("words"), F.lit(CHUNK_WORDS)
+    low = lambda c: F.greatest(first, c * size - longest)
+    high = lambda c: F.least(first + n, (c + 1) * size + longest)
+    cut_up = F.transform(F.sequence(F.greatest(F.lit(0), F.floor((first - longest) / size) - 1).cast("int"), F.floor((first + n - 1 + longest) / size).cast("int")), lambda c: F.struct(c.alias("chunk"), low(c).alias("start"), F.slice("words", low(c) - first + 1, F.greatest(F.lit(0), high(c) - low(c))).alias("words")))
+    parts = lines.select("row", "doc_id", "line", F.explode(cut_up).alias("part")).where(F.size("part.words") > 0)
+    chunks = parts.groupBy("row", "doc_id", F.col("part.chunk").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("part.start", "line", "part.words"))).alias("parts"))
+    numbered = F.flatten(F.transform("parts", lambda p: F.transform(p["words"], lambda w: F.struct(w.alias("word"), p["line"].alias("line")))))
+    return chunks.select("row", "doc_id", "chunk", F.col("parts")[0]["start"].alias("base"), numbered.alias("numbered"))
+
+
 def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_DICE, templates: dict[str, str] | None = None) -> DataFrame:
     """One row per match: row, doc_id, line (from 1, where it starts), license, dice.
 
     Lines, and runs of words across lines of each template's length that share a rare bigram with the
     template at its place, are scored by dice = 2 * common / (bigrams + template bigrams). Of
     overlapping matches the best stays: by dice, then length, then name. Null and empty texts match
-    nothing; texts of any length are read whole. Rows that share an id are scanned one by one.
+    nothing; texts of any length are read whole, cut into chunks of words that overlap. Rows that share
+    an id are scanned one by one; an empty table gives no rows. Matches that overlap in a chain are
+    thinned out in one value, some hundred bytes a match.
     """
     spark = docs.sparkSession
-    fixed = spark.createDataFrame(list((NOTICES if templates is None else templates).items()), "license string, template string")
+    text = lambda *names: pa.schema({n: pa.string() for n in names})
+    fixed = local(spark, text("license", "template"), list((NOTICES if templates is None else templates).items()))
     fixed = fixed.withColumn("words", _words(F.col("template"))).select("license", "words", _bigrams(F.col("words")).alias("bigrams")).where(F.size("words") > 0).collect()  # of the fixed templates
     places = [(b, r.license, i) for r in fixed for b, i in anchors(r.words, r.bigrams, least)]
-    rare_at = spark.createDataFrame(places, "bigram string, license string, place int")
-    small = spark.createDataFrame([(r.license, len(r.words), r.bigrams) for r in fixed], "license string, length int, wanted array<string>")
+    rare_at = local(spark, text("bigram", "license").append(pa.field("place", pa.int32())), places)
+    small = local(spark, pa.schema({"license": pa.string(), "length": pa.int32(), "wanted": pa.list_(pa.string())}), [(r.license, len(r.words), r.bigrams) for r in fixed])
     rare = sorted({b for b, _, _ in places})
     neighbours = lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(w)
     single = [b for b in rare if " " not in b]  # templates of one word, which any place may hold
@@ -88,16 +110,17 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = maybe.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")).withColumn("words", _words(F.col("text")))
     before = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     lines = lines.select("row", "doc_id", (F.col("pos") + 1).alias("line"), "words", F.coalesce(F.sum(F.size("words")).over(before), F.lit(0)).cast("int").alias("first"))
+    lines = cut(lines, "license-lines")
     whole = lines.withColumn("bigram", F.explode(F.array_distinct(F.concat(neighbours(F.col("words")), F.col("words") if single else F.array())))).where(F.col("bigram").isin(rare))
     whole = whole.join(F.broadcast(rare_at.select("bigram", "license").distinct()), "bigram").dropDuplicates(["row", "line", "license"]).select("row", "doc_id", "line", "license", "first", "words")
 
-    numbered = F.flatten(F.transform(F.split("text", "\n", -1), lambda x, i: F.transform(_words(x), lambda w: F.struct(w.alias("word"), (i + 1).alias("line")))))
-    texts = maybe.select("row", "doc_id", numbered.alias("numbered")).withColumn("words", F.col("numbered.word"))
-    spots = F.transform(neighbours(F.col("words")), lambda b, i: F.struct(b.alias("bigram"), i.alias("at")))
-    spots = F.concat(spots, F.transform("words", lambda w, i: F.struct(w.alias("bigram"), i.alias("at")))) if single else spots
     longest = max((len(r.words) for r in fixed), default=1)
+    texts = _chunks(lines.where(F.size("words") > 0), longest).withColumn("words", F.col("numbered.word"))
+    own = lambda x: (x["at"] >= F.col("chunk") * CHUNK_WORDS) & (x["at"] < (F.col("chunk") + 1) * CHUNK_WORDS)
+    spots = F.transform(neighbours(F.col("words")), lambda b, i: F.struct(b.alias("bigram"), (F.col("base") + i).alias("at")))
+    spots = F.concat(spots, F.transform("words", lambda w, i: F.struct(w.alias("bigram"), (F.col("base") + i).alias("at")))) if single else spots
     start = lambda at: F.greatest(F.lit(0), at - longest)
-    near = F.transform(F.filter(spots, lambda x: x["bigram"].isin(rare)), lambda x: F.struct(x["bigram"].alias("bigram"), x["at"].alias("at"), F.slice("numbered", start(x["at"]) + 1, F.lit(2 * longest)).alias("numbered")))
+    near = F.transform(F.filter(spots, lambda x: x["bigram"].isin(rare) & own(x)), lambda x: F.struct(x["bigram"].alias("bigram"), x["at"].alias("at"), F.slice("numbered", start(x["at"]) - F.col("base") + 1, F.lit(2 * longest)).alias("numbered")))
     hits = texts.select("row", "doc_id", F.explode(near).alias("spot")).select("row", "doc_id", "spot.*")
     runs = hits.join(F.broadcast(rare_at), "bigram").join(F.broadcast(small.select("license", "length")), "license")
     runs = runs.withColumn("first", F.greatest(F.lit(0), F.col("at") - F.col("place")))
@@ -123,7 +146,7 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_DICE, templates: dict[str, str] | None = None) -> DataFrame:
-    """One row per document with a match: doc_id, n_matches, licenses (sorted), best_dice."""
+    """One row per document with a match: doc_id, n_matches, licenses (sorted), best_dice; none for an empty table."""
     found = license_matches(docs, id_col, text_col, least, templates)
     grouped = found.groupBy("row", "doc_id").agg(F.count("*").alias("n_matches"), F.array_sort(F.collect_set("license")).alias("licenses"), F.round(F.max("dice"), 6).alias("best_dice"))
     return grouped.drop("row")
