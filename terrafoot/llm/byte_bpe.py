@@ -10,10 +10,11 @@ its length times the logarithm of a bucket, however long it is.
 from __future__ import annotations
 
 import base64
-import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, pairwise
+from heapq import heappop, heappush
+from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
@@ -22,61 +23,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a word of the bitmap's lower level.
-WORD = 256
+#: A word of the bitmap's lower level has 2 ** WORD bits.
+WORD, LOW = 8, 255
 #: Characters of a text that are split at a time; pre-tokens that are remembered in each of two generations, and the longest of them.
-SLICE, KNOWN, SHORT = 1 << 18, 1 << 18, 48
+SLICE, KNOWN, SHORT = 1 << 18, 1 << 19, 48
 #: A place between pre-tokens of the byte-level pattern: white space after something else. Pre-tokens hold white space at their start only.
 BOUND = regex.compile(r"(?<=\S)\s")
 
 
-class RankQueue:
-    """Positions by rank: pushed in any order, popped by rank, then position."""
-
-    def __init__(self):
-        self.top, self.words, self.buckets = 0, {}, {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            word = rank // WORD
-            self.words[word] = self.words.get(word, 0) | 1 << rank % WORD
-            self.top |= 1 << word
-        else:
-            heapq.heappush(bucket, position)
-
-    def fill(self, ranks: np.ndarray, positions: np.ndarray) -> None:
-        """Pushes many pairs onto an empty queue; positions ascend."""
-        order = np.argsort(ranks, kind="stable")
-        ranks, positions = ranks[order], positions[order]
-        first = np.flatnonzero(np.diff(ranks, prepend=-1)).tolist()
-        for s, e in zip(first, first[1:] + [len(ranks)] * bool(first), strict=True):
-            self.push(int(ranks[s]), 0)
-            self.buckets[int(ranks[s])] = positions[s:e].tolist()  # sorted, so a heap
-
-    def first(self) -> int | None:
-        """The least rank that has positions."""
-        if not self.top:
-            return None
-        word = (self.top & -self.top).bit_length() - 1
-        bits = self.words[word]
-        return word * WORD + (bits & -bits).bit_length() - 1
-
-    def pop(self, rank: int) -> int:
-        """The least position of a rank; its mark goes with the last one."""
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return heapq.heappop(bucket)
-        del self.buckets[rank]
-        word = rank // WORD
-        self.words[word] &= ~(1 << rank % WORD)
-        if not self.words[word]:
-            del self.words[word]
-            self.top &= ~(1 << word)
-        return bucket[0]
-
-
 class Vocabulary:
     """Ranks of byte strings; a token's id is its rank."""
 
@@ -86,72 +40,106 @@ class Vocabulary:
             raise ValueError(f"the vocabulary lacks the single bytes {missing[:5]}")
         self.single = [ranks[bytes([x])] for x in range(256)]
         self.pair = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
-        self.pairs = np.array(self.pair)
         self.memo = _Memo(self)
+        sizes = np.zeros(max(ranks.values()) + 2, np.int64)
+        for token, rank in ranks.items():
+            sizes[rank + 1] = len(token)
+        self.at = np.cumsum(sizes)
+        self.flat = np.frombuffer(b"".join(self.bytes[r] for r in sorted(self.bytes)), np.uint8)
 
     def merged(self, data: bytes) -> list[int]:
         """Ids of one pre-token: the pair of least rank is merged, the leftmost first, until none is left."""
-        if (whole := self.ranks.get(data)) is not None:
+        ranks, name, n = self.ranks, self.bytes, len(data)
+        if (whole := ranks.get(data)) is not None:
             return [whole]
-        n = len(data)
         ids = [self.single[x] for x in data]
-        queue = RankQueue()
-        if n <= SHORT:
-            rank_at = [self.pair[a * 256 + b] for a, b in pairwise(data)]
-            for i, rank in enumerate(rank_at):
-                if rank >= 0:
-                    queue.push(rank, i)
-        else:
-            own = np.frombuffer(data, np.uint8).astype(np.int64)
-            start = self.pairs[own[:-1] * 256 + own[1:]]
-            at = np.flatnonzero(start >= 0)
-            queue.fill(start[at], at)
-            rank_at = start.tolist()
-        rank_at.append(-1)  # the rank of the pair that begins at a position, -1 where there is none
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        ranks, name = self.ranks, self.bytes
-        while (rank := queue.first()) is not None:
-            i = queue.pop(rank)
+        rank_at = [self.pair[a * 256 + b] for a, b in pairwise(data)]
+        rank_at.append(-1)  # the rank of the pair that begins at a position, -1 where there is none
+        # the queue: positions by rank, the bits of ranks that have some, and the bits of words of such bits
+        buckets: dict[int, list[int]] = {}
+        words: dict[int, int] = {}
+        top = 0
+        for i, rank in enumerate(rank_at):
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank].append(i)  # in order, so a heap
+                else:
+                    buckets[rank] = [i]
+                    w = rank >> WORD
+                    words[w] = words.get(w, 0) | 1 << (rank & LOW)
+                    top |= 1 << w
+        while top:
+            w = (top & -top).bit_length() - 1
+            bits = words[w]
+            bit = bits & -bits
+            rank = (w << WORD) + bit.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                if bits := bits ^ bit:
+                    words[w] = bits
+                else:
+                    del words[w]
+                    top ^= 1 << w
             if rank_at[i] != rank:  # a stale entry
                 continue
             j = after[i]
             k = after[j]
-            ids[i], rank_at[j] = rank, -1
-            after[i] = k
+            ids[i], rank_at[j], after[i] = rank, -1, k
+            own, changed = name[rank], []
             if k < n:
                 before[k] = i
-                rank_at[i] = new = ranks.get(name[rank] + name[ids[k]], -1)
+                rank_at[i] = new = ranks.get(own + name[ids[k]], -1)
                 if new >= 0:
-                    queue.push(new, i)
+                    changed.append((new, i))
             else:
                 rank_at[i] = -1
             if (h := before[i]) >= 0:
-                rank_at[h] = new = ranks.get(name[ids[h]] + name[rank], -1)
+                rank_at[h] = new = ranks.get(name[ids[h]] + own, -1)
                 if new >= 0:
-                    queue.push(new, h)
+                    changed.append((new, h))
+            for new, h in changed:
+                if new in buckets:
+                    heappush(buckets[new], h)
+                else:
+                    buckets[new] = [h]
+                    w = new >> WORD
+                    words[w] = words.get(w, 0) | 1 << (new & LOW)
+                    top |= 1 << w
         out, i = [], 0
         while i < n:
             out.append(ids[i])
             i = after[i]
         return out
 
-    def encode(self, text: str, pattern: regex.Pattern) -> list[int]:
+    def encode(self, text: str, pattern: regex.Pattern) -> np.ndarray:
         """Ids of a text, each match of the pattern for itself."""
-        return list(chain.from_iterable(chain.from_iterable(map(self.memo.__getitem__, pattern.findall(part)) for part in parts(text))))
+        return np.frombuffer(b"".join(b"".join(map(self.memo.__getitem__, pattern.findall(part))) for part in parts(text)), np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids, gathered SLICE ids at a time."""
+        out = []
+        for s in range(0, len(ids), SLICE):
+            own = ids[s : s + SLICE]
+            start, size = self.at[own], self.at[own + 1] - self.at[own]
+            ends = np.cumsum(size)
+            out.append(self.flat[np.repeat(start - ends + size, size) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
 
 
 class _Memo(dict):
-    """Ids of pre-tokens. Short ones are remembered in two generations: what a full one held is looked up once more before it goes."""
+    """Ids of pre-tokens as bytes of int32. Short ones are remembered in two generations: what a full one held is looked up once more before it goes."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.old = vocabulary, {}
 
-    def __missing__(self, token: str) -> list[int]:
+    def __missing__(self, token: str) -> bytes:
         if (found := self.old.get(token)) is None:
-            found = self.vocabulary.merged(token.encode())
+            found = array("i", self.vocabulary.merged(token.encode())).tobytes()
         if len(token) <= SHORT:
             if len(self) >= KNOWN:
                 self.old = dict(self)
@@ -194,7 +182,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             size = 0
-            held: list[list[int]] = []
+            held: list[np.ndarray] = []
             first = 0
             for i in range(len(texts)):
                 text = texts[i].as_py() or ""
@@ -208,10 +196,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _batch(words: Vocabulary, ids: pa.Array, held: list[list[int]], names: list[str]) -> pa.RecordBatch:
+def _batch(words: Vocabulary, ids: pa.Array, held: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     sizes = np.array([len(x) for x in held], np.int64)
-    flat = np.fromiter(chain.from_iterable(held), np.int32, sizes.sum())
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(held)))
     made = {"doc_id": ids, "n_tokens": pa.array(sizes), "ids": lists}
     if "decoded" in names:
         made["decoded"] = pa.array([words.decode(x) for x in held], pa.binary())
@@ -219,11 +206,11 @@ def _batch(words: Vocabulary, ids: pa.Array, held: list[list[int]], names: list[
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """``rows`` with a column ``decoded``: the bytes of the ids; null ids give null, ids beyond the vocabulary are an error."""
+    """``rows`` with a column ``decoded``: the bytes of the ids; null gives null, ids beyond the vocabulary are an error."""
 
     @F.arrow_udf("binary")
     def run(ids: pa.Array) -> pa.Array:
         words = vocabulary(path)
-        return pa.array([None if x is None else words.decode(x) for x in ids.to_pylist()], pa.binary())
+        return pa.array([None if x is None else words.decode(np.array(x, np.int32)) for x in ids.to_pylist()], pa.binary())
 
     return rows.withColumn("decoded", run(ids_col))
