@@ -15,10 +15,10 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafoot.functions.geometry import Shapes, intersects, multipolygon, parsed, polygons_of, wkb_bounds
+from terrafoot.functions.geometry import Shapes, multipolygon, parsed, polygons_of
 from terrafoot.functions.tiles import tile_x, tile_y
 from terrafoot.operators.boundary import Prepared
-from terrafoot.session import materialised
+from terrafoot.operators.cells import clip_by_cells
 
 ZOOM, COARSER, MOST_TILES = 16, 8, 256
 BOX = ("xmin", "ymin", "xmax", "ymax")
@@ -96,21 +96,18 @@ def prepared(sent: Broadcast):
 def clip(buildings: DataFrame, boundary: DataFrame, wkb: str = "geom_wkb", box: tuple[str, str, str, str] = tuple(f"bbox_{c}" for c in BOX), most_bytes: int = MOST_BYTES) -> DataFrame:
     """Buildings that meet a boundary feature, each once: a semi-join with the features, not their union.
 
-    A boundary of at most ``most_bytes`` is sent to every task; a larger one meets the buildings in
-    the tile join. Shapes that are null, damaged or empty meet nothing.
+    A boundary of at most ``most_bytes`` is sent to every task; a larger one is cut into cells, see
+    :func:`terrafoot.operators.cells.clip_by_cells`. Shapes that are null, damaged or empty meet nothing.
     """
-    if (sent := small_boundary(boundary, most_bytes)) is not None:
-        area = prepared(sent)
-
-        @F.arrow_udf("boolean")
-        def meets(shape: pa.Array) -> pa.Array:
-            return pa.array(area().meets(Shapes(shape)))
-
-        return buildings.where(meets(wkb))
-    features = boundary.withColumn("box", wkb_bounds("geom_wkb")).select(F.col("geom_wkb").alias("r_wkb"), *[F.col(f"box.{c}").alias(f"r_{c}") for c in BOX])
-    rows = materialised(buildings.withColumn("__row", F.monotonically_increasing_id()))
-    pairs = overlap_join(rows.select("__row", F.col(wkb).alias("l_wkb"), *[F.col(c).alias(f"l_{k}") for k, c in zip(BOX, box, strict=True)]), features, zoom=10)
-    return rows.join(pairs.where(intersects("l_wkb", "r_wkb")).select("__row").distinct(), "__row", "left_semi").drop("__row")
+    if (sent := small_boundary(boundary, most_bytes)) is None:
+        return clip_by_cells(buildings, boundary, wkb, box)
+    area = prepared(sent)
+
+    @F.arrow_udf("boolean")
+    def meets(shape: pa.Array) -> pa.Array:
+        return pa.array(area().meets(Shapes(shape)))
+
+    return buildings.where(meets(wkb))
 
 
 def dissolved(boundary: DataFrame, group: str | None = None) -> DataFrame:

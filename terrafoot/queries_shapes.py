@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrafoot import fixtures
 from terrafoot.functions.geometry import area, centroid, covers, decode_wkb, distance, geojson, wkb_bounds
 from terrafoot.operators import profile
+from terrafoot.operators.cells import clip_by_cells
 from terrafoot.operators.joins import clip, dissolved, overlap_join
 from terrafoot.session import materialised
 
@@ -66,6 +67,13 @@ def _clipped(most_bytes: int):
     return run
 
 
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clip with cells of about the buildings' size: most buildings are refined, across cells too."""
+    rows = fixtures.raw_footprints(spark, sf_dir)
+    rows = rows.select("id", F.col("geometry").alias("geom_wkb"), *[F.col(f"bbox.{c}").alias(f"bbox_{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
+    return clip_by_cells(rows, _boundary(spark), level=11).select("id")
+
+
 def _dissolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dissolved shapes of each kind: how many polygons they have, and their area."""
     rows = dissolved(fixtures.shapes(spark, sf_dir).where("kind <> 3"), "kind").withColumn("shape", decode_wkb("geom_wkb"))
@@ -81,6 +89,7 @@ QUERIES = {
     "shape_geojson": _geojson,
     "shape_clip": _clipped(1 << 20),
     "shape_clip_joined": _clipped(-1),
+    "boundary_clip_cells": _cells,
     "boundary_dissolve": _dissolved,
 }
 
@@ -138,6 +147,7 @@ ORACLE_SQL = {
     "shape_geojson": f"""{_BASE} SELECT id, CASE WHEN kind = 2 THEN 'MultiPolygon' ELSE 'Polygon' END AS type, CASE WHEN kind = 0 THEN 1 ELSE 2 END AS parts FROM s WHERE kind <> 3""",
     "shape_clip": _CLIP,
     "shape_clip_joined": _CLIP,
+    "boundary_clip_cells": _CLIP,
     "boundary_dissolve": f"""{_BASE}, {_RINGS} SELECT s.kind, 4326 AS srid, 'MULTIPOLYGON' AS geom_type, count(*) * CASE WHEN s.kind = 2 THEN 2 ELSE 1 END AS polygons, round(sum(turn / 2) * 1e9, 1) AS area_e9
         FROM w JOIN s ON w.id = s.id GROUP BY s.kind""",
 }
