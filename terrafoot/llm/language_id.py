@@ -200,6 +200,27 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 4, alpha
     return Model(names, weights, unit, bias, float(np.exp((lo + hi) / 2)) if len(held) else 1.0)
 
 
+def _smallest(places: DataFrame, counts: dict[str, int], each: int) -> DataFrame:
+    """(lang, limit): the hash up to which a language has ``each`` rows, or all that it has.
+
+    Only hashes below a share of their range that holds several times as many rows are ranked, so that
+    no task ranks a language's rows; a language in which that share held too few tries a larger one.
+    """
+    spark, schema = places.sparkSession, pa.schema({"lang": pa.string(), "below": pa.int64()})
+    share = {lang: (4 * each + 64) / n for lang, n in counts.items()}
+    while True:
+        bounds = local(spark, schema, [(lang, min(1 << 32, int(x * (1 << 32)) + 1)) for lang, x in share.items()])
+        near = cut(places.join(F.broadcast(bounds), "lang").where("order < below").select("lang", "order"), "language-near")
+        found = dict(near.groupBy("lang").count().collect())
+        few = [lang for lang, n in counts.items() if found.get(lang, 0) < min(each, n)]
+        if not few:
+            break
+        share |= {lang: 8 * share[lang] for lang in few}
+    first = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("place") <= each)
+    limits = first.groupBy("lang").agg(F.max("order").alias("limit")).collect()  # one row for each language
+    return local(spark, pa.schema({"lang": pa.string(), "limit": pa.int64()}), [tuple(r) for r in limits])
+
+
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, least_rows: int = LEAST_ROWS) -> Model:
     """A model of the rows where ``learn`` holds, the language is not null and the text has a letter, for all languages that have such a row.
 
@@ -213,13 +234,11 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = rows.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 32)).alias("order"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     places = cut(rows.select("lang", "order").distinct(), "language-places")
-    kinds = places.select("lang").distinct().count()
-    if not kinds:
+    counts = {r["lang"]: r["count"] for r in places.groupBy("lang").count().collect()}  # one row for each language
+    if not counts:
         return Model([], np.zeros((1 << BITS, 0), np.int32), 1.0, np.zeros(0), 1.0)
-    each = max(least_rows, -(-sample_rows // kinds))
-    first = places.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("place") <= each)
-    limits = first.groupBy("lang").agg(F.max("order").alias("limit"))  # one row for each language
-    limits = local(spark, pa.schema({"lang": pa.string(), "limit": pa.int64()}), [tuple(r) for r in limits.collect()])
+    each = max(least_rows, -(-sample_rows // len(counts)))
+    limits = _smallest(places, counts, each)
     sample = rows.join(F.broadcast(limits), "lang").where("order <= limit")
     sample = sample.groupBy("lang", "order").agg(F.min_by("text", F.xxhash64("text")).alias("text")).mapInArrow(_features, "lang string, order long, index binary, share binary")
     found = sample.where(F.octet_length("index") > 0).orderBy("order", "lang").collect()
