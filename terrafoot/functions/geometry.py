@@ -316,10 +316,10 @@ def _crossings(a: np.ndarray, b: np.ndarray, touch: bool) -> bool:
 
 
 def inside(rings: list, x: float, y: float) -> bool:
-    """Even-odd over all rings; a point on an edge or vertex is inside."""
+    """Even-odd over all rings, given as points or as edges (n, 2, 2); a point on an edge or vertex is inside."""
     odd = False
     for _, _, pts in rings:
-        a, b = pts[:-1], pts[1:]
+        a, b = (pts[:-1], pts[1:]) if pts.ndim == 2 else (pts[:, 0], pts[:, 1])
         cross = (b[:, 0] - a[:, 0]) * (y - a[:, 1]) - (b[:, 1] - a[:, 1]) * (x - a[:, 0])
         if ((cross == 0) & (np.minimum(a[:, 0], b[:, 0]) <= x) & (x <= np.maximum(a[:, 0], b[:, 0])) & (np.minimum(a[:, 1], b[:, 1]) <= y) & (y <= np.maximum(a[:, 1], b[:, 1]))).any():
             return True
@@ -329,27 +329,104 @@ def inside(rings: list, x: float, y: float) -> bool:
     return odd
 
 
+def edge_rows(a: np.ndarray, b: np.ndarray, origin: np.ndarray, scale: np.ndarray, margin: float) -> tuple[np.ndarray, ...]:
+    """(edge, row, first column, last column): the grid cells that edges pass, row by row; ``a`` is each edge's left end.
+
+    Edges reach ``margin`` beyond themselves, so cells that meet one in a rounded point are among them.
+    """
+    low, high = np.minimum(a[:, 1], b[:, 1]), np.maximum(a[:, 1], b[:, 1])
+    row0, row1 = (np.floor((v - origin[1]) * scale[1]).astype(np.int64) for v in (low - margin, high + margin))
+    n = row1 - row0 + 1
+    edge = np.repeat(np.arange(len(a)), n)
+    row = row0[edge] + np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n)
+    y0, y1 = np.maximum(row / scale[1] + origin[1] - margin, low[edge]), np.minimum((row + 1) / scale[1] + origin[1] + margin, high[edge])
+    rise = b[edge, 1] - a[edge, 1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = [np.clip(a[edge, 0] + (y - a[edge, 1]) / rise * (b[edge, 0] - a[edge, 0]), a[edge, 0], b[edge, 0]) for y in (y0, y1)]
+    flat = rise == 0
+    col0 = np.floor((np.where(flat, a[edge, 0], np.minimum(*at)) - margin - origin[0]) * scale[0]).astype(np.int64)
+    col1 = np.floor((np.where(flat, b[edge, 0], np.maximum(*at)) + margin - origin[0]) * scale[0]).astype(np.int64)
+    return edge, row, col0, col1
+
+
+def edge_cells(edge: np.ndarray, row: np.ndarray, col0: np.ndarray, col1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the given rows, column) of each cell."""
+    n = col1 - col0 + 1
+    own = np.repeat(np.arange(len(edge)), n)
+    return own, col0[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _conflict(a: np.ndarray, b: np.ndarray, ring: np.ndarray, place: np.ndarray, size: np.ndarray) -> bool:
+    """Whether segments of one ring that share no end meet, or segments of two rings cross.
+
+    Segments are dealt to the cells of a grid with at most about as many cells as segments; only those of
+    one cell are compared, in slices of bounded size.
+    """
+    left = (a[:, 0] < b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] <= b[:, 1]))
+    p, q = np.where(left[:, None], a, b), np.where(left[:, None], b, a)
+    low, high = np.minimum(a, b).min(0), np.maximum(a, b).max(0)
+    wide = float((high - low).max())
+    margin = wide * 1e-12
+    extent = np.maximum(high - low + 4 * margin, max(wide, 1e-300) * 1e-9)
+    sides = np.clip(extent / np.maximum(np.abs(b - a).mean(0), extent / len(a)), 1, len(a))  # cells as long as the segments are on average
+    sides = np.maximum(1, np.floor(sides * min(1.0, np.sqrt(len(a) / sides.prod()))))
+    scale = sides / extent
+    rows = edge_rows(p, q, low - 2 * margin, scale, margin)
+    own, col = edge_cells(*rows)
+    cell, seg = rows[1][own] * (int(sides[0]) + 4) + col, rows[0][own]
+    order = np.argsort(cell, kind="stable")
+    cell, seg = cell[order], seg[order]
+    until = np.searchsorted(cell, cell, "right")
+    later = until - np.arange(len(cell)) - 1  # so many segments follow in the same cell
+    step = np.cumsum(later)
+    at = 0
+    while at < len(cell):
+        end = max(at + 1, int(np.searchsorted(step, (step[at - 1] if at else 0) + (1 << 18), "right")))
+        n = later[at:end]
+        i = np.repeat(np.arange(at, end), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        i, j = seg[i], seg[j]
+        same = ring[i] == ring[j]
+        gap = np.abs(place[i] - place[j])
+        met = same & (gap > 1) & (gap < size[i] - 1)
+        if _meeting(a[i[met]], b[i[met]], a[j[met]], b[j[met]], True).any() or _meeting(a[i[~same]], b[i[~same]], a[j[~same]], b[j[~same]], False).any():
+            return True
+        at = end
+    return False
+
+
+def inside_ring(ring: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """:func:`inside` of one ring for many points: edges are looked up by bands of y."""
+    a, b = ring[:-1], ring[1:]
+    low, high = ring[:, 1].min(), ring[:, 1].max()
+    bands = max(1, len(a) // 4)
+    scale = bands / max(high - low, 1e-300)
+    of = lambda y: np.clip(np.floor((y - low) * scale), 0, bands - 1).astype(np.int64)
+    first, last = of(np.minimum(a[:, 1], b[:, 1])), of(np.maximum(a[:, 1], b[:, 1]))
+    own, band = edge_cells(np.arange(len(a)), first, first, last)
+    order = np.argsort(band, kind="stable")
+    own, at = own[order], np.searchsorted(band[order], np.arange(bands + 1))
+    mine = of(points[:, 1])
+    return np.array([inside([(0, False, np.stack([a[e], b[e]], 1))], x, y) for e, (x, y) in ((own[at[k] : at[k + 1]], p) for k, p in zip(mine.tolist(), points.tolist(), strict=True))], bool)
+
+
 def valid(rings: list) -> bool:
     """Closed rings of four points or more that don't cross themselves or each other, holes inside their shell."""
+    parts = []
     for _, _, pts in rings:
         if len(pts) < 4 or not np.isfinite(pts).all() or (pts[0] != pts[-1]).any():
             return False
-        keep = np.concatenate([[True], (pts[1:] != pts[:-1]).any(1)])
-        own = pts[keep]
-        n = len(own) - 1
-        if n < 3:
+        own = pts[np.concatenate([[True], (pts[1:] != pts[:-1]).any(1)])]
+        if len(own) < 4:
             return False
-        for i in range(n - 2):  # against all later segments that don't share an end
-            last = n - 1 if i == 0 else n
-            if i + 2 < last + 0 and _crossings(own[i : i + 2], own[i + 2 : last + 1], True):
-                return False
+        parts.append(own)
+    count = np.array([len(r) - 1 for r in parts])
+    ring = np.repeat(np.arange(len(parts)), count)
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    if _conflict(np.concatenate([r[:-1] for r in parts]), np.concatenate([r[1:] for r in parts]), ring, place, count[ring]):
+        return False
     shells = {p: r for p, h, r in rings if not h}
-    for i, (p, h, r) in enumerate(rings):
-        if any(_crossings(r, other, False) for _, _, other in rings[i + 1 :]):
-            return False
-        if h and not all(inside([(p, False, shells[p])], x, y) for x, y in r.tolist()):
-            return False
-    return True
+    return all(inside_ring(shells[p], r).all() for p, h, r in rings if h)
 
 
 def shapes_meet(a: list, b: list) -> bool:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafoot.functions.geometry import Shapes, _meeting, inside, parsed, plain_polygon, shapes_meet, wkb_bounds
+from terrafoot.functions.geometry import Shapes, _meeting, edge_cells, edge_rows, inside, parsed, plain_polygon, shapes_meet, wkb_bounds
 from terrafoot.session import materialised
 
 #: Cells of a boundary at most, where the least level does not have more; the deepest level; buildings of a cell that one task refines.
@@ -64,22 +64,8 @@ def cut(rings: list, level: int) -> dict[str, np.ndarray | list]:
     left = (a[:, 0] < b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] <= b[:, 1]))
     a, b = np.where(left[:, None], a, b), np.where(left[:, None], b, a)
     scale = 2.0**level
-    low, high = np.minimum(a[:, 1], b[:, 1]), np.maximum(a[:, 1], b[:, 1])
-
-    # edges by rows of cells, then by the columns that they pass within the row
-    row0, row1 = (np.floor((v * scale)).astype(np.int64) for v in (low - MARGIN, high + MARGIN))
-    edge = np.repeat(np.arange(len(a)), row1 - row0 + 1)
-    row = row0[edge] + np.arange(len(edge)) - np.repeat(np.cumsum(row1 - row0 + 1) - (row1 - row0 + 1), row1 - row0 + 1)
-    y0, y1 = np.maximum(row / scale - MARGIN, low[edge]), np.minimum((row + 1) / scale + MARGIN, high[edge])
-    rise = b[edge, 1] - a[edge, 1]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = [np.clip(a[edge, 0] + (y - a[edge, 1]) / rise * (b[edge, 0] - a[edge, 0]), a[edge, 0], b[edge, 0]) for y in (y0, y1)]
-    flat = rise == 0
-    col0 = np.floor((np.where(flat, a[edge, 0], np.minimum(*at)) - MARGIN) * scale).astype(np.int64)
-    col1 = np.floor((np.where(flat, b[edge, 0], np.maximum(*at)) + MARGIN) * scale).astype(np.int64)
-    n = col1 - col0 + 1
-    own = np.repeat(np.arange(len(edge)), n)
-    col = col0[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    edge, row, col0, col1 = edge_rows(a, b, np.zeros(2), np.full(2, scale), MARGIN)
+    own, col = edge_cells(edge, row, col0, col1)
     r_min, c_min = row.min(), col.min()
     rows, cols = int(row.max() - r_min + 1), int(col.max() - c_min + 1)
     cell = (row[own] - r_min) * cols + col - c_min

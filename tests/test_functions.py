@@ -161,3 +161,57 @@ def test_geometry_column_kinds(spark):
         spark.conf.unset("spark.sql.geospatial.enabled")
     with pytest.raises(ValueError):
         geometry_wkb(spark.range(1))
+
+
+def test_validity_is_all_pairs():
+    """Rings of every kind against the plain rule: each segment against all later ones that share no end with it."""
+    import random
+
+    def plain(rings):
+        for _, _, pts in rings:
+            own = pts[np.concatenate([[True], (pts[1:] != pts[:-1]).any(1)])]
+            n = len(own) - 1
+            if len(pts) < 4 or (pts[0] != pts[-1]).any() or n < 3:
+                return False
+            for i in range(n - 2):
+                last = n - 1 if i == 0 else n
+                if i + 2 < last and geometry._crossings(own[i : i + 2], own[i + 2 : last + 1], True):
+                    return False
+        shells = {p: r for p, h, r in rings if not h}
+        for i, (p, h, r) in enumerate(rings):
+            if any(geometry._crossings(r, other, False) for _, _, other in rings[i + 1 :]) or (h and not all(geometry.inside([(p, False, shells[p])], x, y) for x, y in r.tolist())):
+                return False
+        return True
+
+    pick, verdicts = random.Random(31), []
+    for k in range(700):
+        n, snap = pick.randint(3, 120), pick.choice([None, 2, 8])
+
+        def ring(x, y, r, wild, n=n, snap=snap):
+            p = np.array([(x + r * pick.uniform(1 - wild, 1) * math.cos(2 * math.pi * i / n), y + r * pick.uniform(1 - wild, 1) * math.sin(2 * math.pi * i / n)) for i in range(n)])
+            p = np.round(p * snap) / snap if snap else p
+            return np.vstack([p, p[:1]])
+
+        rings = [(0, False, ring(0, 0, 10, pick.choice([0, 0, 0.02, 0.9])))]
+        rings += [(0, True, ring(pick.uniform(-6, 6), pick.uniform(-6, 6), pick.choice([1, 3]), 0)) for _ in range(k % 3)]
+        if k % 5 == 0:
+            rings.append((1, False, ring(pick.choice([5, 25]), 0, 3, 0)))
+        verdicts.append(geometry.valid(rings))
+        assert verdicts[-1] == plain(rings), k
+    assert 100 < sum(verdicts) < 600
+
+
+def test_validity_of_long_rings_is_quick():
+    import time
+
+    turn = 2 * math.pi * np.arange(100_000) / 100_000
+    p = np.column_stack([np.cos(turn), np.sin(turn)]) * (1 + 0.01 * np.sin(1500 * turn))[:, None]
+    long = np.vstack([p, p[:1]])
+    comb = np.array([(i // 2, (i // 2 + i) % 2 * 1000.0) for i in range(60_000)] + [(30_000.0, -1.0), (0.0, -1.0), (0.0, 0.0)])
+    crossed = long.copy()
+    crossed[50_000] *= -1.5
+    hole = np.vstack([0.5 * p[::50], 0.5 * p[:1]])
+    began = time.time()
+    assert [geometry.valid([(0, False, r)]) for r in (long, comb, crossed)] == [True, True, False]
+    assert geometry.valid([(0, False, long), (0, True, hole)]) and not geometry.valid([(0, False, long), (0, True, hole + 0.9)])
+    assert time.time() - began < 15  # about 2 s alone
