@@ -52,14 +52,23 @@ def laea_arrays(lon, lat):
 
 @dataclass(frozen=True)
 class Metric:
-    """A projection to metres, once for columns and once for numpy arrays: (lon, lat) to (x, y)."""
+    """A projection to metres, once for columns and once for numpy arrays: (lon, lat) to (x, y).
+
+    ``least_scale`` gives, of a longitude and latitude, what a metre near there measures at least.
+    """
 
     columns: Callable
     arrays: Callable
+    least_scale: Callable = lambda lon, lat: F.lit(0.98)
+
+
+def _europe_scale(lon: Column, lat: Column) -> Column:
+    """An azimuthal equal-area projection shrinks radii by the cosine of half the angle from its centre."""
+    return 0.98 * F.cos(haversine(F.lit(math.degrees(LON0)), F.lit(math.degrees(LAT0)), lon, lat) / (2 * EARTH_RADIUS))
 
 
 #: The default for matching, as for areas.
-EUROPE = Metric(laea, laea_arrays)
+EUROPE = Metric(laea, laea_arrays, _europe_scale)
 
 
 def azimuthal(lon0: float, lat0: float) -> Metric:
@@ -97,6 +106,13 @@ def window(lat: Column, radius: float | Column) -> tuple[Column, Column]:
     return radius / (DEGREE_M * F.greatest(F.cos(F.radians(lat)), F.lit(LEAST_COSINE))), radius / DEGREE_M
 
 
+def sure_within(lat: Column, reach: float) -> Column:
+    """Metres on the ground within which nothing lies outside the window of ``reach`` metres."""
+    dx, dy = window(lat, reach)
+    across = EARTH_RADIUS * F.asin(F.sin(F.radians(F.least(dx, F.lit(90.0)))) * F.cos(F.radians(lat)))
+    return 0.99 * F.least(across, EARTH_RADIUS * F.radians(dy))
+
+
 def to_degrees(x, y, srid: int):
     """Longitudes and latitudes of numpy coordinates in a supported system; others raise ValueError."""
     import numpy as np

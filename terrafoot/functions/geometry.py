@@ -448,6 +448,13 @@ def is_valid(wkb: pa.Array) -> pa.Array:
     return pa.array(Shapes(wkb).valid())
 
 
+@F.arrow_udf(T.StructType([T.StructField("geom_type", T.StringType()), T.StructField("is_valid", T.BooleanType())]))
+def kind_and_validity(wkb: pa.Array) -> pa.Array:
+    """The shape's kind and validity, from one parse."""
+    shapes = Shapes(wkb)
+    return pa.StructArray.from_arrays([pa.array(shapes.kinds, pa.string()), pa.array(shapes.valid())], ["geom_type", "is_valid"])
+
+
 #: What the lookup table holds of a shape: kind, rings in degrees and in metres, and the metric box.
 LOOKUP = T.StructType([*SHAPE.fields, T.StructField("rings_3035", RINGS), *[T.StructField(c, T.DoubleType()) for c in ("xmin", "ymin", "xmax", "ymax")]])
 

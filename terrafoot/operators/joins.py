@@ -29,18 +29,24 @@ def _first_and_last(side: str, zoom: int) -> tuple[Column, Column, Column, Colum
     return tile_x(at("xmin"), zoom), tile_y(at("ymax"), zoom), tile_x(at("xmax"), zoom), tile_y(at("ymin"), zoom)
 
 
-def _dealt(df: DataFrame, side: str, zoom: int) -> DataFrame:
+def dealt(df: DataFrame, side: str, zoom: int) -> DataFrame:
+    """One row for each tile (tx, ty) that a row's box touches, with the box's first tile."""
     x0, y0, x1, y1 = _first_and_last(side, zoom)
     df = df.withColumns({f"{side}_tx": x0, f"{side}_ty": y0})
     return df.withColumn("tx", F.explode(F.sequence(x0, x1))).withColumn("ty", F.explode(F.sequence(y0, y1)))
 
 
+def boxes_meet() -> Column:
+    return (F.col("l_xmin") <= F.col("r_xmax")) & (F.col("l_xmax") >= F.col("r_xmin")) & (F.col("l_ymin") <= F.col("r_ymax")) & (F.col("l_ymax") >= F.col("r_ymin"))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, zoom: int = ZOOM, coarser: int = COARSER, most_tiles: int = MOST_TILES, left_fits: bool = False) -> DataFrame:
     """Pairs of rows whose closed boxes meet.
 
     Boxes are the columns l_xmin, l_ymin, l_xmax, l_ymax of ``left`` and r_... of ``right``. Rows
     with a null bound match nothing. Boxes that touch more than ``most_tiles`` tiles are joined
-    ``coarser`` levels up instead; ``left_fits`` says that the left side holds none of them.
+    ``coarser`` levels up instead; ``left_fits`` says that the left side holds none of them. Each side
+    is read two or three times, so both should be tables, not long plans.
     """
     has = lambda side: reduce(Column.__and__, [F.col(f"{side}_{c}").isNotNull() for c in BOX])
 
@@ -49,11 +55,10 @@ def overlap_join(left: DataFrame, right: DataFrame, zoom: int = ZOOM, coarser: i
         return (x1 - x0 + 1) * (y1 - y0 + 1) > most_tiles
 
     left, right = left.where(has("l")), right.where(has("r"))
-    meets = (F.col("l_xmin") <= F.col("r_xmax")) & (F.col("l_xmax") >= F.col("r_xmin")) & (F.col("l_ymin") <= F.col("r_ymax")) & (F.col("l_ymax") >= F.col("r_ymin"))
     owner = (F.col("tx") == F.greatest("l_tx", "r_tx")) & (F.col("ty") == F.greatest("l_ty", "r_ty"))
 
     def pairs(l_rows, r_rows, z):
-        return _dealt(l_rows, "l", z).join(_dealt(r_rows, "r", z), ["tx", "ty"]).where(meets & owner)
+        return dealt(l_rows, "l", z).join(dealt(r_rows, "r", z), ["tx", "ty"]).where(boxes_meet() & owner)
 
     top = max(0, zoom - coarser)
     fine = left if left_fits else left.where(~large("l"))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafoot.columns import BUILDING
-from terrafoot.functions.crs import EUROPE, Metric, haversine, window
+from terrafoot.functions.crs import EUROPE, Metric, haversine, sure_within, window
 from terrafoot.functions.geometry import covers, distance
 from terrafoot.functions.parsing import coordinate_valid, safe_double
-from terrafoot.operators.joins import overlap_join, window_zoom
+from terrafoot.operators.joins import ZOOM, overlap_join, window_zoom
+from terrafoot.operators.stored import StoredLookup, stored_pairs
 from terrafoot.session import materialised
 
+Buildings = DataFrame | StoredLookup
+
 MODES = ("centroid", "inside", "inside_nearest")
 CANDIDATES = 500
 #: Nearest matches up to this many metres have medium confidence.
@@ -45,8 +50,43 @@ def _boxed(points: DataFrame, dx: Column, dy: Column, *more: str) -> DataFrame:
     return points.select(ROW, "__lon", "__lat", *more, (x - dx).alias("l_xmin"), (y - dy).alias("l_ymin"), (x + dx).alias("l_xmax"), (y + dy).alias("l_ymax"))
 
 
-def _polygons(buildings: DataFrame, *more: str) -> DataFrame:
-    return buildings.select("building_id", *more, *[F.col(f"bbox_{c}").alias(f"r_{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
+def _pairs(left: DataFrame, buildings: Buildings, columns: list[str], box: list[str], zoom: int, centres: bool = False) -> DataFrame:
+    """Pairs of boxed places and buildings, from a table or a stored lookup."""
+    if isinstance(buildings, StoredLookup) and zoom >= buildings.zoom - 6:  # else a window has too many tiles
+        return stored_pairs(left, buildings, [F.col(c) for c in columns], tuple(F.col(c) for c in box), centres)
+    right = _rows(buildings).select(*columns, *[F.col(c).alias(f"r_{n}") for c, n in zip(box, ("xmin", "ymin", "xmax", "ymax"), strict=True)])
+    return overlap_join(left, right, zoom, left_fits=True)
+
+
+def _rows(buildings: Buildings) -> DataFrame:
+    return buildings.buildings() if isinstance(buildings, StoredLookup) else buildings
+
+
+BOX = [f"bbox_{c}" for c in ("xmin", "ymin", "xmax", "ymax")]
+#: The first window of a search, and how much each next one is wider.
+FIRST_REACH, GROWTH = 100.0, 4.0
+
+
+def _grown(places: DataFrame, radius: float, search, scale, most: int = 1) -> DataFrame:
+    """``search(places, reach)`` with growing reach: (row, ..., distance_m).
+
+    A place leaves as soon as its ``most`` nearest lie within what the window of that reach holds for
+    certain, so a wide radius makes no more pairs than the neighbourhood of the nearest.
+    """
+    done, rest, reach = [], places, FIRST_REACH
+    while reach * GROWTH / 2 < radius:
+        found = materialised(search(rest, reach), "found")
+        at = rest.select(ROW, (sure_within(F.col("__lat"), reach) * scale(F.col("__lon"), F.col("__lat"))).alias("__sure"))
+        settled = found.join(at, ROW).where(F.col("distance_m") <= F.col("__sure")).groupBy(ROW).agg(F.count("*").alias("n")).where(F.col("n") >= most).select(ROW)
+        settled = materialised(settled, "settled")
+        done.append(found.join(settled, ROW, "left_semi"))
+        rest = materialised(rest.join(settled, ROW, "left_anti"), "rest")
+        if rest.isEmpty():
+            break
+        reach *= GROWTH
+    else:
+        done.append(search(rest, radius))
+    return reduce(DataFrame.unionAll, done)
 
 
 def _best(pairs: DataFrame, order: Column) -> DataFrame:
@@ -56,23 +96,24 @@ def _best(pairs: DataFrame, order: Column) -> DataFrame:
     return best.select(ROW, F.col("best.building_id").alias("building_id"), F.col("best.order").alias("order"))
 
 
-def inside_matches(places: DataFrame, buildings: DataFrame) -> DataFrame:
+def inside_matches(places: DataFrame, buildings: Buildings) -> DataFrame:
     """(row, building_id): the smallest building that holds the point; unknown areas come last."""
-    pairs = overlap_join(_boxed(places, F.lit(0.0), F.lit(0.0)), _polygons(buildings, "footprint_area_m2", "rings"), left_fits=True)
+    pairs = _pairs(_boxed(places, F.lit(0.0), F.lit(0.0)), buildings, ["building_id", "footprint_area_m2", "rings"], BOX, ZOOM)
     return _best(pairs.where(covers(F.col("rings"), F.col("__lon"), F.col("__lat"))), F.col("footprint_area_m2")).select(ROW, "building_id")
 
 
-def centroid_pairs(places: DataFrame, buildings: DataFrame, radius: float, *more: str) -> DataFrame:
+def centroid_pairs(places: DataFrame, buildings: Buildings, radius: float, *more: str) -> DataFrame:
     """All (row, building_id, distance_m, and the places' columns ``more``) with the centroid within ``radius`` metres on the sphere."""
-    centres = buildings.select("building_id", "centroid_lon", "centroid_lat", *[F.col(f"centroid_{a}").alias(f"r_{b}") for a, b in (("lon", "xmin"), ("lat", "ymin"), ("lon", "xmax"), ("lat", "ymax"))])
-    pairs = overlap_join(_boxed(places, *window(F.col("__lat"), radius), *more), centres, window_zoom(radius), left_fits=True)
+    centre = ["centroid_lon", "centroid_lat"]
+    pairs = _pairs(_boxed(places, *window(F.col("__lat"), radius), *more), buildings, ["building_id", *centre], centre * 2, window_zoom(radius), centres=True)
     pairs = pairs.withColumn("distance_m", haversine(F.col("centroid_lon"), F.col("centroid_lat"), F.col("__lon"), F.col("__lat")))
     return pairs.where(F.col("distance_m") <= float(radius)).select(ROW, *more, "building_id", "distance_m")
 
 
-def nearest_centroids(places: DataFrame, buildings: DataFrame, radius: float) -> DataFrame:
+def nearest_centroids(places: DataFrame, buildings: Buildings, radius: float) -> DataFrame:
     """(row, building_id, distance_m) of the nearest centroid within the radius."""
-    return _best(centroid_pairs(places, buildings, radius), F.col("distance_m")).withColumnRenamed("order", "distance_m")
+    search = lambda rest, reach: _best(centroid_pairs(rest, buildings, reach), F.col("distance_m")).withColumnRenamed("order", "distance_m")
+    return _grown(places, radius, search, lambda lon, lat: F.lit(1.0))
 
 
 METRIC = ["rings_3035", "bbox_3035_xmin", "bbox_3035_ymin", "bbox_3035_xmax", "bbox_3035_ymax"]
@@ -89,30 +130,37 @@ def _nearest(pairs: DataFrame, radius: float) -> DataFrame:
     return best.where(F.col("distance_m") <= float(radius))
 
 
-def nearest_polygons(places: DataFrame, buildings: DataFrame, radius: float) -> DataFrame:
+def nearest_polygons(places: DataFrame, buildings: Buildings, radius: float, metric: Metric = EUROPE) -> DataFrame:
     """(row, building_id, distance_m) of the nearest polygon within the radius in the metric grid."""
-    pairs = overlap_join(_boxed(places, *window(F.col("__lat"), radius), "px", "py"), _polygons(buildings, *METRIC), window_zoom(radius), left_fits=True)
-    return _nearest(pairs.where(_metric_box_near(radius)), radius)
 
+    def search(rest: DataFrame, reach: float) -> DataFrame:
+        pairs = _pairs(_boxed(rest, *window(F.col("__lat"), reach), "px", "py"), buildings, ["building_id", *METRIC], BOX, window_zoom(reach))
+        return _nearest(pairs.where(_metric_box_near(reach)), reach)
+
+    return _grown(places, radius, search, metric.least_scale)
 
-def candidate_centroids(places: DataFrame, buildings: DataFrame, radius: float, most: int = CANDIDATES, *more: str) -> DataFrame:
+
+def candidate_centroids(places: DataFrame, buildings: Buildings, radius: float, most: int = CANDIDATES, *more: str) -> DataFrame:
     """(row, building_id, distance_m, rank, and ``more``) of the ``most`` nearest centroids within max(4 r, r + 150) metres."""
-    near = centroid_pairs(places, buildings, max(4.0 * radius, radius + 150.0), *more)
     order = Window.partitionBy(ROW).orderBy("distance_m", "building_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+    def search(rest: DataFrame, reach: float) -> DataFrame:
+        return centroid_pairs(rest, buildings, reach, *more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+    return _grown(places, max(4.0 * radius, radius + 150.0), search, lambda lon, lat: F.lit(1.0), most)
 
 
-def nearest_polygons_by_centroid(places: DataFrame, buildings: DataFrame, radius: float, most: int = CANDIDATES) -> DataFrame:
+def nearest_polygons_by_centroid(places: DataFrame, buildings: Buildings, radius: float, most: int = CANDIDATES) -> DataFrame:
     """The same among the ``most`` nearest centroids within max(4 r, r + 150) metres only.
 
     The metric boxes thin the candidates out before their shapes are attached.
     """
     near = candidate_centroids(places, buildings, radius, most, "px", "py").select(ROW, "px", "py", "building_id")
-    near = materialised(near.join(buildings.select("building_id", *METRIC[1:]), "building_id").where(_metric_box_near(radius)).select(ROW, "px", "py", "building_id"), "candidates")
-    return _nearest(near.join(buildings.select("building_id", "rings_3035"), "building_id"), radius)
+    near = materialised(near.join(_rows(buildings).select("building_id", *METRIC[1:]), "building_id").where(_metric_box_near(radius)).select(ROW, "px", "py", "building_id"), "candidates")
+    return _nearest(near.join(_rows(buildings).select("building_id", "rings_3035"), "building_id"), radius)
 
 
-def match(points: DataFrame, buildings: DataFrame, mode: str, radius: float = 50.0, candidates: str = "window", metric: Metric = EUROPE) -> DataFrame:
+def match(points: DataFrame, buildings: Buildings, mode: str, radius: float = 50.0, candidates: str = "window", metric: Metric = EUROPE) -> DataFrame:
     """(__lon, __lat, building_id, building_match_type, building_distance_m) of every distinct coordinate that is matched.
 
     ``metric`` projects a longitude and a latitude to metres; the columns rings_3035 and bbox_3035_* of
@@ -131,7 +179,7 @@ def match(points: DataFrame, buildings: DataFrame, mode: str, radius: float = 50
         if mode == "inside_nearest":
             found = materialised(found, "inside")
             rest = places.join(found.select(ROW), ROW, "left_anti")
-            near = (nearest_polygons_by_centroid if candidates == "centroid" else nearest_polygons)(rest, buildings, radius)
+            near = nearest_polygons_by_centroid(rest, buildings, radius) if candidates == "centroid" else nearest_polygons(rest, buildings, radius, metric)
             found = found.unionAll(label(near, "nearest_polygon", F.col("distance_m")))
     return found.join(places.select(ROW, "__lon", "__lat"), ROW).drop(ROW)
 
@@ -140,17 +188,21 @@ def confidence(kind: Column, metres: Column) -> Column:
     return F.when(kind.isNull() | (kind == "none"), "none").when(kind == "inside_polygon", "high").when(metres <= MEDIUM_M, "medium").otherwise("low")
 
 
-def enrich(exposure: DataFrame, lookup: DataFrame, lat: str = "lat", lon: str = "lon", mode: str = "inside_nearest", radius: float = 50.0, key: str | None = None, candidates: str = "window", ordered: bool = False, metric: Metric = EUROPE) -> DataFrame:
+def enrich(exposure: DataFrame, lookup: Buildings, lat: str = "lat", lon: str = "lon", mode: str = "inside_nearest", radius: float = 50.0, key: str | None = None, candidates: str = "window", ordered: bool = False, metric: Metric = EUROPE) -> DataFrame:
     """Every exposure row once, with four match columns and 27 ``building_`` columns.
 
     ``lookup`` is a table of :func:`terrafoot.plans.lookup.prepare_lookup`, whose building_id is
-    unique. Input columns that clash with an output column are replaced. Rows without a match, or
+    unique, or one that :func:`terrafoot.operators.stored.store_lookup` has stored by tile: then its
+    buildings aren't shuffled, and only regions that the points touch are read. Input columns that clash with an output column are replaced. Rows without a match, or
     with invalid coordinates, have type and confidence ``none`` and nulls. ``key`` names a unique
     column that saves making up row ids; ``ordered`` sorts by the row id. ``metric`` is the
     projection in which the lookup's metric columns are, see :func:`match`.
     """
     points = with_points(exposure, lat, lon, key)
     found = match(points.select("__lon", "__lat", "coordinate_valid"), lookup, mode, radius, candidates, metric)
+    if isinstance(lookup, StoredLookup):
+        found = materialised(found, "matches")
+        lookup = lookup.buildings(lookup.regions_around(found.select("__lon", "__lat"), radius))
     details = lookup.select("building_id", *[F.col(c).alias(f"__b_{c}") for c in BUILDING])
     found = found.join(details, "building_id").drop("building_id")
     found = found.withColumnsRenamed({"__lon": "__x", "__lat": "__y", "building_match_type": "__type", "building_distance_m": "__distance"})
@@ -172,7 +224,7 @@ def prefixed(column: str) -> str:
     return f"building_{column}"
 
 
-def lookup_points(points: DataFrame, lookup: DataFrame, lat: str = "lat", lon: str = "lon", radius: float = 50.0, key: str | None = None) -> DataFrame:
+def lookup_points(points: DataFrame, lookup: Buildings, lat: str = "lat", lon: str = "lon", radius: float = 50.0, key: str | None = None) -> DataFrame:
     """Every point once: the building that holds it, else the nearest centroid within the radius, else none.
 
     Columns: those of ``points``, coordinate_valid, match_type (``inside_polygon``, ``nearest`` or
@@ -185,6 +237,7 @@ def lookup_points(points: DataFrame, lookup: DataFrame, lat: str = "lat", lon: s
     near = nearest_centroids(places.join(found.select(ROW), ROW, "left_anti"), lookup, radius)
     found = found.unionAll(near.select(ROW, "building_id", F.lit("nearest").alias("match_type"), "distance_m"))
     found = found.join(places.select(ROW, F.col("__lon").alias("__x"), F.col("__lat").alias("__y")), ROW).drop(ROW)
+    lookup = _rows(lookup)
     found = found.join(lookup.select(F.col("building_id"), F.struct(*lookup.columns).alias("building")), "building_id").drop("building_id")
     made = ("coordinate_valid", "match_type", "distance_m", "confidence", "building")
     rows = rows.select("__lon", "__lat", "coordinate_valid", *[F.col(c) for c in points.columns if c not in made])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafoot.functions.geometry import decode_wkb, is_valid
+from terrafoot.functions.geometry import kind_and_validity
 from terrafoot.session import materialised
 
 NEAREST = ("nearest_polygon", "nearest_centroid")
@@ -15,9 +15,8 @@ def _share(condition: Column) -> Column:
     return F.avg(F.when(condition, F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
-def profile_summary(clean: DataFrame) -> DataFrame:
-    """One row: counts, area range, shares of unknown attributes and mean completeness."""
-    return clean.agg(
+def _facts() -> list[Column]:
+    return [
         F.count("*").alias("total_buildings"),
         F.min("footprint_area_m2").alias("min_area_m2"),
         F.avg("footprint_area_m2").alias("avg_area_m2"),
@@ -26,7 +25,29 @@ def profile_summary(clean: DataFrame) -> DataFrame:
         _share(F.col("height_m").isNull()).alias("missing_height_share"),
         _share(F.col("floorspace_est_m2").isNull()).alias("missing_floorspace_share"),
         F.avg("attribute_completeness_score").alias("avg_attribute_completeness_score"),
-    )
+    ]
+
+
+def profile_summary(clean: DataFrame) -> DataFrame:
+    """One row: counts, area range, shares of unknown attributes and mean completeness."""
+    return clean.agg(*_facts())
+
+
+#: The distributions of a profile by the name of their file.
+DISTRIBUTIONS = {"occupancy": "occupancy_group", "height_source": "height_source_type", "source": "source"}
+
+
+def profile_sets(clean: DataFrame) -> DataFrame:
+    """The summary's facts of all rows and of each value of the distributions' keys, by one scan and one shuffle.
+
+    ``part`` is ``summary`` or a distribution's name, the keys are null but for that distribution's
+    own. An empty table has no rows.
+    """
+    of = {name: f"__{key}" for name, key in DISTRIBUTIONS.items()}  # the facts read a key's values in every set
+    rows = clean.withColumns({of[name]: F.col(key) for name, key in DISTRIBUTIONS.items()})
+    sets = rows.groupingSets([[F.col(c)] for c in of.values()] + [[]], *of.values()).agg(*[F.grouping(c).alias(f"{c}_out") for c in of.values()], *_facts())
+    part = F.coalesce(*[F.when(F.col(f"{c}_out") == 0, name) for name, c in of.items()], F.lit("summary"))
+    return sets.select(part.alias("part"), *[F.col(of[name]).alias(key) for name, key in DISTRIBUTIONS.items()], *[c for c in sets.columns if not c.startswith("__")])
 
 
 def _with_total(counts: DataFrame, column: str) -> DataFrame:
@@ -88,12 +109,16 @@ def schema_profile(df: DataFrame) -> DataFrame:
 
 def geometry_check(shapes: DataFrame, wkb: str = "geom_wkb") -> DataFrame:
     """geom_type, is_valid and row count over a geometry table."""
-    rows = shapes.select(decode_wkb(wkb)["kind"].alias("geom_type"), is_valid(wkb).alias("is_valid"))
+    rows = shapes.select(kind_and_validity(wkb).alias("shape")).select("shape.*")
     return rows.groupBy("geom_type", "is_valid").agg(F.count("*").alias("row_count"))
 
 
 def write_profile(clean: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """summary (JSON) and the three distributions (CSV with header) below ``path``."""
-    profile_summary(clean).coalesce(1).write.mode(mode).json(f"{path}/summary")
-    for key, name in (("occupancy_group", "occupancy"), ("height_source_type", "height_source"), ("source", "source")):
-        distribution(clean, key).coalesce(1).write.mode(mode).option("header", True).csv(f"{path}/{name}_distribution")
+    """summary (JSON) and the three distributions (CSV with header) below ``path``; ``clean`` is read once."""
+    sets = materialised(profile_sets(clean), "profile")
+    summary = profile_summary(clean.limit(0)) if sets.isEmpty() else sets.where("part = 'summary'").drop("part", *DISTRIBUTIONS.values())
+    total = float(summary.first()["total_buildings"])
+    summary.coalesce(1).write.mode(mode).json(f"{path}/summary")
+    for name, key in DISTRIBUTIONS.items():
+        own = sets.where(F.col("part") == name).select(key, F.col("total_buildings").alias("building_count"), (F.col("total_buildings") / total).alias("share"))
+        own.orderBy(F.desc("building_count"), F.col(key).asc_nulls_last()).coalesce(1).write.mode(mode).option("header", True).csv(f"{path}/{name}_distribution")

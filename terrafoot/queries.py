@@ -16,6 +16,7 @@ from terrafoot.functions.parsing import coordinate_valid, safe_double
 from terrafoot.functions.tiles import quadkey, quadkeys_of_box, tile_cover, tile_x, tile_y
 from terrafoot.operators import matching, profile
 from terrafoot.operators.joins import clip
+from terrafoot.operators.stored import StoredLookup, store_lookup
 from terrafoot.plans.country import BuildConfig, build_country
 from terrafoot.plans.lookup import prepare_lookup, responses, write_lookup
 from terrafoot.session import materialised, shared_dir
@@ -24,7 +25,7 @@ from terrafoot.sources.footprints import geometry_wkb, in_box, union_by_name
 from terrafoot.sources.geocoding import geocode_candidates
 from terrafoot.streaming.enrichment import enrich_stream, stream_results, stream_summary
 
-RADIUS, ZOOM = 50.0, 16
+RADIUS, FAR, ZOOM = 50.0, 5000.0, 16
 BOX = (10.02, 52.001, 10.15, 52.0065)
 ORIGIN = (10.1, 52.005)
 
@@ -39,6 +40,10 @@ def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialised(prepare_lookup(clean(spark, sf_dir)))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> StoredLookup:
+    return store_lookup(lookup(spark, sf_dir), f"terrafoot_lookup_{uuid.uuid4().hex}")
+
+
 def rounded(df: DataFrame, places: dict[str, int]) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c, n in places.items()})
 
@@ -60,6 +65,24 @@ def _matches(mode: str, **how) -> Query:
     return run
 
 
+def _stored_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = matching.enrich(fixtures.exposures(spark, sf_dir), stored(spark, sf_dir), radius=RADIUS, key="exposure_id")
+    return rows.select("exposure_id", "coordinate_valid", "building_match_type", F.round("building_distance_m", 3).alias("building_distance_m"), "building_confidence", "building_building_id", "building_source", "building_height_m", "building_occupancy_group")
+
+
+def _nearest_far(search: Callable, buildings: Callable) -> Query:
+    """The nearest building within 5 km of points up to 4.4 km off their places."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        points = _points(spark, sf_dir).withColumn("lat", F.col("lat") + F.col("exposure_id") % 5 * 0.01)
+        places = points.select(F.col("exposure_id").alias(matching.ROW), F.col("lon").alias("__lon"), F.col("lat").alias("__lat"))
+        px, py = crs.laea(F.col("__lon"), F.col("__lat"))
+        found = search(materialised(places.withColumns({"px": px, "py": py})), buildings(spark, sf_dir), FAR)
+        return found.select(F.col(matching.ROW).alias("exposure_id"), "building_id", F.round("distance_m", 3).alias("distance_m"))
+
+    return run
+
+
 def _clean(*columns: str, **places: int) -> Query:
     return lambda spark, sf_dir: rounded(clean(spark, sf_dir).select("building_id", *columns), places)
 
@@ -166,7 +189,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     fixtures.exposures(spark, sf_dir).repartition(4, "exposure_id").write.parquet(f"{root}/in")
     stream = spark.readStream.schema("exposure_id long, lon string, lat string").option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
-    query = enrich_stream(stream, lookup(spark, sf_dir), f"{root}/out", f"{root}/summaries", f"{root}/checkpoint", radius=RADIUS, key="exposure_id")
+    query = enrich_stream(stream, stored(spark, sf_dir), f"{root}/out", f"{root}/summaries", f"{root}/checkpoint", radius=RADIUS, key="exposure_id")
     query.awaitTermination()
     return stream_results(spark, f"{root}/out"), stream_summary(spark, f"{root}/summaries")
 
@@ -186,6 +209,10 @@ QUERIES: dict[str, Query] = {
     "inside_nearest_cascade": _matches("inside_nearest"),
     "centroid_gated_nearest": _matches("inside_nearest", candidates="centroid"),
     "nearest_polygon_match": lambda s, d: _matches("inside_nearest")(s, d).where("building_match_type = 'nearest_polygon'").select("exposure_id", "building_building_id", "building_distance_m"),
+    "stored_match": _stored_match,
+    "nearest_far": _nearest_far(matching.nearest_polygons, lookup),
+    "nearest_far_stored": _nearest_far(matching.nearest_polygons, stored),
+    "nearest_far_centroid": _nearest_far(matching.nearest_centroids, lookup),
     "coordinate_validation": lambda s, d: fixtures.exposures(s, d).select("exposure_id", coordinate_valid(safe_double(F.col("lon")), safe_double(F.col("lat"))).alias("coordinate_valid")),
     "height_parse": _clean("height_source_type", "height_m", "stories_exact", "stories_min", "stories_max", "height_quality"),
     "occupancy_classify": _clean("occupancy_code", "occupancy_group", "occupancy_quality"),
@@ -256,7 +283,8 @@ _PROJECTED = ", ".join(f"{_laea_sql(x, y)[0]} AS x{i}, {_laea_sql(x, y)[1]} AS y
 _SHOELACE = " + ".join(f"((x{i} - x0) * (y{i + 1} - y0) - (x{i + 1} - x0) * (y{i} - y0))" for i in (1, 2))
 
 #: Clean buildings as ``b``, exposures as ``e``.
-_BASE = f"""
+def _base_sql(radius: float = RADIUS, north: str = "0e0") -> str:
+    return f"""
 WITH raw AS ({fixtures.BUILDINGS_SQL}),
 p AS (SELECT *, TRY_CAST(NULLIF(regexp_extract(height, 'HHT:([0-9.]+)', 1), '') AS DOUBLE) AS direct,
              TRY_CAST(NULLIF(regexp_extract(height, '(^|\\\\+)H:([0-9]+)', 2), '') AS INTEGER) AS stories_exact,
@@ -283,11 +311,14 @@ b AS (SELECT *, CASE WHEN floorspace_source_m2 IS NOT NULL THEN floorspace_sourc
 c AS (SELECT *, round(25e-2 + CASE WHEN height_m IS NOT NULL THEN 30e-2 ELSE 0e0 END + CASE WHEN occupancy_group <> 'Unknown' THEN 30e-2 ELSE 0e0 END
                       + CASE WHEN floorspace_est_m2 IS NOT NULL THEN 15e-2 ELSE 0e0 END, 2) AS attribute_completeness_score FROM b),
 x AS ({fixtures.EXPOSURES_SQL}),
-v AS (SELECT exposure_id, TRY_CAST(lon AS DOUBLE) AS lon, TRY_CAST(lat AS DOUBLE) AS lat,
+v AS (SELECT exposure_id, TRY_CAST(lon AS DOUBLE) AS lon, TRY_CAST(lat AS DOUBLE) + {north} AS lat,
              coalesce(TRY_CAST(lon AS DOUBLE) BETWEEN -180 AND 180 AND TRY_CAST(lat AS DOUBLE) BETWEEN -90 AND 90, false) AS coordinate_valid FROM x),
-w AS (SELECT *, {RADIUS} / (111320e0 * greatest(cos(radians(lat)), 2e-1)) AS dx, {RADIUS} / 111320e0 AS dy FROM v WHERE coordinate_valid),
+w AS (SELECT *, {radius} / (111320e0 * greatest(cos(radians(lat)), 2e-1)) AS dx, {radius} / 111320e0 AS dy FROM v WHERE coordinate_valid),
 e AS (SELECT *, {_laea_sql("lon", "lat")[0]} AS px, {_laea_sql("lon", "lat")[1]} AS py FROM w)"""
 
+
+_BASE = _base_sql()
+_FAR_BASE = _base_sql(FAR, "(exposure_id % 5) * 1e-2")
 _INSIDE = """,
 ir AS (SELECT e.exposure_id, b.building_id, row_number() OVER (PARTITION BY e.exposure_id ORDER BY b.footprint_area_m2 NULLS LAST, b.building_id) AS k
        FROM e JOIN b ON e.lon BETWEEN b.xmin AND b.xmax AND e.lat BETWEEN b.ymin AND b.ymax),
@@ -348,12 +379,25 @@ def _distribution(key: str) -> str:
     return f"{_BASE} SELECT {key}, count(*) AS building_count, round(count(*) / CAST((SELECT count(*) FROM c) AS DOUBLE), 6) AS share FROM c GROUP BY {key}"
 
 
+#: Of each point the least (distance, building); a point within a building is at 0.
+_FIRST = f"SELECT exposure_id, k.building_id, round(k.d, 3) AS distance_m FROM (SELECT exposure_id, min(struct_pack(d := d, building_id := building_id)) AS k FROM d WHERE d <= {FAR} GROUP BY exposure_id)"
+_FAR_SQL = f"""{_FAR_BASE}, d AS (SELECT e.exposure_id, b.building_id, CASE WHEN e.lon BETWEEN b.xmin AND b.xmax AND e.lat BETWEEN b.ymin AND b.ymax THEN 0e0
+        ELSE least({_edge_sql(0, 1)}, {_edge_sql(1, 2)}, {_edge_sql(2, 3)}, {_edge_sql(3, 0)}) END AS d
+        FROM e JOIN b ON b.xmin <= e.lon + e.dx AND b.xmax >= e.lon - e.dx AND b.ymin <= e.lat + e.dy AND b.ymax >= e.lat - e.dy)
+        {_FIRST}"""
+
 ORACLE_SQL: dict[str, str] = {
     "inside_match": _BASE + _INSIDE + _all_sql("SELECT * FROM i") + _MATCH_COLUMNS,
     "nearest_centroid_match": _BASE + _CENTROID + _all_sql("SELECT * FROM n") + _MATCH_COLUMNS,
     "inside_nearest_cascade": _CASCADE + _MATCH_COLUMNS,
     "centroid_gated_nearest": _BASE + _INSIDE + _GATED + _all_sql(_BOTH) + _MATCH_COLUMNS,
     "nearest_polygon_match": _CASCADE + "SELECT exposure_id, building_id AS building_building_id, round(distance, 3) AS building_distance_m FROM en WHERE building_match_type = 'nearest_polygon'",
+    "stored_match": _CASCADE + _MATCH_COLUMNS,
+    "nearest_far": _FAR_SQL,
+    "nearest_far_stored": _FAR_SQL,
+    "nearest_far_centroid": f"""{_FAR_BASE}, d AS (SELECT e.exposure_id, b.building_id, {_haversine_sql("b.centroid_lon", "b.centroid_lat", "e.lon", "e.lat")} AS d
+        FROM e JOIN b ON b.centroid_lon BETWEEN e.lon - e.dx AND e.lon + e.dx AND b.centroid_lat BETWEEN e.lat - e.dy AND e.lat + e.dy)
+        {_FIRST}""",
     "coordinate_validation": f"{_BASE} SELECT exposure_id, coordinate_valid FROM v",
     "height_parse": _columns("height_source_type, height_m, stories_exact, stories_min, stories_max, height_quality"),
     "occupancy_classify": _columns("occupancy_code, occupancy_group, occupancy_quality"),

@@ -8,7 +8,7 @@ from terrafoot.fixtures import rectangle
 from terrafoot.operators.joins import clip, overlap_join
 from terrafoot.functions.crs import azimuthal
 from terrafoot.operators.matching import candidate_centroids, enrich, lookup_points, match, with_places, with_points
-from terrafoot.operators.profile import distribution, match_summary, profile_summary
+from terrafoot.operators.profile import DISTRIBUTIONS, distribution, match_summary, profile_sets, profile_summary, write_profile
 from terrafoot.plans.country import BuildConfig, build_country, run_country
 from terrafoot.plans.lookup import prepare_lookup
 from terrafoot.sources.footprints import write_clean
@@ -118,3 +118,22 @@ def test_sinks_refuse_to_overwrite(spark, tmp_path):
 def test_distribution_order(spark):
     df = spark.createDataFrame([(x,) for x in "bbbaacc"] + [(None,)], "k string")
     assert [(r.k, r.building_count) for r in distribution(df, "k").collect()] == [("b", 3), ("a", 2), ("c", 2), (None, 1)]
+
+
+def test_profile_reads_the_table_once(spark, tmp_path):
+    """Summary and distributions are those of their own functions, null values and empty tables too, and the plan has one scan."""
+    rows = [(float(i), [None, "Unknown", "Mixed"][i % 3], [None, 3.0][i % 2], 1.0, 0.5, "exact_height_m", ["a", "b", None, "a"][i % 4]) for i in range(50)]
+    schema = "footprint_area_m2 double, occupancy_group string, height_m double, floorspace_est_m2 double, attribute_completeness_score double, height_source_type string, source string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/clean")
+    whole = spark.read.parquet(f"{tmp_path}/clean")
+    for clean in (whole, whole.limit(0)):
+        write_profile(clean, f"{tmp_path}/p")
+        want = profile_summary(clean).first().asDict()
+        found = spark.read.json(f"{tmp_path}/p/summary").first().asDict()
+        assert {k: v for k, v in want.items() if v is not None} == pytest.approx(found)
+        for name, key in DISTRIBUTIONS.items():
+            want = [(r[key], r.building_count, pytest.approx(r.share)) for r in distribution(clean, key).collect()]
+            schema = f"{key} string, building_count long, share double"
+            assert [tuple(r) for r in spark.read.option("header", True).schema(schema).csv(f"{tmp_path}/p/{name}_distribution").collect()] == want
+    plan = profile_sets(whole)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
