@@ -15,10 +15,11 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafoot.functions.geometry import Shapes, multipolygon, parsed, polygons_of
+from terrafoot.functions.geometry import Shapes, parsed
 from terrafoot.functions.tiles import tile_x, tile_y
 from terrafoot.operators.boundary import Prepared
 from terrafoot.operators.cells import clip_by_cells
+from terrafoot.operators.overlay import union
 
 ZOOM, COARSER, MOST_TILES = 16, 8, 256
 BOX = ("xmin", "ymin", "xmax", "ymax")
@@ -116,14 +117,5 @@ def clip(buildings: DataFrame, boundary: DataFrame, wkb: str = "geom_wkb", box:
 
 
 def dissolved(boundary: DataFrame, group: str | None = None) -> DataFrame:
-    """One row (per ``group``) with geom_wkb, a multipolygon of all its features' polygons, and srid (4326).
-
-    Overlaps are kept as they are: whoever asks whether a point or shape meets it gets what their
-    union would answer. Null shapes and those without polygons add nothing; without any the value is null.
-    Features meet by map-side aggregates of their polygons' bytes; a boundary is a single value, and
-    its size is that of its features.
-    """
-    keys = [group] if group else []
-    rows = boundary.select(*keys, F.explode_outer(polygons_of("geom_wkb")).alias("polygon"))
-    parts = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("polygon")).alias("parts"))
-    return parts.select(*keys, multipolygon("parts").alias("geom_wkb"), F.lit(4326).alias("srid"))
+    """One row (per ``group``) with geom_wkb, the union of its features' polygons, and srid (4326); see :func:`terrafoot.operators.overlay.union`."""
+    return union(boundary, group)

@@ -81,6 +81,13 @@ def _dissolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("kind", "srid", F.col("shape.kind").alias("geom_type"), polygons.alias("polygons"), F.round(area(F.col("shape.rings")) * 1e9, 1).alias("area_e9"))
 
 
+def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The area that the buildings of each row of the grid cover; neighbours overlap."""
+    rows = fixtures.rectangles(spark, sf_dir).select(((F.col("id") - F.col("id") % 200) / 200).cast("long").alias("row"), fixtures.rectangle("xmin", "ymin", "xmax", "ymax").alias("geom_wkb"))
+    found = dissolved(rows, "row").withColumn("shape", decode_wkb("geom_wkb"))
+    return found.select("row", "srid", F.round(area(F.col("shape.rings")) * 1e9, 1).alias("area_e9"))
+
+
 QUERIES = {
     "shape_check": lambda s, d: profile.geometry_check(fixtures.shapes(s, d)),
     "shape_contains": _contains,
@@ -91,6 +98,7 @@ QUERIES = {
     "shape_clip_joined": _clipped(-1),
     "boundary_clip_cells": _cells,
     "boundary_dissolve": _dissolved,
+    "boundary_union": _union,
 }
 
 _EDGES = ", ".join(
@@ -150,4 +158,7 @@ ORACLE_SQL = {
     "boundary_clip_cells": _CLIP,
     "boundary_dissolve": f"""{_BASE}, {_RINGS} SELECT s.kind, 4326 AS srid, 'MULTIPOLYGON' AS geom_type, count(*) * CASE WHEN s.kind = 2 THEN 2 ELSE 1 END AS polygons, round(sum(turn / 2) * 1e9, 1) AS area_e9
         FROM w JOIN s ON w.id = s.id GROUP BY s.kind""",
+    "boundary_union": f"""WITH raw AS ({fixtures.BUILDINGS_SQL}), r AS (SELECT *, CAST((id - id % 200) / 200 AS BIGINT) AS row FROM raw),
+        o AS (SELECT a.row, sum(greatest(0e0, a.xmax - b.xmin) * least(a.ymax - a.ymin, b.ymax - b.ymin)) AS twice FROM r AS a JOIN r AS b ON b.id = a.id + 1 AND b.row = a.row GROUP BY a.row)
+        SELECT r.row, 4326 AS srid, round((sum((xmax - xmin) * (ymax - ymin)) - coalesce(min(twice), 0e0)) * 1e9, 1) AS area_e9 FROM r LEFT JOIN o ON r.row = o.row GROUP BY r.row""",
 }
