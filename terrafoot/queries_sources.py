@@ -17,7 +17,7 @@ from terrafoot.functions.parsing import json_safe, safe_double
 from terrafoot.operators import matching
 from terrafoot.plans.country import BuildConfig, build_country, run_country
 from terrafoot.session import materialised, shared_dir
-from terrafoot.sources.exposures import read_exposures_typed
+from terrafoot.sources.exposures import read_exposures_checked, read_exposures_typed
 from terrafoot.sources.footprints import boundary_features, geometry_wkb, read_footprints, source_paths
 
 #: Tiles of the source files, and the box whose tiles are read; some of them have no file.
@@ -72,6 +72,18 @@ def _typed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("exposure_id").cast("long").alias("exposure_id"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.lit(types).alias("types"))
 
 
+def _csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line of a file, accepted or rejected: those with one field too many are kept apart with their number."""
+    path = _folder(spark, "checked")
+    rows = fixtures.exposures(spark, sf_dir).where(safe_double(F.col("lon")).isNotNull())
+    line = F.concat_ws(",", F.col("exposure_id").cast("string"), "lon", "lat", F.when(F.col("exposure_id") % 9 == 0, "more"))
+    lines = spark.range(1).select(F.lit(-1).alias("at"), F.lit("exposure_id,lon,lat").alias("value")).unionAll(rows.select("exposure_id", line.alias("value")))
+    lines.repartition(1).sortWithinPartitions("at").select("value").write.text(path)  # one file, whose lines have numbers that SQL knows
+    accepted, rejected = read_exposures_checked(spark, path)
+    kept = accepted.select(F.col("exposure_id").cast("long").alias("exposure_id"), F.lit(None).cast("long").alias("line_number"), F.round("lat", 6).alias("lat"))
+    return kept.unionAll(rejected.select(F.split("line", ",")[0].cast("long"), "line_number", F.lit(None).cast("double")))
+
+
 def _sample_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = build_country(fixtures.raw_footprints(spark, sf_dir), None, BuildConfig(fixtures.WORLD, sample_limit=150))
     return found.agg(F.count("*").alias("rows"), F.count_distinct("building_id").alias("buildings"))
@@ -113,6 +125,7 @@ QUERIES = {
     "hex_geometry": _hex_geometry,
     "boundary_features": _boundary_features,
     "typed_csv": _typed_csv,
+    "csv_rejects": _csv_rejects,
     "sample_limit": _sample_limit,
     "profile_files": _profile_files,
     "top_candidates": _candidates,
@@ -134,6 +147,8 @@ ORACLE_SQL = {
     "hex_geometry": f"{_RAW} SELECT id, {_ROUNDED} FROM raw",
     "boundary_features": f"{_RAW} SELECT id AS feature_id, 4326 AS srid, {_ROUNDED} FROM raw WHERE id % 2 = 0 AND id % 7 <> 0",
     "typed_csv": f"{_RAW} SELECT exposure_id, round(CAST(lon AS DOUBLE), 6) AS lon, round(CAST(lat AS DOUBLE), 6) AS lat, 'int,double,double' AS types FROM x WHERE TRY_CAST(lon AS DOUBLE) IS NOT NULL AND exposure_id % 9 <> 0",
+    "csv_rejects": f"""{_RAW}, n AS (SELECT *, row_number() OVER (ORDER BY exposure_id) + 1 AS number FROM x WHERE TRY_CAST(lon AS DOUBLE) IS NOT NULL)
+        SELECT exposure_id, CASE WHEN exposure_id % 9 = 0 THEN number END AS line_number, CASE WHEN exposure_id % 9 <> 0 THEN round(CAST(lat AS DOUBLE), 6) END AS lat FROM n""",
     "sample_limit": f"{_RAW} SELECT least(150, count(*)) AS rows, least(150, count(*)) AS buildings FROM raw",
     "top_candidates": f"""{_RAW}, b AS (SELECT CAST(id AS VARCHAR) AS building_id, (xmin + xmax) / 2 AS lon, (ymin + ymax) / 2 AS lat FROM raw),
         p AS (SELECT exposure_id, TRY_CAST(lon AS DOUBLE) AS lon, CAST(lat AS DOUBLE) AS lat FROM x WHERE TRY_CAST(lon AS DOUBLE) BETWEEN -180 AND 180),

@@ -22,12 +22,33 @@ def source_paths(root: str, box: tuple[float, float, float, float], zoom: int =
     return [f"{root[: -len('*.parquet')]}{key}.parquet" for key in quadkeys_of_box(*box, zoom)]
 
 
+#: From so many paths in one folder on, the folder is listed.
+LISTED = 64
+
+
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of ``paths`` that exist, in their order, by one listing of each folder that has many of them; patterns are kept as they are."""
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    asked: dict[str, list[str]] = {}
+    for p in paths:
+        if "*" not in p:
+            asked.setdefault(p.rpartition("/")[0], []).append(p)
+    there = set()
+    for folder, own in asked.items():
+        at = path(folder or ".")
+        files = at.getFileSystem(conf)
+        if len(own) < LISTED:
+            there |= {p for p in own if files.exists(path(p))}
+        elif files.exists(at):
+            names = {status.getPath().getName() for status in files.listStatus(at)}
+            there |= {p for p in own if p.rpartition("/")[2] in names}
+    return [p for p in paths if "*" in p or p in there]
+
+
 def read_footprints(spark: SparkSession, paths: list[str] | str, with_file: bool = False) -> DataFrame:
     """Raw footprints of all files, matched by column name; tiles without a file are skipped."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    there = [p for p in paths if "*" in p or (at := path(p)).getFileSystem(conf).exists(at)]
+    there = existing(spark, paths)
     if not there:
         raise FileNotFoundError(f"none of {len(paths)} source files exists")
     df = spark.read.option("mergeSchema", "true").parquet(*there)
