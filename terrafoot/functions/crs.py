@@ -148,4 +148,8 @@ def to_degrees(x, y, srid: int):
         lat = p - n * np.tan(p) / r * (d**2 / 2 - (5 + 3 * t + 10 * c - 4 * c**2 - 9 * ep2) * d**4 / 24 + (61 + 90 * t + 298 * c + 45 * t**2 - 252 * ep2 - 3 * c**2) * d**6 / 720)
         lon = (d - (1 + 2 * t + c) * d**3 / 6 + (5 - 2 * c + 28 * t - 3 * c**2 + 8 * ep2 + 24 * t**2) * d**5 / 120) / np.cos(p)
         return np.degrees(lon) + (srid % 100) * 6 - 183, np.degrees(lat)
+    from terrafoot.functions.projections import SYSTEMS, degrees_of
+
+    if srid in SYSTEMS:
+        return degrees_of(SYSTEMS[srid], x, y)
     raise ValueError(f"unsupported coordinate system EPSG:{srid}")

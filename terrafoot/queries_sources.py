@@ -14,6 +14,7 @@ from terrafoot import fixtures
 from terrafoot.functions.crs import SPHERICAL_RADIUS
 from terrafoot.functions.geometry import encode_polygon, wkb_bounds
 from terrafoot.functions.parsing import json_safe, safe_double
+from terrafoot.functions.projections import SYSTEMS
 from terrafoot.operators import matching
 from terrafoot.plans.country import BuildConfig, build_country, run_country
 from terrafoot.session import materialised, shared_dir
@@ -24,6 +25,8 @@ from terrafoot.sources.footprints import boundary_features, geometry_wkb, read_f
 ZOOM, BOX = 12, (9.9, 51.95, 10.1, 52.06)
 #: Radius and number of the candidate centroids.
 RADIUS, CANDIDATES = 100.0, 5
+#: The conformal conic system of Europe.
+CONIC = 3034
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -54,6 +57,21 @@ def _web_mercator(xmin: pa.Array, ymin: pa.Array, xmax: pa.Array, ymax: pa.Array
     return pa.array([encode_polygon([[(w, s), (e, s), (e, n), (w, n), (w, s)]], little=False) for w, s, e, n in zip(a.tolist(), b.tolist(), c.tolist(), d.tolist(), strict=True)], pa.binary())
 
 
+@F.arrow_udf(BinaryType())
+def _conic(xmin: pa.Array, ymin: pa.Array, xmax: pa.Array, ymax: pa.Array) -> pa.Array:
+    """Rectangles' corners in the European conformal conic system."""
+    a, b, c, d = (np.asarray(v, float) for v in (xmin, ymin, xmax, ymax))
+    corners = [SYSTEMS[CONIC].forward(x, y) for x, y in ((a, b), (c, b), (c, d), (a, d), (a, b))]
+    return pa.array([encode_polygon([[(float(x[i]), float(y[i])) for x, y in corners]]) for i in range(len(a))], pa.binary())
+
+
+def _boundary_conic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of a national projection, in degrees again."""
+    rows = fixtures.rectangles(spark, sf_dir).select(F.col("id").alias("feature_id"), _conic("xmin", "ymin", "xmax", "ymax").alias("geom_wkb"))
+    found = boundary_features(rows, srid=CONIC).withColumn("box", wkb_bounds("geom_wkb"))
+    return found.select("feature_id", "srid", *[F.round(f"box.{c}", 7).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
 def _boundary_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.rectangles(spark, sf_dir).withColumn("geom_wkb", F.when(F.col("id") % 7 != 0, _web_mercator("xmin", "ymin", "xmax", "ymax")))
     rows = rows.select(F.col("id").alias("feature_id"), F.when(F.col("id") % 2 == 0, "country").otherwise("sea").alias("layer"), "geom_wkb")
@@ -124,6 +142,7 @@ QUERIES = {
     "tile_files": _tile_files,
     "hex_geometry": _hex_geometry,
     "boundary_features": _boundary_features,
+    "boundary_conic": _boundary_conic,
     "typed_csv": _typed_csv,
     "csv_rejects": _csv_rejects,
     "sample_limit": _sample_limit,
@@ -147,6 +166,7 @@ ORACLE_SQL = {
     "hex_geometry": f"{_RAW} SELECT id, {_ROUNDED} FROM raw",
     "boundary_features": f"{_RAW} SELECT id AS feature_id, 4326 AS srid, {_ROUNDED} FROM raw WHERE id % 2 = 0 AND id % 7 <> 0",
     "typed_csv": f"{_RAW} SELECT exposure_id, round(CAST(lon AS DOUBLE), 6) AS lon, round(CAST(lat AS DOUBLE), 6) AS lat, 'int,double,double' AS types FROM x WHERE TRY_CAST(lon AS DOUBLE) IS NOT NULL AND exposure_id % 9 <> 0",
+    "boundary_conic": f"{_RAW} SELECT id AS feature_id, 4326 AS srid, round(xmin, 7) AS xmin, round(ymin, 7) AS ymin, round(xmax, 7) AS xmax, round(ymax, 7) AS ymax FROM raw",
     "csv_rejects": f"""{_RAW}, n AS (SELECT *, row_number() OVER (ORDER BY exposure_id) + 1 AS number FROM x WHERE TRY_CAST(lon AS DOUBLE) IS NOT NULL)
         SELECT exposure_id, CASE WHEN exposure_id % 9 = 0 THEN number END AS line_number, CASE WHEN exposure_id % 9 <> 0 THEN round(CAST(lat AS DOUBLE), 6) END AS lat FROM n""",
     "sample_limit": f"{_RAW} SELECT least(150, count(*)) AS rows, least(150, count(*)) AS buildings FROM raw",

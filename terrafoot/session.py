@@ -36,7 +36,8 @@ def materialised(df: DataFrame, label: str = "rows") -> DataFrame:
     return back
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def deleted(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or file, if it is there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -45,9 +46,9 @@ def released(*tables: DataFrame) -> None:
     """Deletes tables of :func:`materialised` that nothing reads any more, as in the rounds of a loop."""
     for df in tables:
         if path := getattr(df, "scratch", None):
-            _delete(df.sparkSession, path)
+            deleted(df.sparkSession, path)
 
 
 def clear_shared(spark: SparkSession) -> None:
     """Deletes all that this application has in the shared folder; results that were not written out go too."""
-    _delete(spark, shared_dir(spark))
+    deleted(spark, shared_dir(spark))
