@@ -193,6 +193,15 @@ def test_byte_bpe_is_the_library(spark, table):
     assert all((r.ids, bytes(r.decoded)) in want[r.doc_id] for r in back.collect())
 
 
+def test_op13_is_the_library(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10_000 + i, t) for i, t in enumerate(ODD)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tok = library()
+    want = sorted((i, len(ids), sha(" ".join(map(str, ids))), sha(t or "")) for i, t in rows for ids in [tok.encode_ordinary(t or "")])
+    assert sorted(map(tuple, queries.op13_byte_bpe(spark, str(tmp_path)).collect())) == want
+
+
 def test_merges_in_odd_vocabularies():
     """Ranks in any order: a merge may make pairs of a lower rank than its own, and different pairs of one rank."""
 
