@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrafoot.columns import BUILDING
 from terrafoot.functions.crs import EUROPE, Metric, haversine, sure_within, window
-from terrafoot.functions.geometry import covers, distance
+from terrafoot.functions.geometry import pair_covers, pair_distance
 from terrafoot.functions.parsing import coordinate_valid, safe_double
 from terrafoot.operators.joins import ZOOM, overlap_join, window_zoom
 from terrafoot.operators.stored import StoredLookup, stored_pairs
@@ -99,7 +99,7 @@ def _best(pairs: DataFrame, order: Column) -> DataFrame:
 def inside_matches(places: DataFrame, buildings: Buildings) -> DataFrame:
     """(row, building_id): the smallest building that holds the point; unknown areas come last."""
     pairs = _pairs(_boxed(places, F.lit(0.0), F.lit(0.0)), buildings, ["building_id", "footprint_area_m2", "rings"], BOX, ZOOM)
-    return _best(pairs.where(covers(F.col("rings"), F.col("__lon"), F.col("__lat"))), F.col("footprint_area_m2")).select(ROW, "building_id")
+    return _best(pairs.where(pair_covers("rings", "__lon", "__lat")), F.col("footprint_area_m2")).select(ROW, "building_id")
 
 
 def centroid_pairs(places: DataFrame, buildings: Buildings, radius: float, *more: str) -> DataFrame:
@@ -126,7 +126,7 @@ def _metric_box_near(radius: float) -> Column:
 
 def _nearest(pairs: DataFrame, radius: float) -> DataFrame:
     """The nearest shape of each row; the distance is computed once a pair and tested on the least one only."""
-    best = _best(pairs, distance(F.col("rings_3035"), F.col("px"), F.col("py"))).withColumnRenamed("order", "distance_m")
+    best = _best(pairs, pair_distance("rings_3035", "px", "py")).withColumnRenamed("order", "distance_m")
     return best.where(F.col("distance_m") <= float(radius))
 
 

@@ -17,8 +17,8 @@ def enrich_stream(stream: DataFrame, lookup: Buildings, output: str, summaries:
 
     A batch's results go to a folder of its number and replace what an earlier try left there, so a
     restarted query neither loses nor doubles rows. The running summary of batch n is that of batch
-    n - 1 merged with the batch's own, one row; the one before is deleted, since no batch before the
-    last is ever tried again. ``lookup`` may be a stored one, whose buildings then stay where they lie.
+    n - 1 merged with the batch's own, one row; older ones are deleted, since no batch before the last
+    is ever tried again. ``lookup`` may be a stored one, whose buildings then stay where they lie.
     """
 
     def batch(rows: DataFrame, number: int) -> None:

@@ -215,3 +215,28 @@ def test_validity_of_long_rings_is_quick():
     assert [geometry.valid([(0, False, r)]) for r in (long, comb, crossed)] == [True, True, False]
     assert geometry.valid([(0, False, long), (0, True, hole)]) and not geometry.valid([(0, False, long), (0, True, hole + 0.9)])
     assert time.time() - began < 15  # about 2 s alone
+
+
+def test_pairs_in_batches_are_the_expressions(spark):
+    """Holes, several parts, points on edges and vertices, empty rings, points and nulls: both forms agree, in small batches too."""
+    import random
+    import struct
+
+    pick = random.Random(12)
+    square, hole = geometry.encode_polygon([SQUARE]), geometry.encode_polygon([SQUARE, HOLE])
+    moved = geometry.encode_polygon([[(x + 20, y) for x, y in SQUARE]])
+    shapes = [square, hole, geometry.encode_multipolygon([hole, moved]), geometry.encode_polygon([[]]), geometry.encode_polygon([[], SQUARE]), struct.pack("<BIdd", 1, 1, 3.0, 4.0), None, b"x"]
+    shapes += [geometry.encode_polygon([[(pick.gauss(0, 5), pick.gauss(0, 5)) for _ in range(n)]]) for n in (1, 2, 3, 7, 50)]
+    at = [(float(x), float(y)) for x in range(-1, 6) for y in range(-1, 6)] + [(pick.gauss(0, 8), pick.gauss(0, 8)) for _ in range(30)]
+    rows = [(i, None if s is None else bytearray(s), x, y) for i, s in enumerate(shapes) for x, y in at]
+    pick.shuffle(rows)
+    df = spark.createDataFrame(rows, "i int, w binary, x double, y double").withColumn("rings", geometry.decode_wkb("w")["rings"])
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("7", old):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        inside = geometry.covers(F.col("rings"), F.col("x"), F.col("y"))
+        away = geometry.distance(F.col("rings"), F.col("x"), F.col("y"))
+        found = df.select(inside.alias("a"), geometry.pair_covers("rings", "x", "y").alias("b"), away.alias("c"), geometry.pair_distance("rings", "x", "y").alias("d"))
+        for r in found.collect():
+            assert bool(r.a) == bool(r.b) and (r.c == r.d or r.c == pytest.approx(r.d, abs=1e-12))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
