@@ -49,6 +49,18 @@ def test_license_texts_in_customary_form(spark, table):
     assert found[50] == ["MIT-licensed"] and found[51] == ["BSD-disclaimer", "BSD-grant"] and found[52] == ["ISC-grant"] and 53 not in found
 
 
+def test_licenses_of_long_texts(spark, table, monkeypatch):
+    """Very many matches in one text, one line of 5 MB, and chunks smaller than a template: nothing is lost at the chunks' bounds."""
+    text = license_scan.NOTICES["MIT-text"]
+    rows = [(1, "\n".join([text] * 1500)), (2, "word " * 500_000 + "Released under the MIT License. " + "word " * 500_000), (3, "x " * 1023 + "Released under\nthe MIT License.")]
+    found = {r.doc_id: (r.n_matches, r.licenses) for r in license_scan.license_scan(table(rows)).collect()}
+    assert found == {1: (1500, ["MIT-text"]), 2: (1, ["MIT"]), 3: (1, ["MIT"])}
+    mixed = [(i, " ".join(f"w{k}" for k in range(i * 7)) + "\n" + "\n\n".join(list(license_scan.NOTICES.values())[i : i + 5])) for i in range(12)]
+    want = sorted(map(tuple, license_scan.license_matches(table(mixed)).drop("row").collect()))
+    monkeypatch.setattr(license_scan, "CHUNK_WORDS", 50)
+    assert sorted(map(tuple, license_scan.license_matches(table(mixed)).drop("row").collect())) == want and len(want) >= 50
+
+
 def test_license_sql_is_the_scan(spark, table):
     """The query's SQL on what the test tables don't hold: wrapped, commented, joined, overlapping and reworded texts."""
     import duckdb
