@@ -12,7 +12,7 @@ from terrafoot import queries_shapes, queries_sources
 
 ROOT = Path(__file__).parent.parent
 DATA = Path("/root/testdata/sf0.001")
-OWN = ["coordinate_validation", "height_parse", "occupancy_classify", "floorspace_estimate", "completeness_score", "boundary_clip", "quadkey_encode", "tile_cover", "footprint_area", "occupancy_distribution", "geocode_flatten", "csv_round_trip", "match_summary", "stream_summary", "point_responses", *queries_shapes.QUERIES, *queries_sources.QUERIES]
+OWN = ["coordinate_validation", "height_parse", "occupancy_classify", "floorspace_estimate", "completeness_score", "boundary_clip", "quadkey_encode", "tile_cover", "footprint_area", "occupancy_distribution", "geocode_flatten", "csv_round_trip", "match_summary", "stored_match", "nearest_far_stored", "nearest_far_centroid", "stream_summary", "point_responses", *queries_shapes.QUERIES, *queries_sources.QUERIES]
 
 
 def compared(spark, name):
