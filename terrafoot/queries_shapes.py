@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafoot import fixtures
-from terrafoot.functions.geometry import area, centroid, covers, decode_wkb, distance, geojson, wkb_bounds
+from terrafoot.functions.geometry import area, covers, decode_wkb, distance, geojson, measures, wkb_bounds
 from terrafoot.operators import profile
 from terrafoot.operators.cells import clip_by_cells
 from terrafoot.operators.joins import clip, dissolved, overlap_join
@@ -40,9 +40,8 @@ def _distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rings = F.col("shape.rings")
-    x, y = centroid(rings)
-    return _valid(spark, sf_dir).select("id", F.round(area(rings) * 1e9, 3).alias("area_e9"), F.round(x, 8).alias("lon"), F.round(y, 8).alias("lat"), *[F.round(f"r_{c}", 7).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+    rows = fixtures.shapes(spark, sf_dir).where("kind <> 3").select("id", measures("geom_wkb").alias("m"))
+    return rows.select("id", F.round(F.col("m.area") * 1e9, 3).alias("area_e9"), F.round("m.x", 8).alias("lon"), F.round("m.y", 8).alias("lat"), *[F.round(f"m.{c}", 7).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
 
 
 def _geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
