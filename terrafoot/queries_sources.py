@@ -61,8 +61,8 @@ def _web_mercator(xmin: pa.Array, ymin: pa.Array, xmax: pa.Array, ymax: pa.Array
 def _conic(xmin: pa.Array, ymin: pa.Array, xmax: pa.Array, ymax: pa.Array) -> pa.Array:
     """Rectangles' corners in the European conformal conic system."""
     a, b, c, d = (np.asarray(v, float) for v in (xmin, ymin, xmax, ymax))
-    corners = [SYSTEMS[CONIC].forward(x, y) for x, y in ((a, b), (c, b), (c, d), (a, d), (a, b))]
-    return pa.array([encode_polygon([[(float(x[i]), float(y[i])) for x, y in corners]]) for i in range(len(a))], pa.binary())
+    corners = [np.column_stack(SYSTEMS[CONIC].forward(x, y)) for x, y in ((a, b), (c, b), (c, d), (a, d), (a, b))]
+    return fixtures.wkb_like(encode_polygon([[(0.0, 0.0)] * 5]), [np.stack(corners, 1)])
 
 
 def _boundary_conic(spark: SparkSession, sf_dir: str) -> DataFrame:
