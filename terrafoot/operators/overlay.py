@@ -4,13 +4,15 @@ Features are cut into grid cells. In a cell, vertical slabs between all vertices
 edges that don't cross, so a pass from bottom to top gives the covered intervals of each slab. What
 bounds them are directed pieces with the covered side on their left; pieces along slab and cell bounds
 cancel where both sides are covered. The pieces that are left, those of the outline, are chained into
-rings.
+rings: first in blocks of cells, where most rings close; only those that reach a block's bounds go on to
+larger blocks. A group of few points is worked on as one cell.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,10 @@ from terrafoot.functions.geometry import encode_multipolygon, encode_polygon, in
 from terrafoot.operators.cells import DEEPEST, Cell, cut, grid_level
 from terrafoot.session import materialised
 
-#: Cells of all features together at most, where the least level does not have more, and points for each on average.
-MOST_CELLS, CELL_POINTS = 1 << 18, 8
+#: Cells of all features together at most beyond those for each, where the least level does not have more, and points for each on average.
+MOST_CELLS, CELL_POINTS = 1 << 18, 32
+#: Points of a group that is worked on as one cell; levels of the grid that blocks of cells take together.
+WHOLE_POINTS, BLOCKS = 1536, (4, 8)
 #: Vertices closer than this (in degrees) are one.
 GRAIN = 1e-9
 PIECES = "x0 double, y0 double, x1 double, y1 double, ax double, ay double, bx double, by double"
@@ -148,8 +152,8 @@ def cell_outline(parts: list[Cell], full: int, x0: float, y0: float, x1: float,
     return np.concatenate(out)
 
 
-def chained(pieces: np.ndarray, level: int) -> list[list[np.ndarray]]:
-    """Polygons (a shell, then its holes) of an outline's pieces; pieces along cell bounds cancel first."""
+def _rings(pieces: np.ndarray) -> tuple[list[list[tuple[int, int]]], dict]:
+    """Closed rings of an outline's pieces, in units of the grain, and what the pieces are parts of; pieces along cell bounds cancel first."""
     free = np.isnan(pieces[:, 4])
     kept = [pieces[~free]]
     for axis in (0, 1):  # pieces along x = const, then along y = const
@@ -195,25 +199,75 @@ def chained(pieces: np.ndarray, level: int) -> list[list[np.ndarray]]:
                     path.append(here)
                     if not follow[here]:
                         raise ValueError("an outline doesn't close")
+    return rings, tag_of
+
+
+def chained(pieces: np.ndarray, level: int) -> list[list[np.ndarray]]:
+    """Polygons (a shell, then its holes) of an outline's pieces."""
+    rings, tag_of = _rings(pieces)
+    return _assembled([_straightened(r, tag_of) for r in rings])[0]
+
+
+def _turn(pts: np.ndarray) -> float:
+    q = pts - pts[0]
+    return float((q[:-1, 0] * q[1:, 1] - q[1:, 0] * q[:-1, 1]).sum())
+
+
+def _assembled(rings: list[np.ndarray]) -> tuple[list[list[np.ndarray]], list[np.ndarray]]:
+    """Polygons (a shell, then its holes), and the holes that no shell holds.
+
+    A shell is kept in the squares of its own size, of powers of two, that its box touches: a hole is
+    compared with shells around one of its points only.
+    """
     shells, holes = [], []
-    for ring in rings:
-        pts = _straightened(ring, tag_of)
-        if len(pts) < 4:
-            continue
-        q = pts - pts[0]
-        turn = float((q[:-1, 0] * q[1:, 1] - q[1:, 0] * q[:-1, 1]).sum())
-        if turn:
+    for pts in rings:
+        if len(pts) > 3 and (turn := _turn(pts)):
             (shells if turn > 0 else holes).append((abs(turn), pts))
+    if not holes:
+        return [[pts] for _, pts in shells], []
     shells.sort(key=lambda x: x[0])
     polygons = [[pts] for _, pts in shells]
     boxes = [(pts.min(0), pts.max(0)) for _, pts in shells]
+    near: dict[tuple[int, int, int], list[int]] = defaultdict(list)
+    for k, (low, high) in enumerate(boxes):
+        size = int(np.ceil(np.log2((high - low).max())))
+        (x0, y0), (x1, y1) = (np.floor(v * 2.0**-size).astype(int).tolist() for v in (low, high))
+        for x in range(x0, x1 + 1):
+            for y in range(y0, y1 + 1):
+                near[size, x, y].append(k)
+    sizes = {k[0] for k in near}
+    loose = []
     for size, hole in holes:
         low, high = hole.min(0), hole.max(0)
-        for k, (of, shell) in enumerate(shells):
+        x, y = hole[0].tolist()
+        for k in sorted(k for s in sizes for k in near.get((s, int(np.floor(x * 2.0**-s)), int(np.floor(y * 2.0**-s))), ())):
+            of, shell = shells[k]
             if of > size and (boxes[k][0] <= low).all() and (boxes[k][1] >= high).all() and inside_ring(shell, hole).all():
                 polygons[k].append(hole)
                 break
-    return polygons
+        else:
+            loose.append(hole)
+    return polygons, loose
+
+
+def _settled(pieces: np.ndarray, holes: list[np.ndarray], box: tuple[float, ...] | None) -> tuple[list[list[np.ndarray]], list[np.ndarray], np.ndarray]:
+    """(polygons, holes without a shell, pieces) of a block of cells: pieces are those of the rings that reach its ``box``.
+
+    Outlines don't cross, so a shell that lies within the block has all its holes there.
+    """
+    rings, tag_of = _rings(pieces)
+    inner, rest = [], []
+    if box is not None:
+        x0, y0, x1, y1 = (round(v / GRAIN) for v in box)
+    for ring in rings:
+        if box is not None and any(u <= x0 + 2 or v <= y0 + 2 or u >= x1 - 2 or v >= y1 - 2 for u, v in ring):
+            rest += [(*p, *q, *(tag_of.get((*p, *q)) or (np.nan,) * 4)) for p, q in zip(ring, ring[1:], strict=False)]
+        else:
+            inner.append(_straightened(ring, tag_of))
+    polygons, loose = _assembled(inner + holes)
+    left = np.array(rest, float).reshape(-1, 8)
+    left[:, :4] *= GRAIN
+    return polygons, loose, left
 
 
 def _straightened(ring: list[tuple[int, int]], tag_of: dict) -> np.ndarray:
@@ -234,49 +288,117 @@ def union(boundary: DataFrame, group: str | None = None, most: int | None = None
     Points and lines add nothing, as do null, damaged and empty shapes; a group without polygons has a
     null value, a null group is a group. Each polygon is taken by the even-odd rule. Vertices are rounded
     to a billionth of a degree. Equal features count once; features are dealt to cells and each cell is
-    worked on by itself, in time quadratic in its edges; the outline, which is a single value, is chained
-    in one task a group.
+    worked on by itself, in time quadratic in its edges; the outline is chained in blocks of cells, and
+    what reaches beyond them, as the value itself, is put together in one task a group.
     """
     spark = boundary.sparkSession
     key = F.col(group).cast("string") if group else F.lit("")
     rows = materialised(boundary.select(F.coalesce(F.concat(F.lit("="), key), F.lit("null")).alias("g"), *([F.col(group)] if group else []), "geom_wkb"), "features")
-    if most is None:  # a cell for some points
-        points = (rows.agg(F.sum(F.octet_length("geom_wkb"))).first()[0] or 0) // 16
-        most = int(min(MOST_CELLS, max(64, points // CELL_POINTS)))
-    level = grid_level(rows, most, DEEPEST + 6)
-    scale = 2.0**level
+    shapes = rows.where("geom_wkb IS NOT NULL").select("g", "geom_wkb").distinct()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)  # small rows, much work: not to be coalesced
     names = ["g", *[c.split()[0] for c in CELL.split(", ")]]
     types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.bool_(), pa.binary()]
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for g, shape in zip(batch.column("g").to_pylist(), batch.column("geom_wkb"), strict=True):
-                found = parsed(shape.as_py())
-                polygons = defaultdict(list)
-                for p, hole, r in found[1] if found and found[0] in ("POLYGON", "MULTIPOLYGON") else ():
-                    if len(r) > 3:
-                        polygons[p].append((p, hole, np.rint(r / GRAIN) * GRAIN))
-                for rings in polygons.values():
-                    columns = cut(rings, level) | {"g": None}
-                    columns["g"] = [g] * len(columns["cx"])
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[c], t) for c, t in zip(names, types, strict=True)], names)
-
-    def outlines(key: tuple, found: pa.Table) -> pa.Table:
-        g, cx, cy = (k.as_py() for k in key)
-        full = sum(found["inside"].to_pylist())
-        parts = [] if full else [Cell(e, b"", x, b) for e, x, b in zip(found["edges"].to_pylist(), found["xref"].to_pylist(), found["base"].to_pylist(), strict=True)]
-        pieces = cell_outline(parts, int(full > 0), cx / scale, cy / scale, (cx + 1) / scale, (cy + 1) / scale)
-        return pa.table({"g": pa.array([g] * len(pieces), pa.string()), **{c.split()[0]: pa.array(pieces[:, k], pa.float64()) for k, c in enumerate(PIECES.split(", "))}})
-
-    def polygons(key: tuple, found: pa.Table) -> pa.Table:
-        pieces = np.column_stack([np.asarray(found[c.split()[0]]) for c in PIECES.split(", ")])
-        made = [encode_polygon([r.tolist() for r in p]) for p in chained(pieces, level)]
+    columns = [c.split()[0] for c in PIECES.split(", ")]
+
+    def features(shape: bytes) -> list[list[tuple[int, bool, np.ndarray]]]:
+        found = parsed(shape)
+        polygons = defaultdict(list)
+        for p, hole, r in found[1] if found and found[0] in ("POLYGON", "MULTIPOLYGON") else ():
+            if len(r) > 3:
+                polygons[p].append((p, hole, np.rint(r / GRAIN) * GRAIN))
+        return list(polygons.values())
+
+    def whole(key: tuple, found: pa.Table) -> pa.Table:
+        """All polygons of a small group: one cell around them, whose bounds nothing reaches."""
+        parts = []
+        for shape in found["geom_wkb"]:
+            for rings in features(shape.as_py()):
+                a, b = np.concatenate([r[:-1] for _, _, r in rings]), np.concatenate([r[1:] for _, _, r in rings])
+                moves = (a != b).any(1)
+                a, b = a[moves], b[moves]
+                left = ((a[:, 0] < b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] <= b[:, 1])))[:, None]
+                if len(a):
+                    parts.append(np.column_stack([np.where(left, a, b), np.where(left, b, a)]))
+        made = []
+        if parts:
+            ends = np.concatenate(parts)
+            (x0, y0), (x1, y1) = np.minimum(ends[:, :2], ends[:, 2:]).min(0) - 1, np.maximum(ends[:, :2], ends[:, 2:]).max(0) + 1
+            pieces = cell_outline([Cell(e.tobytes(), b"", x0, False) for e in parts], 0, x0, y0, x1, y1)
+            made = [encode_polygon([r.tolist() for r in p]) for p in chained(pieces, 0)]
         return pa.table({"g": pa.array([key[0].as_py()], pa.string()), "geom_wkb": pa.array([encode_multipolygon(made) if made else None], pa.binary())})
 
-    dealt = rows.where("geom_wkb IS NOT NULL").select("g", "geom_wkb").distinct().mapInArrow(cells, f"g string, {CELL}")
-    pieces = materialised(dealt.groupBy("g", "cx", "cy").applyInArrow(outlines, f"g string, {PIECES}"), "outline")
-    found = pieces.groupBy("g").applyInArrow(polygons, "g string, geom_wkb binary")
+    few = []
+    if most is None:
+        points = shapes.groupBy("g").agg(F.sum(F.octet_length("geom_wkb") / 16).alias("points"))
+        small = materialised(points.where(F.col("points") <= WHOLE_POINTS).select("g"), "small")
+        few = [shapes.join(small, "g", "left_semi").repartition(tasks, "g").groupBy("g").applyInArrow(whole, "g string, geom_wkb binary")]
+        shapes = materialised(shapes.join(small, "g", "left_anti"), "large")
+    found = few
+    if most is not None or not shapes.isEmpty():
+        if most is None:  # a cell for some points
+            count, octets = shapes.agg(F.count("*"), F.sum(F.octet_length("geom_wkb"))).first()
+            most = int(1.5 * count + min(MOST_CELLS, max(64, octets // 16 // CELL_POINTS)))  # each feature touches a cell at least
+        level = grid_level(shapes, most, DEEPEST + 6)
+        scale = 2.0**level
+
+        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = {n: [] for n in names}
+                for g, shape in zip(batch.column("g").to_pylist(), batch.column("geom_wkb"), strict=True):
+                    for rings in features(shape.as_py()):
+                        part = cut(rings, level) | {"g": None}
+                        part["g"] = [g] * len(part["cx"])
+                        for n in names:
+                            own[n].extend(part[n])
+                        if len(own["cx"]) > 4096:
+                            yield pa.RecordBatch.from_arrays([pa.array(own[c], t) for c, t in zip(names, types, strict=True)], names)
+                            own = {n: [] for n in names}
+                yield pa.RecordBatch.from_arrays([pa.array(own[c], t) for c, t in zip(names, types, strict=True)], names)
+
+        def outlines(key: tuple, found: pa.Table) -> pa.Table:
+            g, cx, cy = (k.as_py() for k in key)
+            full = sum(found["inside"].to_pylist())
+            parts = [] if full else [Cell(e, b"", x, b) for e, x, b in zip(found["edges"].to_pylist(), found["xref"].to_pylist(), found["base"].to_pylist(), strict=True)]
+            return block(g, cx, cy, cell_outline(parts, int(full > 0), cx / scale, cy / scale, (cx + 1) / scale, (cy + 1) / scale))
+
+        def block(g: str, cx: int, cy: int, pieces: np.ndarray, holes: list = (), made: list = ()) -> pa.Table:
+            """Rows of a block: its pieces, then its holes, then its polygons."""
+            n, more = len(pieces), len(holes) + len(made)
+            values = {c: pa.array(np.append(pieces[:, k], np.full(more, np.nan)), pa.float64()) for k, c in enumerate(columns)}
+            binary = {"hole": [None] * n + [h.tobytes() for h in holes] + [None] * len(made), "made": [None] * (n + len(holes)) + list(made)}
+            return pa.table({"g": pa.array([g] * (n + more), pa.string()), "cx": pa.array([cx] * (n + more), pa.int64()), "cy": pa.array([cy] * (n + more), pa.int64()), **values, **{c: pa.array(v, pa.binary()) for c, v in binary.items()}})
+
+        def closed(found: pa.Table, box: tuple[float, ...] | None) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
+            holes = [np.frombuffer(h).reshape(-1, 2) for h in found["hole"].drop_null().to_pylist()]
+            pieces = np.column_stack([np.asarray(found[c], float) for c in columns])[np.asarray(found["hole"].is_null())]
+            polygons, holes, rest = _settled(pieces, holes, box)
+            return [encode_polygon([r.tolist() for r in p]) for p in polygons], holes, rest
+
+        def blocks(up: int):
+            def run(key: tuple, found: pa.Table) -> pa.Table:
+                g, x, y = (k.as_py() for k in key)
+                side = (1 << up) / scale
+                made, holes, rest = closed(found, (x * side, y * side, (x + 1) * side, (y + 1) * side))
+                return block(g, x << up, y << up, rest, holes, made)
+
+            return run
+
+        def last(key: tuple, found: pa.Table) -> pa.Table:
+            ready = found["made"].drop_null().to_pylist()
+            made = ready + closed(found.filter(found["made"].is_null()), None)[0]
+            return pa.table({"g": pa.array([key[0].as_py()], pa.string()), "geom_wkb": pa.array([encode_multipolygon(made) if made else None], pa.binary())})
+
+        kind = f"g string, cx long, cy long, {PIECES}, hole binary, made binary"
+        pieces = materialised(shapes.repartition(tasks, "geom_wkb").mapInArrow(cells, f"g string, {CELL}").repartition(tasks, "g", "cx", "cy").groupBy("g", "cx", "cy").applyInArrow(outlines, kind), "outline")
+        ready = []
+        for up in BLOCKS:
+            if up < level:
+                at = [F.shiftright(c, up).alias(f"b{c}") for c in ("cx", "cy")]
+                done = materialised(pieces.select("*", *at).repartition(tasks, "g", "bcx", "bcy").groupBy("g", "bcx", "bcy").applyInArrow(blocks(up), kind), "blocks")
+                ready.append(done.where("made IS NOT NULL"))
+                pieces = done.where("made IS NULL")
+        found = [*found, reduce(DataFrame.unionAll, [pieces, *ready]).groupBy("g").applyInArrow(last, "g string, geom_wkb binary")]
     groups = rows.select("g", *([group] if group else [])).distinct()
     if not group:
         groups = spark.range(1).select(F.lit("=").alias("g"))
-    return groups.join(found, "g", "left").select(*([group] if group else []), "geom_wkb", F.lit(4326).alias("srid"))
+    return groups.join(reduce(DataFrame.unionAll, found), "g", "left").select(*([group] if group else []), "geom_wkb", F.lit(4326).alias("srid"))

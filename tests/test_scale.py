@@ -6,9 +6,12 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 
 import __spark_entry__ as entry
+from terrafoot import fixtures, queries_shapes
 from terrafoot.functions import geometry
+from terrafoot.operators import joins, matching, overlay
 
 
 def compared(spark, name, folder):
@@ -92,3 +95,73 @@ def test_features_are_reprojected_by_batches(monkeypatch):
     assert calls == [1, 88] and found[21] is None and found[22] is None
     lon, lat = own(np.array([4e6 + 3]), np.array([3e6]), 3035)
     assert geometry.parse_wkb(found[3])[1][0][2][0].tolist() == [lon[0], lat[0]] and geometry.parse_wkb(found[20])[0] == "MULTIPOLYGON"
+
+
+@pytest.mark.parametrize("whole", [0, 1536])
+def test_union_of_many_features(spark, monkeypatch, whole):
+    """Many shapes with holes and overlapping neighbours: closed in blocks of cells, or as small groups, to the same polygons."""
+    monkeypatch.setattr(overlay, "WHOLE_POINTS", whole)
+    ell = fixtures.SHAPES[1][0]
+    at = lambda x, y: bytearray(geometry.encode_polygon([[(10 + x * 1e-3 + dx * 1e-4, 52 + y * 1e-3 + dy * 1e-4) for dx, dy in ring] for ring in ell]))
+    rows = [(str(k), at(x, y)) for k in range(3) for x in range(40) for y in range(3 * k, 3 * k + 2)]
+    rows += [("row", bytearray(geometry.encode_polygon([[(10 + x * 1e-3, 52), (10 + x * 1e-3 + 2e-3, 52), (10 + x * 1e-3 + 2e-3, 52.0005), (10 + x * 1e-3, 52.0005), (10 + x * 1e-3, 52)]]))) for x in range(60)]
+    found = {r.name: geometry.parse_wkb(bytes(r.geom_wkb))[1] for r in overlay.union(spark.createDataFrame(rows, "name string, geom_wkb binary"), "name").collect()}
+    assert {g: (sum(not h for _, h, _ in r), sum(h for _, h, _ in r)) for g, r in found.items()} == {"0": (80, 80), "1": (80, 80), "2": (80, 80), "row": (1, 0)}
+    assert all(geometry.valid(r) for r in found.values())
+
+
+def test_cells_leave_room_for_each_feature(spark, monkeypatch):
+    """More features than the bound of cells don't end in one cell for all of them."""
+    levels, own = [], overlay.grid_level
+    monkeypatch.setattr(overlay, "MOST_CELLS", 10)
+    monkeypatch.setattr(overlay, "WHOLE_POINTS", 0)
+    monkeypatch.setattr(overlay, "grid_level", lambda *a: levels.append(own(*a)) or levels[-1])
+    rows = [(bytearray(geometry.encode_polygon([[(x, y), (x + 0.5, y), (x, y + 0.5), (x, y)]])),) for x in range(20) for y in range(20)]
+    assert len(geometry.parse_wkb(bytes(overlay.union(spark.createDataFrame(rows, "geom_wkb binary")).first().geom_wkb))[1]) == 400
+    assert levels[0] > 0 or own(spark.createDataFrame(rows, "geom_wkb binary"), 600) == 0
+
+
+def test_holes_meet_the_shells_around_them_only(monkeypatch):
+    tried, own = [], overlay.inside_ring
+    monkeypatch.setattr(overlay, "inside_ring", lambda ring, pts: tried.append(1) or own(ring, pts))
+    square = lambda x, y, s: np.array([(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)], float)
+    rings = [square(0, 0, 1000), square(1, 1, 998)[::-1]]
+    rings += [r for x in range(40) for y in range(20) for r in (square(10 + 10 * x, 10 + 10 * y, 8), square(11 + 10 * x, 11 + 10 * y, 6)[::-1])]
+    polygons, loose = overlay._assembled(rings)
+    assert len(polygons) == 801 and not loose and all(len(p) == 2 for p in polygons) and len(tried) < 1000
+
+
+def test_tile_files_are_written_at_once(spark, tmp_path, monkeypatch):
+    """Two writes and a table, however many tiles there are."""
+    spark.createDataFrame([(i, i % 50 + 1) for i in range(0, 400_000, 997)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(0,)], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    writes, own = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: writes.append(path) or own(self, path, *a, **k))
+    found, want = compared(spark, "tile_files", tmp_path)
+    assert found == want and found and len(writes) == 3
+
+
+def test_empty_coarse_joins_are_left_out_and_hot_tiles_are_split(spark, monkeypatch):
+    box = lambda s, rows: spark.createDataFrame(rows, f"{s} int, {s}_xmin double, {s}_ymin double, {s}_xmax double, {s}_ymax double")
+    points = [(i, x := 10 + i % 13 * 1e-4, y := 52 + i % 7 * 1e-4, x, y) for i in range(300)]
+    shapes = [(i, 10 + i * 1e-4, 51.9, 10 + i * 1e-4 + 2e-4, 52.0003) for i in range(10)]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    one = joins.overlap_join(box("l", points), box("r", shapes), left_fits=True)
+    assert "Union" not in plan(one)
+    want = sorted((p[0], s[0]) for p in points for s in shapes if s[1] <= p[1] <= s[3] and s[2] <= p[2] <= s[4])
+    monkeypatch.setattr(joins.by_tile, "__defaults__", (None, 20))
+    parts = joins.overlap_join(box("l", points), box("r", shapes), left_fits=True)
+    assert "part" in plan(parts) and sorted(map(tuple, one.select("l", "r").collect())) == want == sorted(map(tuple, parts.select("l", "r").collect()))
+
+
+@pytest.mark.parametrize("name", ["nearest_far", "nearest_far_stored", "shape_contains", "shape_distance"])
+def test_shared_coordinates_are_searched_once(spark, tmp_path, monkeypatch, name):
+    """Events whose numbers differ by 4,200,000 share their coordinates."""
+    spark.createDataFrame([(i, i % 50 + 1) for i in range(2000)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(i + 4_200_000 * k,) for i in range(40) for k in range(3)], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    sizes = []
+    for module in (matching, queries_shapes):
+        own = module.materialised
+        monkeypatch.setattr(module, "materialised", lambda df, label="rows", own=own: (sizes.append((label, (back := own(df, label)).count())), back)[1])
+    found, want = compared(spark, name, tmp_path)
+    assert found == want and found and all(n <= 40 for label, n in sizes if label == "places") and sizes
