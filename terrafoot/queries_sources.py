@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -35,12 +35,14 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 def _tile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file a tile, every second one without the floorspace column, read back by the box's tiles."""
-    root, raw = _folder(spark, "tiles"), materialised(fixtures.raw_footprints(spark, sf_dir))
-    keyed = raw.withColumn("tile", F.substring("quadkey", 1, ZOOM))
-    for i, r in enumerate(keyed.select("tile").distinct().orderBy("tile").collect()):  # one folder for each tile of the fixture
-        keyed.where(F.col("tile") == r.tile).drop("tile", *(["floorspace"] if i % 2 else [])).write.parquet(f"{root}/{r.tile}.parquet")
-    rows = read_footprints(spark, source_paths(f"{root}/*.parquet", BOX, ZOOM), with_file=True)
-    return rows.select("id", "source", F.regexp_extract("filename", r"/(\d+)\.parquet/", 1).alias("tile"))
+    root, raw = _folder(spark, "tiles"), materialised(fixtures.raw_footprints(spark, sf_dir).withColumn("tile", F.substring("quadkey", 1, ZOOM)))
+    numbers = raw.select("tile").distinct().withColumn("odd", F.row_number().over(Window.orderBy("tile")) % 2 == 0)
+    keyed = raw.join(F.broadcast(numbers), "tile").withColumn("file", F.concat("tile", F.lit(".parquet"))).drop("tile")
+    for odd in (False, True):  # two writes, however many tiles there are
+        own = keyed.where(F.col("odd") if odd else ~F.col("odd")).drop("odd", *(["floorspace"] if odd else []))
+        own.repartition("file").write.mode("append").partitionBy("file").parquet(root)
+    rows = read_footprints(spark, source_paths(f"{root}/file=*.parquet", BOX, ZOOM), with_file=True)
+    return rows.select("id", "source", F.regexp_extract("filename", r"/file=(\d+)\.parquet/", 1).alias("tile"))
 
 
 def _hex_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
