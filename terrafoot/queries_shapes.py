@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafoot import fixtures
-from terrafoot.functions.geometry import area, covers, decode_wkb, distance, geojson, measures, wkb_bounds
+from terrafoot.functions.geometry import area, decode_wkb, geojson, measures, pair_covers, pair_distance, wkb_bounds
 from terrafoot.operators import profile
 from terrafoot.operators.cells import clip_by_cells
 from terrafoot.operators.joins import clip, dissolved, overlap_join
@@ -23,20 +23,24 @@ def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", decode_wkb("geom_wkb").alias("shape"), *[F.col(f"box.{c}").alias(f"r_{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
 
 
-def _near(spark: SparkSession, sf_dir: str, reach: float) -> DataFrame:
+def _near(spark: SparkSession, sf_dir: str, reach: float) -> tuple[DataFrame, DataFrame]:
+    """Points, and pairs of their distinct coordinates with the shapes around them."""
     points = fixtures.places(spark, sf_dir)
-    boxed = points.select("*", (F.col("x") - reach).alias("l_xmin"), (F.col("y") - reach).alias("l_ymin"), (F.col("x") + reach).alias("l_xmax"), (F.col("y") + reach).alias("l_ymax"))
-    return overlap_join(boxed, materialised(_valid(spark, sf_dir)), left_fits=True)
+    places = materialised(points.select("x", "y").distinct(), "places")
+    boxed = places.select("*", (F.col("x") - reach).alias("l_xmin"), (F.col("y") - reach).alias("l_ymin"), (F.col("x") + reach).alias("l_xmax"), (F.col("y") + reach).alias("l_ymax"))
+    return points, overlap_join(boxed, materialised(_valid(spark, sf_dir)), left_fits=True)
 
 
 def _contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _near(spark, sf_dir, 0.0)
-    return rows.where(covers(F.col("shape.rings"), F.col("x"), F.col("y"))).select("exposure_id", "id")
+    points, pairs = _near(spark, sf_dir, 0.0)
+    found = materialised(pairs.where(pair_covers("shape.rings", "x", "y")).select("x", "y", "id"), "inside")
+    return points.join(found, ["x", "y"]).select("exposure_id", "id")
 
 
 def _distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _near(spark, sf_dir, REACH)
-    return rows.select("exposure_id", "id", F.round(distance(F.col("shape.rings"), F.col("x"), F.col("y")) * 1e6, 3).alias("microdegrees"))
+    points, pairs = _near(spark, sf_dir, REACH)
+    found = materialised(pairs.select("x", "y", "id", F.round(pair_distance("shape.rings", "x", "y") * 1e6, 3).alias("microdegrees")), "distances")
+    return points.join(found, ["x", "y"]).select("exposure_id", "id", "microdegrees")
 
 
 def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
