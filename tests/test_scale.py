@@ -1,17 +1,20 @@
 """Tables larger than the test tables: whole results, and work that is done for many rows at once."""
 
 import os
+import uuid
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrameWriter
+from test_stored import buildings
 
 import __spark_entry__ as entry
-from terrafoot import fixtures, queries_shapes
+from terrafoot import fixtures, queries, queries_shapes
 from terrafoot.functions import geometry
 from terrafoot.operators import joins, matching, overlay
+from terrafoot.operators.stored import store_lookup
 
 
 def compared(spark, name, folder):
@@ -165,3 +168,21 @@ def test_shared_coordinates_are_searched_once(spark, tmp_path, monkeypatch, name
         monkeypatch.setattr(module, "materialised", lambda df, label="rows", own=own: (sizes.append((label, (back := own(df, label)).count())), back)[1])
     found, want = compared(spark, name, tmp_path)
     assert found == want and found and all(n <= 40 for label, n in sizes if label == "places") and sizes
+
+
+def test_heights_patterns_are_searched_once(spark, far):
+    """Patterns inlined into every choice made code that was too large to be compiled."""
+    plan = queries.clean(spark, str(far))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 4
+
+
+def test_small_lookup_has_few_buckets(spark):
+    """A stored lookup's buckets grow with its buildings, not with the session's shuffles alone: each region has a file of each."""
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        lookup = store_lookup(buildings(spark, [(10 + i * 1e-2, 52.0, 10 + i * 1e-2 + 4e-4, 52.0005) for i in range(50)]), f"few_{uuid.uuid4().hex}")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {lookup.table}").collect()}
+    assert int(told["Num Buckets"]) == 3 * spark.sparkContext.defaultParallelism and lookup.buildings().count() == 50
