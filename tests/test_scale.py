@@ -186,3 +186,12 @@ def test_small_lookup_has_few_buckets(spark):
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
     told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {lookup.table}").collect()}
     assert int(told["Num Buckets"]) == 3 * spark.sparkContext.defaultParallelism and lookup.buildings().count() == 50
+
+
+def test_each_coordinate_is_answered_once(spark, tmp_path):
+    """Responses are made and read before they are attached to the points that share a coordinate; rows are the SQL's."""
+    spark.createDataFrame([(i, i % 50 + 1) for i in range(300)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(i + 420_000 * k,) for i in range(120) for k in range(3)], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    found, want = compared(spark, "point_responses", tmp_path)
+    assert found == want and len(found) == 360
+    assert "to_json" not in entry.queries()["point_responses"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
