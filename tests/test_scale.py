@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 from test_stored import buildings
 
 import __spark_entry__ as entry
@@ -15,6 +16,7 @@ from terrafoot import fixtures, queries, queries_shapes
 from terrafoot.functions import geometry
 from terrafoot.operators import joins, matching, overlay
 from terrafoot.operators.stored import store_lookup
+from terrafoot.plans.country import BuildConfig, build_country
 
 
 def compared(spark, name, folder):
@@ -195,3 +197,38 @@ def test_each_coordinate_is_answered_once(spark, tmp_path):
     found, want = compared(spark, "point_responses", tmp_path)
     assert found == want and len(found) == 360
     assert "to_json" not in entry.queries()["point_responses"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shape_facts_run_once_where_rows_are_dealt(spark, tmp_path):
+    """A filter on the facts was moved below the dealing of rows to cores: they were found twice, first in the few tasks that read the file."""
+    spark.createDataFrame([(i, i % 50 + 1) for i in range(100)], "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    plan = queries.clean(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("facts(") == 1 and plan.index("facts(") < plan.index("Repartition")
+
+
+def test_null_shapes_are_no_buildings(spark, far):
+    raw = fixtures.raw_footprints(spark, str(far)).withColumn("geometry", F.when(F.col("id") % 2 == 0, F.col("geometry")))
+    found = build_country(raw, None, BuildConfig(fixtures.WORLD)).select("building_id").collect()
+    want = queries.clean(spark, str(far)).where("building_id % 2 = 0").count()
+    assert want == len(found) > 0 and all(int(r.building_id) % 2 == 0 for r in found)
+
+
+def test_coordinates_are_parsed_once(spark, monkeypatch):
+    """A filter on validity before the grouping parsed each text three times."""
+    plans, own = [], matching.materialised
+    monkeypatch.setattr(matching, "materialised", lambda df, label="rows": plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or own(df, label))
+    rows = spark.createDataFrame([(1, "10.5", "52"), (2, "10.50", " 52.0"), (3, "abc", "52"), (4, "200.5", "52"), (5, None, None), (6, "-180", "90"), (7, "0", "-0.0"), (8, "0", "0")], "k int, lon string, lat string")
+    found = matching.with_places(matching.with_points(rows, "lat", "lon", "k"))
+    assert sorted((r["__lon"], r["__lat"]) for r in found.collect()) == [(-180.0, 90.0), (0.0, 0.0), (10.5, 52.0)]
+    assert plans[0].count("RLIKE") == 2
+
+
+def test_stored_lookup_is_sorted_once(spark, monkeypatch):
+    """Its writer sorts each bucket's rows by tile: sorting them by another order before moved all columns twice."""
+    plans, own = [], DataFrameWriter.saveAsTable
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", lambda self, name, *a, **k: plans.append(self._df._jdf.queryExecution().optimizedPlan().toString()) or own(self, name, *a, **k))
+    lookup = store_lookup(buildings(spark, [(10 + i * 37 % 101 * 1e-2, 52.0, 10 + i * 37 % 101 * 1e-2 + 4e-4, 52.0005) for i in range(101)]), f"sorted_{uuid.uuid4().hex}", buckets=3)
+    assert len(plans) == 2 and not any("Sort" in p for p in plans)
+    files = spark.table(lookup.table).inputFiles()
+    tiles = [[(r.tx, r.ty) for r in spark.read.parquet(f).select("tx", "ty").coalesce(1).collect()] for f in files]
+    assert sum(map(len, tiles)) >= 101 and len(files) > 2 and all(t == sorted(t) for t in tiles)
