@@ -9,7 +9,7 @@ from terrafoot import fixtures
 from terrafoot.functions.geometry import area, decode_wkb, geojson, measures, pair_covers, pair_distance, wkb_bounds
 from terrafoot.operators import profile
 from terrafoot.operators.cells import clip_by_cells
-from terrafoot.operators.joins import clip, dissolved, overlap_join
+from terrafoot.operators.joins import clip, dissolved, dissolved_parts, overlap_join
 from terrafoot.session import materialised
 
 #: Degrees around a point in which shapes are candidates of the distance query.
@@ -78,10 +78,11 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dissolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dissolved shapes of each kind: how many polygons they have, and their area."""
-    rows = dissolved(fixtures.shapes(spark, sf_dir).where("kind <> 3"), "kind").withColumn("shape", decode_wkb("geom_wkb"))
+    """The dissolved shapes of each kind: how many polygons they have, and their area, summed over the parts of the union."""
+    rows = dissolved_parts(fixtures.shapes(spark, sf_dir).where("kind <> 3"), "kind").withColumn("shape", decode_wkb("geom_wkb"))
     polygons = F.array_max(F.transform("shape.rings", lambda r: r["poly"])) + 1
-    return rows.select("kind", "srid", F.col("shape.kind").alias("geom_type"), polygons.alias("polygons"), F.round(area(F.col("shape.rings")) * 1e9, 1).alias("area_e9"))
+    parts = rows.select("kind", "srid", F.col("shape.kind").alias("geom_type"), polygons.alias("polygons"), area(F.col("shape.rings")).alias("area"))
+    return parts.groupBy("kind", "srid", "geom_type").agg(F.sum("polygons").cast("int").alias("polygons"), F.round(F.sum("area") * 1e9, 1).alias("area_e9"))
 
 
 def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
