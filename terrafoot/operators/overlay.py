@@ -308,10 +308,11 @@ def _polygons(wkb: pa.Array) -> list[list[tuple[int, bool, np.ndarray]]]:
 
 
 def _boxed(g: pa.Array, wkb: pa.Array) -> pa.RecordBatch:
-    """The polygons of a batch of shapes as rows of :data:`POLYGON`, rounded as in :func:`_polygons`."""
+    """The polygons of a batch of shapes as rows of :data:`POLYGON`, rounded as in :func:`_polygons`; rings without any number are left out."""
     shapes = Shapes(wkb)
     size = np.diff(shapes.ring_at)
-    kept = np.flatnonzero(np.isin(shapes.kinds.astype(str), ("POLYGON", "MULTIPOLYGON"))[shapes.ring_row] & (size > 3))
+    numbers = np.bincount(np.repeat(np.arange(len(size)), size), ~np.isnan(shapes.pts).all(1), len(size))
+    kept = np.flatnonzero(np.isin(shapes.kinds.astype(str), ("POLYGON", "MULTIPOLYGON"))[shapes.ring_row] & (size > 3) & (numbers > 0))
     if not len(kept):
         return pa.RecordBatch.from_pylist([], pa.schema([("g", pa.string()), *[(c, pa.float64()) for c in BOX], ("geom_wkb", pa.binary())]))
     held = np.zeros(len(size), bool)

@@ -161,6 +161,18 @@ def test_touching_and_nested_rings_are_no_outline_of_their_own():
     assert ((turn > 0) != shapes.hole).all()
 
 
+def test_polygons_of_odd_shapes():
+    nan, flat = float("nan"), [(0, 0), (1, 0), (0, 0)]
+    one, other = square(0, 0, 1, 1), square(5, 5, 1, 2)
+    shapes = [None, b"x", geometry.encode_polygon([[]]), geometry.encode_polygon([flat]), geometry.encode_polygon([[(nan, nan)] * 5]), geometry.encode_multipolygon([one, other]), geometry.encode_polygon([flat, [(0, 0), (1, 0), (1, 1), (0, 0)]], little=False)]
+    rows = overlay._boxed(pa.array([str(k) for k in range(len(shapes))]), pa.array(shapes, pa.binary()))
+    assert rows.column("g").to_pylist() == ["5", "5", "6"] and rows.column("y1").to_pylist() == [1, 7, 1]
+    assert [len(r) for p in overlay._polygons(rows["geom_wkb"]) for _, _, r in p] == [5, 5, 4]
+    assert len(overlay._boxed(pa.array(["a"]), pa.array([None], pa.binary()))) == 0
+    with pytest.raises(ValueError, match="finite"):
+        overlay._boxed(pa.array(["a"]), pa.array([geometry.encode_polygon([[(0, 0), (1, 0), (nan, 1), (0, 0)]])]))
+
+
 @pytest.mark.parametrize("rows", [1 << 14, 40])
 def test_union_in_parts(spark, monkeypatch, rows):
     """Parts are small, however large the group, and are the polygons of the union; blocks that are too full pass all their polygons on."""
